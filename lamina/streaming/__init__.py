@@ -1,0 +1 @@
+"""Empty on purpose: every workload this library covers is a batch job."""
