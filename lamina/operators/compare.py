@@ -42,19 +42,25 @@ def _canonical(pred: DataFrame, gold: DataFrame, values: Sequence[str], by: Sequ
         raise ValueError("the predicted table has fewer columns than the gold one")
     for i, (p, g) in enumerate(zip(pred_columns, gold_columns)):
         types = [pred.schema[p].dataType, gold.schema[g].dataType]
-        if all(isinstance(t, T.NumericType) for t in types) and any(isinstance(t, _FLOATS) for t in types):
+        numeric = [isinstance(t, (T.NumericType, T.BooleanType)) for t in types]
+        if all(numeric) and any(isinstance(t, _FLOATS) for t in types):
             kinds.append("double")
             approx.append(f"v{i}")
         else:
-            whole = all(isinstance(t, T.IntegralType) for t in types)
-            kinds.append("bigint" if whole else "string")
+            kinds.append("bigint" if all(numeric) else "mixed" if any(numeric) else "string")
             exact.append(f"v{i}")
 
+    def cell(df: DataFrame, name: str, kind: str) -> Column:
+        value = F.col(name)
+        if kind in ("string", "mixed"):
+            text = F.trim(value.cast("string"))
+            # A number never equals a text, however it is written.
+            numeric = isinstance(df.schema[name].dataType, (T.NumericType, T.BooleanType))
+            return F.concat(F.lit("number "), text) if kind == "mixed" and numeric else text
+        return value.cast(kind)
+
     def cast(df: DataFrame, names: Sequence[str]) -> DataFrame:
-        cells = [
-            (F.trim(F.col(c).cast("string")) if kind == "string" else F.col(c).cast(kind)).alias(f"v{i}")
-            for i, (c, kind) in enumerate(zip(names, kinds))
-        ]
+        cells = [cell(df, c, kind).alias(f"v{i}") for i, (c, kind) in enumerate(zip(names, kinds))]
         return df.select(*by, *extra, *cells)
 
     return cast(pred, pred_columns), cast(gold, gold_columns), exact, approx
