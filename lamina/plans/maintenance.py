@@ -59,7 +59,7 @@ def maintenance_by_line(events: DataFrame, operating: DataFrame) -> DataFrame:
 
 def top_faults_by_downtime(events: DataFrame, limit: int = 5) -> DataFrame:
     """Faults by summed downtime of every category, worst first."""
-    named = events.filter(F.col("fault_code").isNotNull() & (F.col("fault_code") != ""))
+    named = events.filter(F.length(F.col("fault_code").cast("string")) > 0)
     totals = named.groupBy("fault_code").agg(F.sum("downtime_minutes").alias("minutes"))
     return totals.orderBy(F.desc("minutes"), "fault_code").limit(limit)
 

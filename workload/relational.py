@@ -537,11 +537,7 @@ def _(spark, sf):
     "maintenance",
 )
 def _(spark, sf):
-    events = t.maintenance(spark, sf).withColumn("fault_code", F.col("fault_code").cast("string"))
-    top = maintenance_plans.top_faults_by_downtime(
-        events.withColumn("fault_code", F.lpad("fault_code", 12, "0"))
-    )
-    return top.withColumn("fault_code", F.col("fault_code").cast("bigint"))
+    return maintenance_plans.top_faults_by_downtime(t.maintenance(spark, sf))
 
 
 # ---- set operations ----
