@@ -11,6 +11,7 @@ from lamina import schemas
 from lamina.constants import ENERGY_COLUMNS, FAULT_TYPES, PLATE_COLUMNS, PRODUCTION_LINES, SHIFTS
 from lamina.constants import STEEL_GRADES
 from lamina.functions.calendar import parse_day_first
+from lamina.functions.text import content_hash
 
 
 def require_columns(df: DataFrame, wanted: Sequence[str]) -> None:
@@ -96,8 +97,6 @@ def with_front_matter(files: DataFrame) -> DataFrame:
 
     The block between two ``---`` lines at the top holds ``key: value`` lines.
     """
-    from lamina.functions.text import content_hash
-
     block_pattern = r"(?s)\A---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)"
     block = F.regexp_extract("text", block_pattern, 1)
     lines = F.filter(F.split(block, r"\r?\n"), lambda line: line.contains(":"))
@@ -115,7 +114,9 @@ def with_front_matter(files: DataFrame) -> DataFrame:
     return files.select(
         "path",
         F.map_from_entries(pairs).alias("metadata"),
-        F.trim(F.regexp_replace("text", block_pattern, "")).alias("body"),
+        F.regexp_replace(
+            F.regexp_replace("text", block_pattern, ""), r"\A\s+|\s+\z", ""
+        ).alias("body"),
         content_hash(F.col("text")).alias("source_hash"),
         stem.alias("_stem"),
     ).select(
@@ -160,15 +161,28 @@ def split_list(text: Column) -> Column:
 def scan_run_csv(spark: SparkSession, path: str) -> DataFrame:
     """Outcomes of the latest run of every configuration.
 
-    Files are named ``<config>-<yyyyMMdd-HHmmss>.csv``. The newest name per configuration is
-    found from the file names alone; the rows of older runs are dropped before parsing.
+    Runs are files ``<config>-<yyyyMMdd-HHmmss>.csv`` or folders ``run=<stamp>/config=<config>``
+    as ``sink_run_csv`` writes them. The newest stamp per configuration comes from the paths
+    alone; the rows of older runs are dropped before parsing.
     """
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"', pathGlobFilter="*.csv")
-    file_name = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1)
-    config = F.regexp_extract(file_name, r"^(.+)-\d{8}-\d{6}\.csv$", 1)
-    named = raw.withColumn("_file", file_name).withColumn("config", config)
-    latest = named.groupBy("config").agg(F.max("_file").alias("_file"))
-    rows = named.join(latest, ["config", "_file"], "left_semi")
+    raw = spark.read.csv(
+        path, header=True, multiLine=True, escape='"', pathGlobFilter="*.csv",
+        recursiveFileLookup=True,
+    )
+    file_path = F.col("_metadata.file_path")
+    folder, name = r"run=([^/]+)/config=([^/]+)/[^/]+$", r"([^/]+)-(\d{8}-\d{6})\.csv$"
+    in_folder = file_path.rlike(folder)
+
+    def part(folder_group: int, name_group: int) -> Column:
+        return F.url_decode(
+            F.when(in_folder, F.regexp_extract(file_path, folder, folder_group)).otherwise(
+                F.regexp_extract(file_path, name, name_group)
+            )
+        )
+
+    named = raw.withColumns({"config": part(2, 1), "_stamp": part(1, 2)})
+    latest = named.groupBy("config").agg(F.max("_stamp").alias("_stamp"))
+    rows = named.join(latest, ["config", "_stamp"], "left_semi")
 
     def number(name: str, kind: str) -> Column:
         return F.nullif(F.col(name), F.lit("")).cast(kind)

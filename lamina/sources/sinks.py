@@ -104,11 +104,14 @@ def run_rows(outcomes: DataFrame) -> DataFrame:
     return outcomes.select("config", *[shown.get(c, F.col(c)) for c in RUN_COLUMNS])
 
 
-def sink_run_csv(outcomes: DataFrame, path: str) -> None:
-    """One folder per configuration with its scored rows."""
+def sink_run_csv(outcomes: DataFrame, path: str, stamp: str) -> None:
+    """Scored rows of a run below ``run=<stamp>``, one folder per configuration."""
     (
         run_rows(outcomes)
         .write.mode("overwrite")
         .partitionBy("config")
-        .csv(path, header=True, escape='"', emptyValue="", nullValue="")
+        .csv(
+            f"{path}/run={stamp}", header=True, escape='"', emptyValue="", nullValue="",
+            ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+        )
     )

@@ -37,19 +37,19 @@ def _rounded(df, digits: int = 6):
 
 @query(
     "ts_parse_day_first",
-    f"SELECT event_id, CASE WHEN event_type <> 'error' THEN {ts("date_trunc('minute', ts)")} END AS "
-    "parsed FROM events "
-    "WHERE event_type <> 'error' OR day(ts) > 12",
+    f"SELECT event_id, CASE WHEN event_type <> 'error' THEN {ts("date_trunc('minute', ts)")} "
+    f"WHEN day(ts) <= 12 THEN {ts('make_timestamp(year(ts), day(ts), month(ts), hour(ts), minute(ts), 0.0)')} "
+    "END AS parsed FROM events",
 )
 def _(spark, sf):
-    # Stamps of one event type are written month first; those that cannot be dates must be NULL.
-    events = t.table(spark, sf, "events")
+    # One event type is written month first: read day first, it gives another date or NULL.
     month_first = F.col("event_type") == "error"
     written = F.when(month_first, F.date_format("ts", "MM/dd/yyyy HH:mm")).otherwise(
         F.date_format("ts", "dd/MM/yyyy HH:mm")
     )
-    kept = events.filter(~month_first | (F.dayofmonth("ts") > 12))
-    return kept.select("event_id", calendar.try_parse_day_first(written).alias("parsed"))
+    return t.table(spark, sf, "events").select(
+        "event_id", calendar.try_parse_day_first(written).alias("parsed")
+    )
 
 
 @query(
