@@ -110,6 +110,7 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "lang",
         F.slice(tools, 1, (n % 3).cast("int")).alias("tools_called"),
         F.slice(tools, 1, (F.col("doc_id") % 3).cast("int")).alias("expected_tools"),
+        F.when(F.col("lang") != "de", F.concat(F.lit("SELECT "), "n_chars")).alias("sql_generated"),
         F.when(F.col("lang") != "de", F.col("quality") == 1).alias("sql_valid"),
         F.when(F.col("lang") != "de", (F.col("quality") == 1) & (n % 2 == 0)).alias("sql_correct"),
         F.when(F.col("lang") != "fr", (n % 4 != 0).cast("double")).alias("retrieval_hit"),
@@ -187,6 +188,7 @@ CTE = {
         CASE WHEN lang = 'es' THEN 'unanswerable' ELSE lang END AS category, lang,
         (['sql_query', 'search_docs'])[1:(n_chars % 3)] AS tools_called,
         (['sql_query', 'search_docs'])[1:(d.doc_id % 3)] AS expected_tools,
+        CASE WHEN lang <> 'de' THEN 'SELECT ' || n_chars END AS sql_generated,
         CASE WHEN lang <> 'de' THEN quality = 1 END AS sql_valid,
         CASE WHEN lang <> 'de' THEN quality = 1 AND n_chars % 2 = 0 END AS sql_correct,
         CASE WHEN lang <> 'fr' THEN CAST(n_chars % 4 <> 0 AS DOUBLE) END AS retrieval_hit,
