@@ -11,7 +11,8 @@ SEPARATORS = " \u00a0\u202f\u2009"
 NUMBER_PATTERN = (
     rf"[-+]?\d{{1,3}}(?:[{SEPARATORS}]\d{{3}})+(?:[.,]\d+)?|[-+]?\d+(?:[.,]\d+)?"
 )
-_PLAIN_NUMBER = r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$"
+# Keeps out words such as NaN, which a cast would accept.
+_NUMBER_LIKE = r"^[-+]?[\d.,]+(?:[eE][-+]?\d+)?$"
 
 
 def written_numbers(text: Column) -> Column:
@@ -19,26 +20,33 @@ def written_numbers(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(NUMBER_PATTERN), F.lit(0))
 
 
-def normalise_number(raw: Column) -> Column:
-    """A written number as a double, NULL for anything else.
+def bare_number(raw: Column) -> Column:
+    """A written number without blanks and thousands separators."""
+    return F.translate(F.trim(raw), SEPARATORS, "")
+
+
+def bare_value(text: Column) -> Column:
+    """A bare number as a double, NULL for anything else.
 
     With both separators present the last one is the decimal mark. A lone comma followed by
     exactly three digits groups thousands; any other lone comma is a decimal comma.
     """
-    text = F.translate(F.trim(raw), SEPARATORS, "")
     comma, dot = F.instr(text, ","), F.instr(text, ".")
-    last_comma, last_dot = (F.instr(F.reverse(text), mark) for mark in (",", "."))
-    after_comma = F.length(text) - comma
+    both = (comma > 0) & (dot > 0)
+    dot_last = text.rlike(r"\.[^,]*$")
     plain = (
-        F.when(
-            (comma > 0) & (dot > 0) & (last_dot < last_comma), F.translate(text, ",", "")
-        )
-        .when((comma > 0) & (dot > 0), F.translate(F.translate(text, ".", ""), ",", "."))
-        .when((comma > 0) & (after_comma == 3), F.regexp_replace(text, "^([^,]*),", "$1"))
+        F.when(both & dot_last, F.translate(text, ",", ""))
+        .when(both, F.translate(F.translate(text, ".", ""), ",", "."))
+        .when((comma > 0) & (F.length(text) - comma == 3), F.regexp_replace(text, "^([^,]*),", "$1"))
         .when(comma > 0, F.regexp_replace(text, "^([^,]*),", "$1."))
         .otherwise(text)
     )
-    return F.when(plain.rlike(_PLAIN_NUMBER), plain.try_cast("double"))
+    return F.when(text.rlike(_NUMBER_LIKE), plain.try_cast("double"))
+
+
+def normalise_number(raw: Column) -> Column:
+    """``bare_value`` of a raw text; the bare form is bound once instead of being repeated."""
+    return F.transform(F.array(bare_number(raw)), bare_value)[0]
 
 
 def fr_number(value: Column, decimals: int = 1) -> Column:

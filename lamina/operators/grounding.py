@@ -8,13 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.constants import GROUNDING_TOLERANCE, TRIVIAL_NUMBERS, YEAR_RANGE
-from lamina.functions.numbers import normalise_number, written_numbers
+from lamina.functions.numbers import bare_number, bare_value, written_numbers
 
 
 def extract_numbers(df: DataFrame, key: str, text: str) -> DataFrame:
-    """One row (key, position, written, value) per number of a text."""
+    """One row (key, position, written, value) per number of a text.
+
+    Whatever the pattern finds has a value, so no filter follows. The bare form is a column of
+    its own, or the optimizer would repeat it in every branch of the value.
+    """
     found = df.select(key, F.posexplode(written_numbers(F.col(text))).alias("position", "written"))
-    return found.withColumn("value", normalise_number(F.col("written"))).filter("value IS NOT NULL")
+    bare = found.withColumn("_bare", bare_number(F.col("written")))
+    return bare.select(key, "position", "written", bare_value(F.col("_bare")).alias("value"))
 
 
 def is_trivial(value: Column) -> Column:
@@ -56,15 +61,18 @@ def ground_numbers(
     evidence costs one row per cell, and its numbers are never paired one by one.
     """
     checked = extract_numbers(answers, key, answer)
-    if skip_trivial:
-        checked = checked.filter(~is_trivial(F.col("value")))
     filed = extract_numbers(evidence, key, text).select(
         key, "value", F.explode(_keys(F.col("value"), tolerance, 0)).alias("_k")
     )
     cells = filed.groupBy(key, F.col("_k.kind").alias("_kind"), F.col("_k.cell").alias("_cell")).agg(
         F.min("value").alias("_least"), F.max("value").alias("_most")
     )
-    asked = checked.withColumn("_k", F.explode(_keys(F.col("value"), tolerance, 1))).select(
+    sought = _keys(F.col("value"), tolerance, 1)
+    if skip_trivial:
+        # A number without keys yields no row: cheaper than a filter, which would be pushed
+        # below the value and compute it again.
+        sought = F.when(~is_trivial(F.col("value")), sought)
+    asked = checked.withColumn("_k", F.explode(sought)).select(
         key, "position", "written", "value",
         F.col("_k.kind").alias("_kind"), F.col("_k.cell").alias("_cell"),
     )

@@ -57,7 +57,7 @@ def _(spark, sf):
     en = F.format_number("o_totalprice", 2)
     fr = numbers.fr_number(F.col("o_totalprice"), 2)
     german = F.translate(en, ",.", ".,")
-    forms = F.array(fr, F.translate(fr, " ", " "), en, F.translate(en, ",", ""), german)
+    forms = F.array(fr, F.translate(fr, "\u202f", " "), en, F.translate(en, ",", ""), german)
     raw = t.table(spark, sf, "orders").select("o_orderkey", F.explode(forms).alias("raw"))
     return raw.withColumn("value", numbers.normalise_number(F.col("raw")))
 
