@@ -21,6 +21,16 @@ def require_columns(df: DataFrame, wanted: Sequence[str]) -> None:
         raise ValueError(f"source is missing expected columns: {missing}")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a plain scan at least one partition per core before costly per-row work.
+
+    A file of a single row group is one split however many cores there are. A large table has
+    more splits than cores and is returned as it is, so it is never shuffled for this.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def scan_csv(
     spark: SparkSession, path: str, columns: Mapping[str, str], types: Mapping[str, str],
     parsers: Mapping[str, object] | None = None, extra: Sequence[str] = (),
@@ -174,11 +184,10 @@ def scan_run_csv(spark: SparkSession, path: str) -> DataFrame:
     in_folder = file_path.rlike(folder)
 
     def part(folder_group: int, name_group: int) -> Column:
-        return F.url_decode(
-            F.when(in_folder, F.regexp_extract(file_path, folder, folder_group)).otherwise(
-                F.regexp_extract(file_path, name, name_group)
-            )
-        )
+        # A folder name is escaped once by the writer and once more in the path.
+        escaped = F.url_decode(F.url_decode(F.regexp_extract(file_path, folder, folder_group)))
+        plain = F.url_decode(F.regexp_extract(file_path, name, name_group))
+        return F.when(in_folder, escaped).otherwise(plain)
 
     named = raw.withColumns({"config": part(2, 1), "_stamp": part(1, 2)})
     latest = named.groupBy("config").agg(F.max("_stamp").alias("_stamp"))

@@ -40,7 +40,7 @@ def _numbers(key: str, column: str, relation: str) -> str:
     f"({_numbers('doc_id', 'text', 'documents')})",
 )
 def _(spark, sf):
-    return grounding.extract_numbers(t.table(spark, sf, "documents"), "doc_id", "text")
+    return grounding.extract_numbers(t.spread_table(spark, sf, "documents"), "doc_id", "text")
 
 
 _FORMS = "[fr, replace(fr, chr(8239), ' '), en, replace(en, ',', ''), replace(replace(replace(en, ',', ';'), '.', ','), ';', '.')]"
@@ -124,7 +124,7 @@ def _any_of(column: str, phrases: tuple[str, ...]) -> str:
     " THEN 'fr' ELSE 'en' END AS language FROM documents",
 )
 def _(spark, sf):
-    return t.table(spark, sf, "documents").select(
+    return t.spread_table(spark, sf, "documents").select(
         "doc_id", text.detect_language(F.col("text")).alias("language")
     )
 
@@ -155,7 +155,7 @@ def _normal(column: str) -> str:
 
 @query("normalise_text", f"SELECT doc_id, {_normal('text')} AS normal FROM documents")
 def _(spark, sf):
-    return t.table(spark, sf, "documents").select(
+    return t.spread_table(spark, sf, "documents").select(
         "doc_id", text.normalise_text(F.col("text")).alias("normal")
     )
 
@@ -170,6 +170,6 @@ def _(spark, sf):
     def by_line(df, *keys):
         return df.select(*keys, F.explode(F.split("text", "\n")).alias("line"))
 
-    questions = by_line(t.table(spark, sf, "documents"), "doc_id")
+    questions = by_line(t.spread_table(spark, sf, "documents"), "doc_id")
     examples = by_line(t.table(spark, sf, "benchmark"))
     return leakage.leakage_exact(questions, examples, "line", "line")

@@ -42,7 +42,7 @@ def _packed(source: str, body: str, columns: str = "", extra: str = "") -> str:
 )
 def _(spark, sf):
     body = F.concat(F.lit("# "), "source", F.lit("\n\n## "), "lang", F.lit("\n"), "text")
-    documents = t.table(spark, sf, "documents").select("doc_id", body.alias("body"))
+    documents = t.spread_table(spark, sf, "documents").select("doc_id", body.alias("body"))
     chunks = chunking.chunk_headings(documents, separator="\n")
     return chunks.select("source_id", "ordinal", "section", "content")
 
@@ -50,7 +50,7 @@ def _(spark, sf):
 @query("chunk_split_long", _packed("CAST(doc_id AS VARCHAR)", "text"))
 def _(spark, sf):
     return chunking.chunk_split_long(
-        t.table(spark, sf, "documents"), "doc_id", "text", separator="\n"
+        t.spread_table(spark, sf, "documents"), "doc_id", "text", separator="\n"
     )
 
 
@@ -70,7 +70,7 @@ def _(spark, sf):
         F.lit("-- name: a"), "doc_id", F.lit("\n"), "text", F.lit("\n-- name: b"), "doc_id",
         F.lit("\nSELECT 1\n"),
     )
-    sources = t.table(spark, sf, "documents").select(
+    sources = t.spread_table(spark, sf, "documents").select(
         F.concat(F.lit("q"), "doc_id", F.lit(".sql")).alias("path"), text.alias("text")
     )
     return chunking.chunk_named_sql(sources)
@@ -111,7 +111,7 @@ def _(spark, sf):
 
 @query("content_hash", "SELECT doc_id, substr(sha256(text), 1, 16) AS hash FROM documents")
 def _(spark, sf):
-    return t.table(spark, sf, "documents").select("doc_id", content_hash(F.col("text")).alias("hash"))
+    return t.spread_table(spark, sf, "documents").select("doc_id", content_hash(F.col("text")).alias("hash"))
 
 
 @query(
@@ -123,7 +123,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    documents = t.table(spark, sf, "documents")
+    documents = t.spread_table(spark, sf, "documents")
     sources = documents.select(F.concat(F.lit("doc-"), "doc_id").alias("source_id"), "text", "lang")
 
     def chunker(changed):

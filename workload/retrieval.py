@@ -12,7 +12,7 @@ from workload.registry import query
 
 
 def _vectors(spark, sf):
-    return t.table(spark, sf, "embeddings")
+    return t.spread_table(spark, sf, "embeddings")
 
 
 def _queries(spark, sf):
@@ -223,7 +223,7 @@ def _nearest(k: int) -> str:
 
 
 def _questions_and_examples(spark, sf):
-    documents = t.table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), "text")
+    documents = t.spread_table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), "text")
     questions = embed.embed_batch(documents, "text", "vector", prefix=QUERY_PREFIX)
     examples = _queries(spark, sf).select(F.col("query_id").alias("chunk_id"), F.col("vector").alias("embedding"))
     return questions, examples

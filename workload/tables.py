@@ -8,11 +8,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina.sources.files import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for costly per-row work such as regular expressions or Python."""
+    return spread(table(spark, sf_dir, name))
+
+
 def energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings: one event is one interval, ``props.k`` plays the power factor."""
     k = F.get_json_object("props", "$.k").cast("double")
@@ -83,7 +90,7 @@ def maintenance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus chunks: one document is one chunk below its source and language."""
-    return table(spark, sf_dir, "documents").select(
+    return spread_table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("chunk_id"), F.lit("doc").alias("source_type"),
         F.concat(F.lit("doc-"), F.col("doc_id")).alias("source_id"),
         F.concat_ws(" > ", "source", "lang").alias("section"),
@@ -146,7 +153,7 @@ def grounding_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grounding_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One tool output per line of an order."""
-    return table(spark, sf_dir, "lineitem").select(
+    return spread_table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("id"),
         F.concat(
             F.lit("quantity "), F.col("l_quantity").cast("int").cast("string"), F.lit(" price "),
