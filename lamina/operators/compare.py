@@ -72,12 +72,12 @@ def result_diff(
 ) -> DataFrame:
     """Compare two result tables, per group of ``by``: (n_pred, n_gold, unmatched, matches).
 
-    With ``position`` the rows are compared in that order. Without it they are multisets: rows
-    equal after rounding floats to 6 digits cancel out, and what is left on both sides is paired
-    by rank among rows with the same exact cells and then tested against the tolerance. For one
-    float column that pairing succeeds whenever any pairing does; with several it can reject
-    rows that agree only in a different order. No group is compared pair by pair or inside one
-    task: equal rows are counted, the rest is ranked in a distributed sort.
+    With ``position`` the rows are compared in that order. Without it they are multisets: where
+    both sides hold the same rows, floats rounded to 6 digits, they match; elsewhere the rows with
+    the same exact cells are paired by rank and tested against the tolerance. For one float column
+    that pairing succeeds whenever any pairing does; with several it can reject rows that agree
+    only in a different order. No group is compared pair by pair or inside one task: equal rows
+    are counted, the rest is ranked in a distributed sort.
     """
     keys = list(by)
     extra = [position] if position else []
@@ -87,10 +87,10 @@ def result_diff(
     if position:
         cells = _paired(p, g, [*keys, position], exact, approx, tolerance)
     else:
-        p, g = _residue(p, g, keys, exact, approx)
+        group = [*keys, *exact]
+        p, g = _unequal(p, g, group, approx)
         if approx:
-            group = [*keys, *exact]
-            p, g = (rank_within(side, group, approx, "_slot") for side in (p, g))
+            p, g = (rank_within(side, group, approx, "_slot", ties=True) for side in (p, g))
             cells = _paired(p, g, [*group, "_slot"], [], approx, tolerance)
         else:
             cells = p.select(*keys, F.lit(False).alias("_ok")).unionByName(
@@ -114,24 +114,35 @@ def _count_sides(p: DataFrame, g: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _residue(
-    p: DataFrame, g: DataFrame, keys: Sequence[str], exact: Sequence[str], approx: Sequence[str]
+def _unequal(
+    p: DataFrame, g: DataFrame, group: Sequence[str], approx: Sequence[str]
 ) -> tuple[DataFrame, DataFrame]:
-    """The surplus rows of either side after equal rows cancel, expanded to one row each."""
+    """What the two sides do not share.
+
+    Without float cells these are the surplus rows themselves. With float cells they are all rows
+    of the groups that differ somewhere: a surplus row may need any other row as its partner.
+    """
     rounded = [F.round(a, 6).alias(a) for a in approx]
-    columns = [*keys, *exact, *approx]
 
     def signed(df: DataFrame, sign: int) -> DataFrame:
-        return df.select(*keys, *exact, *rounded, F.lit(sign).alias("_n"))
+        return df.select(*group, *rounded, F.lit(sign).alias("_n"))
+
+    net = signed(p, 1).unionByName(signed(g, -1)).groupBy(*group, *approx).agg(
+        F.sum("_n").alias("_net")
+    )
+    if not approx:
+        def surplus(sign: int) -> DataFrame:
+            copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.abs("_net"))).alias("_copy")
+            return net.filter(F.col("_net") * sign > 0).select(*group, copies)
 
-    net = signed(p, 1).unionByName(signed(g, -1)).groupBy(*columns).agg(F.sum("_n").alias("_net"))
+        return surplus(1), surplus(-1)
+    differing = net.filter("_net <> 0").select(*group, F.lit(1).alias("_differs")).distinct()
 
-    def surplus(sign: int) -> DataFrame:
-        left = net.filter(F.col("_net") * sign > 0)
-        copy = F.explode(F.sequence(F.lit(1).cast("bigint"), F.abs("_net"))).alias("_copy")
-        return left.select(*columns, copy)
+    def within(df: DataFrame) -> DataFrame:
+        on = [F.col(f"x.{c}").eqNullSafe(F.col(f"d.{c}")) for c in group] or F.lit(True)
+        return df.alias("x").join(differing.alias("d"), on, "left_semi")
 
-    return surplus(1), surplus(-1)
+    return within(p), within(g)
 
 
 def _paired(

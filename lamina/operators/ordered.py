@@ -14,13 +14,21 @@ from lamina.session import durable
 _POSITION_BITS = 33
 
 
-def global_rank(df: DataFrame, order: Sequence[str], rank: str = "rank") -> DataFrame:
+def global_rank(
+    df: DataFrame, order: Sequence[str], rank: str = "rank", ties: bool = False
+) -> DataFrame:
     """0-based position of every row in the order of ``order``, which must be total.
 
+    With ``ties`` it need not be: rows get a number of their own first, so that a value which
+    many rows share is spread over many partitions like any other stretch of the order.
+
     Rows are range-partitioned and sorted, and the layout is made durable; a row's rank is then
     its position in its partition plus the rows of the partitions before. Only that table of
     partition sizes is ordered in one place.
     """
+    if ties:
+        df = durable(df.withColumn("_tie", F.monotonically_increasing_id()))
+        order = [*order, "_tie"]
     laid_out = df.repartitionByRange(*order).sortWithinPartitions(*order)
     numbered = durable(laid_out.withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", _POSITION_BITS)
@@ -30,14 +38,19 @@ def global_rank(df: DataFrame, order: Sequence[str], rank: str = "rank") -> Data
     offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
     # One row per shuffle partition: bounded by the cluster's settings, not by the data.
     joined = numbered.withColumn("_part", part).join(F.broadcast(offsets), "_part")
-    return joined.withColumn(rank, F.col("_before") + inside).drop("_at", "_part", "_before")
+    return joined.withColumn(rank, F.col("_before") + inside).drop(
+        "_at", "_part", "_before", "_tie"
+    )
 
 
 def rank_within(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], rank: str = "rank"
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], rank: str = "rank",
+    ties: bool = False,
 ) -> DataFrame:
     """0-based position of every row inside its group; a hot group is ranked by many tasks."""
-    ranked = global_rank(df, [*keys, *order], "_global")
+    if not keys:
+        return global_rank(df, order, rank, ties)
+    ranked = global_rank(df, [*keys, *order], "_global", ties)
     firsts = ranked.groupBy(*keys).agg(F.min("_global").alias("_first"))
     condition = [F.col(f"r.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys]
     joined = ranked.alias("r").join(firsts.alias("f"), condition)
