@@ -43,8 +43,11 @@ def _accent_table() -> tuple[str, str]:
 def normalise_text(text: Column) -> Column:
     """Lower case without accents; each run of other characters becomes one space; trimmed."""
     accented, plain = _accent_table()
-    bare = F.regexp_replace(F.translate(F.lower(text), accented, plain), r"\p{Mn}+", "")
-    return F.trim(F.regexp_replace(bare, "[^a-z0-9 ]+", " "))
+    lowered = F.lower(text)
+    bare = F.regexp_replace(F.translate(lowered, accented, plain), r"\p{Mn}+", "")
+    # Texts without a letter outside ASCII skip the character table.
+    folded = F.when(text.rlike(r"[^\x00-\x7F]"), bare).otherwise(lowered)
+    return F.trim(F.regexp_replace(folded, "[^a-z0-9 ]+", " "))
 
 
 def content_hash(text: Column) -> Column:

@@ -61,4 +61,6 @@ def embed_batch(
             rows = [v if n > 0 else None for v, n in zip(unit, norm)]
             yield pd.Series(rows, index=batch.index, dtype=object)
 
-    return df.withColumn(output, vectors(F.col(text)))
+    # As a nondeterministic function it is evaluated once: a later test of the vector is not
+    # pushed below it, where it would need the encoder a second time.
+    return df.withColumn(output, vectors.asNondeterministic()(F.col(text)))

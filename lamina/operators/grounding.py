@@ -11,6 +11,10 @@ from lamina.constants import GROUNDING_TOLERANCE, TRIVIAL_NUMBERS, YEAR_RANGE
 from lamina.functions.numbers import bare_number, bare_value, written_numbers
 
 
+# Kinds of cells: by scale for either sign, and by whole number.
+_NEGATIVE, _POSITIVE, _WHOLE = 0, 1, 2
+
+
 def extract_numbers(df: DataFrame, key: str, text: str) -> DataFrame:
     """One row (key, position, written, value) per number of a text.
 
@@ -37,14 +41,13 @@ def _scale_cell(value: Column, tolerance: float) -> Column:
 def _keys(value: Column, tolerance: float, reach: int) -> Column:
     """Cells a number is filed under (reach 0) or looked up in (reach 1)."""
     cell = _scale_cell(value, tolerance)
-    sign = F.signum(value)
-    kind = F.when(sign < 0, "-").otherwise("+")
+    kind = F.when(value < 0, _NEGATIVE).otherwise(_POSITIVE)
     relative = [
         F.struct(kind.alias("kind"), (cell + step).cast("double").alias("cell"))
         for step in range(-reach, reach + 1)
     ]
     # Adding 0.0 turns a negative zero into zero.
-    whole = F.struct(F.lit("=").alias("kind"), (F.rint(value) + 0.0).alias("cell"))
+    whole = F.struct(F.lit(_WHOLE).alias("kind"), (F.rint(value) + 0.0).alias("cell"))
     # Below 1e-9 only the whole-number rule can apply, and it always does.
     return F.when(F.abs(value) >= 1e-9, F.array(*relative, whole)).otherwise(F.array(whole))
 
@@ -84,7 +87,7 @@ def ground_numbers(
 
     whole = (F.col("_most") > value - 1) & (F.col("_least") < value + 1)
     near = close(F.col("_least")) | close(F.col("_most"))
-    match = F.when(F.col("_kind") == "=", whole).otherwise(near)
+    match = F.when(F.col("_kind") == _WHOLE, whole).otherwise(near)
     met = asked.join(cells, [key, "_kind", "_cell"], "left")
     return met.groupBy(key, "position", "written", "value").agg(
         F.max(F.coalesce(match, F.lit(False))).alias("grounded")

@@ -16,7 +16,7 @@ WORD_BREAK = r"[^\p{L}\p{N}_]+"
 
 def terms(text: Column) -> Column:
     """Lower-case words of a text."""
-    return F.filter(F.split(F.lower(text), WORD_BREAK), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), WORD_BREAK), "")
 
 
 def french_stem(term: Column) -> Column:

@@ -264,9 +264,12 @@ def id_lookup(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def overlap_score(query: Column, passage: Column) -> Column:
     """Share of the distinct query terms that occur in a passage."""
-    wanted = F.array_distinct(terms(query))
-    shared = F.size(F.array_intersect(wanted, terms(passage)))
-    return F.when(F.size(wanted) > 0, shared / F.size(wanted).cast("double")).otherwise(0.0)
+    def share(wanted: Column) -> Column:
+        shared = F.size(F.array_intersect(wanted, terms(passage)))
+        return F.when(F.size(wanted) > 0, shared / F.size(wanted).cast("double")).otherwise(0.0)
+
+    # Binding the terms to a lambda cuts the query into words once.
+    return F.transform(F.array(F.array_distinct(terms(query))), share)[0]
 
 
 def rerank(
@@ -279,7 +282,11 @@ def rerank(
     query terms in the passage is used.
     """
     pair = overlap_score(F.col(query), F.col(passage)) if score is None else score
-    scored = hits.withColumn("score", pair).withColumnRenamed("rank", "fused_rank")
+    # Pools are few bytes but costly to score: a fixed number of partitions keeps adaptive
+    # execution from putting them all into one task.
+    partitions = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = hits.repartition(partitions, "query_id", "chunk_id")
+    scored = spread.withColumn("score", pair).withColumnRenamed("rank", "fused_rank")
     return top_per_group(scored, ["query_id"], [F.desc("score"), F.asc("fused_rank")], k)
 
 

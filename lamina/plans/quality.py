@@ -34,18 +34,17 @@ def fault_counts_by_line(plates: DataFrame, lines: DataFrame, faults: DataFrame)
     """Plates per line and fault, most frequent first.
 
     Plates are counted by their two keys before the dimensions are joined: the joins then see
-    one row per (line, fault) and a hot fault costs nothing.
+    one row per (line, fault), a hot fault costs nothing, and no second grouping by the labels
+    follows because both keys are unique in their dimension.
     """
-    counted = plates.groupBy("line_id", "fault_code").agg(F.count("*").alias("_n"))
-    named = counted.join(lines, "line_id").join(faults, "fault_code")
-    return (
-        named.groupBy(
-            "line_id", F.col("name_fr").alias("ligne"), "fault_code",
-            F.col("label_fr").alias("libelle_defaut"), "severity",
-        )
-        .agg(F.sum("_n").alias("nb_toles"))
-        .orderBy(F.desc("nb_toles"), "line_id", "fault_code")
+    counted = plates.groupBy("line_id", "fault_code").agg(F.count("*").alias("nb_toles"))
+    named = counted.join(lines.select("line_id", F.col("name_fr").alias("ligne")), "line_id").join(
+        faults.select("fault_code", F.col("label_fr").alias("libelle_defaut"), "severity"),
+        "fault_code",
     )
+    return named.select(
+        "line_id", "ligne", "fault_code", "libelle_defaut", "severity", "nb_toles"
+    ).orderBy(F.desc("nb_toles"), "line_id", "fault_code")
 
 
 def monthly_fault_trend(plates: DataFrame, faults: DataFrame) -> DataFrame:
