@@ -24,15 +24,23 @@ def french_stem(term: Column) -> Column:
 
     A few suffix rules, not a full stemmer: close to, but not the same as, a Snowball stem.
     """
-    return F.when(F.length(term) >= 5, F.regexp_replace(term, "(es|s|x|e)$", "")).otherwise(term)
+    size = F.length(term)
+    shorter = (
+        F.when(term.endswith("es"), F.substring(term, 1, size - 2))
+        .when(term.endswith("s") | term.endswith("x") | term.endswith("e"), F.substring(term, 1, size - 1))
+        .otherwise(term)
+    )
+    return F.when(size >= 5, shorter).otherwise(term)
 
 
 def term_index(
     chunks: DataFrame, chunk_id: str = "chunk_id", heading: str = "heading",
     content: str = "content", stop_words: Sequence[str] = FRENCH_STOP_WORDS, stem: bool = True,
+    only: DataFrame | None = None,
 ) -> DataFrame:
     """Postings (chunk_id, term, weight, tf): heading terms weigh A, body terms B.
 
+    ``only`` holds the terms worth counting, when the postings serve one batch of queries.
     Chunks are partitioned by id before their terms are counted. The counting then needs no
     shuffle of terms, and neither does a later sum per chunk.
     """
@@ -52,6 +60,8 @@ def term_index(
         split = split.filter(~F.col("term").isin(*stop_words))
     if stem:
         split = split.withColumn("term", french_stem(F.col("term")))
+    if only is not None:
+        split = split.join(only.select("term").distinct(), "term", "left_semi")
     return split.groupBy("chunk_id", "term", "weight").agg(F.count("*").alias("tf"))
 
 

@@ -18,6 +18,8 @@ from lamina.operators.relational import top_per_group
 # A side is held whole in every worker only up to this many vectors.
 BROADCAST_ROWS = 8_192
 BLOCK_ROWS = 16_384
+# A ranked list holds a few numbers per row: this many rows are a few megabytes.
+LOOKUP_BROADCAST_ROWS = 200_000
 # Similarities are compared after rounding, so that copies of a vector tie on every machine.
 _DIGITS = 9
 
@@ -244,21 +246,29 @@ def keyword_topk(postings: DataFrame, wanted: DataFrame, k: int = CANDIDATES_PER
 
 def hybrid_search(
     dense: DataFrame, keyword: DataFrame | None, chunks: DataFrame, k: int = TOP_K,
-    rrf_k: int = RRF_K,
+    rrf_k: int = RRF_K, query_count: int | None = None,
 ) -> DataFrame:
     """Fuse the ranked branches and fetch the rows of the chunks that remain.
 
-    ``keyword=None`` is the dense-only mode. Chunk text is read after the cut to ``k``.
+    ``keyword=None`` is the dense-only mode. Chunk text is read after the cut to ``k``;
+    ``query_count``, when known, bounds the list of remaining ids.
     """
     branches = [dense] if keyword is None else [dense, keyword]
     fused = rrf_fuse(branches, k, rrf_k).withColumnRenamed("rank_0", "dense_rank")
     if keyword is None:
         fused = fused.withColumn("rank_1", F.lit(None).cast("int"))
-    return id_lookup(fused.withColumnRenamed("rank_1", "keyword_rank"), chunks)
+    ranked = fused.withColumnRenamed("rank_1", "keyword_rank")
+    return id_lookup(ranked, chunks, None if query_count is None else k * query_count)
 
 
-def id_lookup(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Full chunk rows of a ranked id list; the small, already cut list drives the join."""
+def id_lookup(ranked: DataFrame, chunks: DataFrame, row_bound: int | None = None) -> DataFrame:
+    """Full chunk rows of a ranked id list.
+
+    A list known to hold at most ``row_bound`` rows is broadcast when that is few, so the chunk
+    table is only scanned. Without a bound, or with a large one, both sides meet by chunk id.
+    """
+    if row_bound is not None and row_bound <= LOOKUP_BROADCAST_ROWS:
+        ranked = F.broadcast(ranked)
     return ranked.join(chunks, "chunk_id")
 
 

@@ -19,22 +19,27 @@ def _queries(spark, sf):
     return embed.embed_batch(t.search_queries(spark, sf), "text", "vector", prefix=QUERY_PREFIX)
 
 
-def _dense(spark, sf, k: int = 20):
+def _dense(spark, sf, k: int = 20, chunks=None):
+    chunks = t.chunks(spark, sf) if chunks is None else chunks
     corpus = embed.embed_batch(
-        t.chunks(spark, sf).select("chunk_id", "content"), "content", prefix=PASSAGE_PREFIX
+        chunks.select("chunk_id", "content"), "content", prefix=PASSAGE_PREFIX
     )
     return search.knn_exact(_queries(spark, sf), corpus, k)
 
 
-def _keyword(spark, sf, k: int = 20):
-    postings = index.term_index(t.chunks(spark, sf))
+def _keyword(spark, sf, k: int = 20, chunks=None):
     wanted = search.query_terms(t.search_queries(spark, sf), stop_words=FRENCH_STOP_WORDS)
-    return search.keyword_topk(postings, wanted, k)
+    chunks = t.chunks(spark, sf) if chunks is None else chunks
+    return search.keyword_topk(index.term_index(chunks, only=wanted), wanted, k)
 
 
 def _hits(spark, sf, k: int = 5):
-    chunks = t.chunks(spark, sf).drop("heading", "metadata")
-    return search.hybrid_search(_dense(spark, sf), _keyword(spark, sf), chunks, k)
+    chunks = t.chunks(spark, sf)
+    dense, keyword = _dense(spark, sf, chunks=chunks), _keyword(spark, sf, chunks=chunks)
+    return search.hybrid_search(
+        dense, keyword, chunks.drop("heading", "metadata"), k,
+        query_count=t.search_queries(spark, sf).count(),
+    )
 
 
 _KNN = sqltext.top(
@@ -152,7 +157,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     chunks = t.chunks(spark, sf).select("chunk_id", "source_id", "title", "content")
-    return _ranks(search.id_lookup(_dense(spark, sf, 5), chunks), "rank").drop("score")
+    bound = 5 * t.search_queries(spark, sf).count()
+    return _ranks(search.id_lookup(_dense(spark, sf, 5), chunks, bound), "rank").drop("score")
 
 
 def _overlap() -> str:
@@ -175,12 +181,14 @@ def _(spark, sf):
 
 @query(
     "filter_path",
-    sqltext.branches() + "SELECT query_id, rank, source_id FROM fused JOIN chunks USING (chunk_id) "
-    "WHERE rank <= 5 AND source_id = 'doc-3'",
+    sqltext.branches() + "SELECT query_id, rank, chunk_id, title AS source_id FROM fused JOIN chunks "
+    "USING (chunk_id) WHERE rank <= 5 AND title = 'src3'",
 )
 def _(spark, sf):
-    kept = search.filter_path(_hits(spark, sf), "doc-3")
-    return _ranks(kept, "rank").select("query_id", "rank", "source_id")
+    # The source plays the file that several chunks come from.
+    hits = _hits(spark, sf).withColumn("source_id", F.col("title"))
+    kept = search.filter_path(hits, "src3")
+    return _ranks(kept, "rank").select("query_id", "rank", "chunk_id", "source_id")
 
 
 @query(
