@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -15,21 +14,28 @@ from pyspark.sql import functions as F
 from lamina.constants import PASSAGE_PREFIX
 
 HASH_DIM = 256
-
-
-@lru_cache(maxsize=200_000)
-def _bucket(term: str, dim: int) -> int:
-    return int(hashlib.md5(term.encode()).hexdigest()[:8], 16) % dim
+# Terms a worker remembers the cell of.
+_REMEMBERED = 200_000
 
 
 def hashing_encoder(dim: int = HASH_DIM) -> Callable[[list[str]], np.ndarray]:
     """Term counts hashed into ``dim`` cells: the encoder used when no model is at hand."""
     word = re.compile(r"\w+")
+    known: dict[str, int] = {}
+
+    def cell(term: str) -> int:
+        found = known.get(term)
+        if found is None:
+            if len(known) >= _REMEMBERED:
+                known.clear()
+            digest = hashlib.md5(term.encode()).hexdigest()
+            found = known[term] = int(digest[:8], 16) % dim
+        return found
 
     def encode(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim), dtype=np.float64)
         for row, text in enumerate(texts):
-            cells = [_bucket(term, dim) for term in word.findall(text.lower())]
+            cells = [cell(term) for term in word.findall(text.lower())]
             if cells:
                 out[row] = np.bincount(cells, minlength=dim)
         return out

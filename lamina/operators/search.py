@@ -18,6 +18,8 @@ from lamina.operators.relational import top_per_group
 # A side is held whole in every worker only up to this many vectors.
 BROADCAST_ROWS = 8_192
 BLOCK_ROWS = 16_384
+# Scores held at once by a task: 64 MB of doubles.
+SCORE_CELLS = 8_000_000
 # A ranked list holds a few numbers per row: this many rows are a few megabytes.
 LOOKUP_BROADCAST_ROWS = 200_000
 # Similarities are compared after rounding, so that copies of a vector tie on every machine.
@@ -36,7 +38,21 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
 def _best(
     query_ids: np.ndarray, queries: np.ndarray, chunk_ids: np.ndarray, chunks: np.ndarray, k: int
 ) -> pd.DataFrame:
-    """Top ``k`` chunks of every query within one block, ties by chunk id."""
+    """Top ``k`` chunks of every query within one block, ties by chunk id.
+
+    Queries are taken in slices, so that a score matrix never exceeds ``SCORE_CELLS``.
+    """
+    step = max(1, SCORE_CELLS // max(1, len(chunk_ids)))
+    parts = [
+        _best_slice(query_ids[i : i + step], queries[i : i + step], chunk_ids, chunks, k)
+        for i in range(0, len(query_ids), step)
+    ]
+    return pd.concat(parts, ignore_index=True)
+
+
+def _best_slice(
+    query_ids: np.ndarray, queries: np.ndarray, chunk_ids: np.ndarray, chunks: np.ndarray, k: int
+) -> pd.DataFrame:
     scores = np.round(queries @ chunks.T, _DIGITS)
     if scores.shape[1] > k:
         floor = np.partition(scores, -k, axis=1)[:, -k][:, None]

@@ -72,6 +72,14 @@ def test_every_exact_plan_equals_brute_force(vectors, plan, monkeypatch):
         assert list(group.sort_values("rank")["chunk_id"]) == best
 
 
+def test_blocks_are_scored_in_slices(monkeypatch):
+    rng = np.random.default_rng(2)
+    queries, chunks = rng.normal(size=(37, 8)), rng.normal(size=(50, 8))
+    whole = search._best(np.arange(37), queries, np.arange(50), chunks, 3)
+    monkeypatch.setattr(search, "SCORE_CELLS", 120)
+    assert search._best(np.arange(37), queries, np.arange(50), chunks, 3).equals(whole)
+
+
 def test_approximate_search_finds_most_neighbours(vectors):
     df, _ = vectors
     queries = df.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))

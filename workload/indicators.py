@@ -581,3 +581,42 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return _facts(spark, sf)["energy"]
+
+
+@query(
+    "plant_facts",
+    """SELECT 'faults' AS fact, CAST(f.fault_code AS VARCHAR) AS key, CAST(count(p.fault_code) AS DOUBLE) AS value
+      FROM faults f LEFT JOIN plates p ON p.fault_code = f.fault_code GROUP BY 2
+    UNION ALL SELECT 'lines', CAST(line_id AS VARCHAR), commissioned_year FROM lines
+    UNION ALL SELECT 'reports', CAST(event_id AS VARCHAR), downtime_minutes FROM maintenance
+      WHERE report_doc_id IS NOT NULL
+    UNION ALL SELECT 'shifts', code, start FROM (VALUES ('M', 6), ('A', 14), ('N', 22)) AS v(code, start)
+    UNION ALL SELECT 'top_line_by_fault', CAST(fault_code AS VARCHAR), line_id FROM ranked WHERE by_fault = 1
+    UNION ALL SELECT 'line_stats', CAST(line_id AS VARCHAR), sum(n) FROM ranked GROUP BY 2
+    UNION ALL SELECT 'peak_threshold', 'p95', round(quantile_cont(usage_kwh, 0.95), 6) FROM energy
+    UNION ALL SELECT 'energy', 'total_kwh', round(CAST(sum(usage_kwh) AS DECIMAL(38,10)), 1) FROM energy
+    """.replace("FROM ranked", "FROM (SELECT *, row_number() OVER (PARTITION BY fault_code ORDER BY n DESC, "
+                "line_id) AS by_fault FROM (SELECT fault_code, line_id, count(*) AS n FROM plates GROUP BY 1, 2))"),
+    "faults", "plates", "lines", "maintenance", "energy",
+)
+def _(spark, sf):
+    facts = _facts(spark, sf)
+    shown = {
+        "faults": ("fault_code", "plate_count"), "lines": ("line_id", "commissioned_year"),
+        "reports": ("event_id", "downtime_minutes"), "shifts": ("shift_code", "start_hour"),
+        "top_line_by_fault": ("fault_code", "line_id"), "line_stats": ("line_id", "plates"),
+        "peak_threshold": (None, "percentile"), "energy": (None, "total_kwh"),
+    }
+    labels = {"peak_threshold": "p95", "energy": "total_kwh"}
+    parts = [
+        facts[name].select(
+            F.lit(name).alias("fact"),
+            (F.col(key).cast("string") if key else F.lit(labels[name])).alias("key"),
+            F.round(F.col(value).cast("double"), 6).alias("value"),
+        )
+        for name, (key, value) in shown.items()
+    ]
+    merged = parts[0]
+    for part in parts[1:]:
+        merged = merged.unionByName(part)
+    return merged
