@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import packing, secret_scan, simhash_dedup
+from lamina.llm import (
+    embedding_dedup,
+    language_id,
+    mixing,
+    packing,
+    secret_scan,
+    simhash_dedup,
+    toxicity,
+    vector_search,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +37,19 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def remainder(divisor: int) -> Column:
+    """CRC-32 of the id as text, modulo ``divisor``; no id counts as empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % divisor
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    net = toxicity.fit_toxicity(docs, read(spark, sf_dir, "labels"), remainder(3) != 1)
+    scored = toxicity.score_toxicity(docs, net).withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @query
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
@@ -53,3 +75,30 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [count(kind) for kind in secret_scan.LEAST]
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(listed(base), 256).alias("base_sha256"),
                         listed(F.col("parts")).alias("spans"))
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    field = language_id.fit_languages(docs, remainder(4) != 2)
+    found = language_id.identify_languages(docs, field).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mix of as many tokens as the corpus has, as even as can be with no source read more than 1.25 times."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", mixing.token_estimate(F.col("text")).alias("tokens"))
+    return mixing.mix(docs, tokens=F.col("tokens"), max_repeats=1.25)
+
+
+@query
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_dedup.embedding_groups(read(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"),
+                        F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))
+
+
+@query
+def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
