@@ -4,11 +4,11 @@ Source s with the share p of all tokens gets the weight p^a / sum(p^a). The expo
 temperature) is a multiple of one millionth between 0, where all sources weigh the same, and ``MOST``:
 
 * the largest whose entropy is at least ``evenness`` times that of equal weights,
-* or the smallest that repeats no source more than ``max_repeats`` times,
+* or the smallest, up to 1, that repeats no source more than ``max_repeats`` times,
 * with both, the larger of the two: the limit on repeats is kept.
 
-Entropy falls and repeats of the smallest source fall as a rises, so either is a bisection. A pass over
-the table of sources tries 64 exponents at once, which is six halvings.
+Entropy falls as a rises, and so do the repeats of the smallest source up to 1, where all sources are
+repeated alike. Either is a bisection. A pass over the table of sources tries 64 exponents at once, which is six halvings.
 
 A source's weight times the budget is its number of tokens. Its documents lie in blocks by hash; every
 epoch reads the blocks in a permutation of its own, and the last one ends at the document with which
@@ -56,13 +56,13 @@ def block_place(block: Column, blocks: Column, epoch: Column) -> Column:
     return F.pmod(block * F.pmod(prime, blocks) + epoch * 7919 + 1, blocks)
 
 
-def _first_holding(sources: DataFrame, exponent_holds: Column) -> int:
-    """The smallest exponent, in steps, from which on the condition holds; ``MOST`` if it never does.
+def _first_holding(sources: DataFrame, exponent_holds: Column, most: int) -> int:
+    """The smallest exponent, in steps, from which on the condition holds; ``most`` if it never does.
 
     ``exponent_holds`` is an aggregate over rows with ``p`` (the share), ``w`` (the weight, not yet
     divided by the sum over sources, ``total``) and ``repeats``.
     """
-    low, high = 0, MOST  # the answer lies in [low, high]
+    low, high = 0, most  # the answer lies in [low, high]
     while low < high:
         width = -(-(high - low) // TRIED)
         tried = sources.select("*", F.explode(F.sequence(F.lit(low), F.lit(high - 1), F.lit(width))).alias("k")).withColumn(
@@ -102,10 +102,10 @@ def source_plan(
         # A source is read weight * budget / tokens times; with ``whole``, the least-read one once.
         most = F.max(F.col("w") / F.col("p"))
         repeats = most / F.min(F.col("w") / F.col("p")) if whole else most / F.sum("w") * (budget / total)
-        exponent = _first_holding(shares, repeats <= max_repeats)
+        exponent = _first_holding(shares, repeats <= max_repeats, STEP)
     if evenness is not None:
         entropy = F.log(F.sum("w")) - F.sum(F.col("w") * F.log("w")) / F.sum("w")
-        below = _first_holding(shares, entropy < evenness * F.log(F.count("*").cast("double")))
+        below = _first_holding(shares, entropy < evenness * F.log(F.count("*").cast("double")), MOST)
         exponent = max(exponent, below - 1, 0)
     powered = shares.withColumn("w", F.pow("p", F.lit(exponent / STEP)))
     one = powered.agg(F.sum("w"), F.max(F.col("tokens") / F.col("w"))).first()
