@@ -193,3 +193,23 @@ def identify_languages(docs: DataFrame, field: Field, id_col: str = "doc_id", te
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return map_texts(picked, 1, work, f"id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
+
+
+def keep_known(docs: DataFrame, field: Field, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has letters and a language with at least the share ``least`` of it.
+
+    The rows come out as they went in, in the task that reads them.
+    """
+    sent, at = docs.sparkSession.sparkContext.broadcast(vars(field)), docs.columns.index(text_col)
+
+    def run(batches):
+        from lamina.llm.batches import cut
+
+        field = Field([])
+        vars(field).update(sent.value)
+        for whole in batches:
+            for batch in cut(whole, at):
+                names, scores = field.predict(batch.column(at).to_pylist())
+                yield batch.filter(pa.array([name != UNKNOWN and score >= least for name, score in zip(names, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

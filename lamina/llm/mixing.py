@@ -88,7 +88,9 @@ def source_plan(
     if evenness is None and max_repeats is None:
         raise ValueError("give an evenness, a limit on repeats or both")
     tokens = token_estimate(F.col("text")) if tokens is None else tokens
-    counted = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(tokens).alias("tokens"))
+    # The texts are read once here; what follows needs a few bytes of each row.
+    rows = durable(docs.select(F.col(source_col).alias("_source"), F.col(id_col).alias("_id"), tokens.alias("_tokens")))
+    counted = rows.groupBy(F.col("_source").alias("source")).agg(F.sum("_tokens").alias("tokens"))
     sums = counted.agg(F.sum("tokens"), F.count("*"), F.max("tokens")).first()
     total, number, largest = int(sums[0] or 0), int(sums[1]), int(sums[2] or 0)
     if not number:
@@ -119,9 +121,8 @@ def source_plan(
     ).withColumn("left", F.col("wanted") - F.col("epochs") * F.col("tokens"))
     weighed = durable(weighed)
     # Where the last epoch ends: the block in which the tokens left run out, then the hash inside it.
-    placed = _with_plan(docs.select(F.col(source_col).alias("_source"), F.col(id_col).alias("_id"), tokens.alias("_tokens")),
-                        weighed, "_source", number).withColumn("place", block_place(
-                            F.pmod(block_hash(F.col("_id")), F.col("blocks")), F.col("blocks"), F.col("epochs")))
+    placed = _with_plan(rows, weighed, "_source", number).withColumn("place", block_place(
+        F.pmod(block_hash(F.col("_id")), F.col("blocks")), F.col("blocks"), F.col("epochs")))
     per_block = placed.groupBy("source", "left", "place").agg(F.sum("_tokens").alias("n"))
     before = Window.partitionBy("source").orderBy("place")
     ends = (

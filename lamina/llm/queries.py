@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 from lamina.llm import (
     embedding_dedup,
+    html_extraction,
     language_id,
     mixing,
     packing,
     secret_scan,
     simhash_dedup,
+    site_quality,
     toxicity,
     vector_search,
 )
+from lamina.session import durable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +45,12 @@ def remainder(divisor: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % divisor
 
 
+@query
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extraction.extract_pages(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
@@ -92,6 +101,25 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, tokens=F.col("tokens"), max_repeats=1.25)
 
 
+@query
+def op8_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the site of the page that shows them: its host and first path segment. A document
+    that no page shows belongs to its source, by language."""
+    docs = read(spark, sf_dir, "documents")
+    url = F.col("url")
+    pages = read(spark, sf_dir, "pages").select(
+        F.regexp_extract(url, r"/(\d{1,18})(?:\.html?)?/?(?:[?#].*)?$", 1).alias("_number"),
+        F.struct(F.regexp_extract(url, r"^[a-z]+://([^/?#]+)", 1).alias("host"), F.regexp_extract(url, r"^[a-z]+://[^/?#]+/([^/?#]*)", 1).alias("path")).alias("_site"))
+    sites = pages.where(F.col("_number") != "").groupBy(F.col("_number").cast("long").alias("_shown")).agg(F.min("_site").alias("_site"))
+    classifier, prior = site_quality.fit_classifier(docs, read(spark, sf_dir, "labels"), remainder(3) != 1)
+    # The texts are read before the join and stay behind: only the evidence is shuffled.
+    evidence = site_quality.text_evidence(docs, classifier, "doc_id", "text", ["source", "lang"])
+    sited = evidence.join(sites, F.col("id") == F.col("_shown"), "left").select(
+        "id", "evidence", F.coalesce("_site.host", "source").alias("host"), F.coalesce("_site.path", "lang").alias("path"))
+    found = site_quality.score_sites(durable(sited), prior)
+    return found.select(F.col("id").alias("doc_id"), "host", "path", "evidence", "host_rate", "path_rate", "score", (F.col("score") >= 0.5).alias("kept"))
+
+
 @query
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = embedding_dedup.embedding_groups(read(spark, sf_dir, "embeddings"))
@@ -102,3 +130,10 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
