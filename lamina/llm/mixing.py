@@ -82,6 +82,7 @@ def source_plan(
 ) -> DataFrame:
     """One row per source (null is one): ``source, tokens, exponent, weight, wanted, epochs, blocks, last_place, last_hash``.
 
+    ``weight`` is in parts per billion, ``wanted`` in tokens.
     ``budget`` counts tokens and is that of the corpus when not given. With ``whole`` it is instead
     the least at which each source is read in full. No rows give no rows.
     """
@@ -95,7 +96,7 @@ def source_plan(
     total, number, largest = int(sums[0] or 0), int(sums[1]), int(sums[2] or 0)
     if not number:
         return counted.select("source", "tokens", *[F.lit(0).cast(t).alias(n) for n, t in (
-            ("exponent", "double"), ("weight", "double"), ("wanted", "long"), ("epochs", "long"), ("blocks", "long"),
+            ("exponent", "double"), ("weight", "long"), ("wanted", "long"), ("epochs", "long"), ("blocks", "long"),
             ("last_place", "long"), ("last_hash", "long"))])
     budget = total if budget is None else budget
     shares = durable(counted.coalesce(max(1, min(200, number // 1000))).withColumn("p", F.col("tokens") / F.lit(total)))
@@ -113,7 +114,7 @@ def source_plan(
     one = powered.agg(F.sum("w"), F.max(F.col("tokens") / F.col("w"))).first()
     reach = one[1] if whole else budget / one[0]
     weighed = powered.select(
-        "source", "tokens", F.lit(exponent / STEP).alias("exponent"), F.round(F.col("w") / one[0], 9).alias("weight"),
+        "source", "tokens", F.lit(exponent / STEP).alias("exponent"), F.round(F.col("w") / one[0] * 1e9).cast("long").alias("weight"),
         F.round(F.col("w") * reach).cast("long").alias("wanted"),
     ).select(
         "*", F.floor(F.col("wanted") / F.col("tokens")).cast("long").alias("epochs"),
@@ -150,7 +151,7 @@ def mix(
     docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tokens: Column | None = None, **how,
 ) -> DataFrame:
     """``docs`` as often as the mix takes them, with ``mix_epoch``, ``mix_place`` (of the block in the
-    epoch), ``mix_order`` (inside the block), ``mix_weight`` and ``mix_exponent``.
+    epoch), ``mix_order`` (inside the block), ``mix_weight`` (parts per billion) and ``mix_exponent``.
 
     ``how`` is passed to ``source_plan``. Reading by source, epoch, place and order gives the sequence.
     Null sources are one source. Null and empty texts count as one token. Rows that repeat an id are

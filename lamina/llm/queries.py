@@ -101,6 +101,43 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, tokens=F.col("tokens"), max_repeats=1.25)
 
 
+ORACLES["op7_mixing"] = """
+WITH RECURSIVE t AS (
+  SELECT doc_id, source, greatest(1, CAST(ceil(coalesce(length(text), 0) / 4.0) AS BIGINT)) AS tokens,
+    ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT AS bh,
+    ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 9, 15))::BIGINT AS oh
+  FROM documents),
+total AS (SELECT CAST(sum(tokens) AS BIGINT) AS n FROM t),
+s AS (SELECT source, CAST(sum(tokens) AS BIGINT) AS tokens, sum(tokens)::DOUBLE / (SELECT n FROM total)::DOUBLE AS p FROM t GROUP BY source),
+halve AS (
+  SELECT 0 AS lo, 1000000 AS hi
+  UNION ALL
+  SELECT CASE WHEN held THEN lo ELSE mid + 1 END, CASE WHEN held THEN mid ELSE hi END FROM (
+    SELECT lo, hi, (lo + hi) // 2 AS mid,
+      (SELECT max(pow(p, ((lo + hi) // 2) / 1000000.0::DOUBLE) / p) / sum(pow(p, ((lo + hi) // 2) / 1000000.0::DOUBLE)) FROM s) <= 1.25 AS held
+    FROM halve WHERE lo < hi)),
+chosen AS (SELECT max(lo) / 1000000.0::DOUBLE AS a FROM halve WHERE lo = hi),
+w AS (SELECT source, tokens, a, pow(p, a) AS w, sum(pow(p, a)) OVER () AS all_w FROM s, chosen),
+want AS (
+  SELECT *, CAST(round(w / all_w * 1000000000.0::DOUBLE) AS BIGINT) AS weight, CAST(round(w * ((SELECT n FROM total) / all_w)) AS BIGINT) AS wanted,
+    least(4096, CAST(ceil(tokens / 1000000.0) AS BIGINT)) AS blocks FROM w),
+plan AS (SELECT *, wanted // tokens AS epochs, wanted % tokens AS spare FROM want),
+rows_ AS (SELECT t.*, plan.weight, plan.a, epochs, spare, blocks, bh % blocks AS block FROM t JOIN plan ON t.source IS NOT DISTINCT FROM plan.source),
+placed AS (
+  SELECT *, (block * (list_extract([1000003, 15485863, 32452843, 49979687, 67867967, 86028121, 104395301, 122949823], CAST(epochs % 8 + 1 AS INT)) % blocks)
+    + epochs * 7919 + 1) % blocks AS last_place FROM rows_),
+-- Places first, then order hashes: one running sum per source decides what the last epoch takes.
+ends AS (
+  SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY last_place, oh RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM placed),
+-- From the first that exceeds the budget on, nothing of the source is taken.
+times AS (SELECT *, epochs + CASE WHEN upto <= spare THEN 1 ELSE 0 END AS n FROM ends)
+SELECT doc_id, source, tokens, e AS mix_epoch,
+  (block * (list_extract([1000003, 15485863, 32452843, 49979687, 67867967, 86028121, 104395301, 122949823], CAST(e % 8 + 1 AS INT)) % blocks) + e * 7919 + 1) % blocks AS mix_place,
+  oh AS mix_order, weight AS mix_weight, a AS mix_exponent
+FROM times, LATERAL (SELECT unnest(range(n)) AS e)
+"""
+
+
 @query
 def op8_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the site of the page that shows them: its host and first path segment. A document
@@ -127,6 +164,25 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))
 
 
+ORACLES["op9_embedding_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b
+  ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (
+  SELECT vec_id AS node, vec_id AS other FROM embeddings
+  UNION
+  SELECT reach.node, links.b FROM reach JOIN links ON reach.other = links.a),
+least_ AS (SELECT node, min(other) AS component FROM reach GROUP BY node),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component AS component_id, vec_id = component AS kept
+FROM embeddings JOIN least_ ON vec_id = node LEFT JOIN counted ON vec_id = a
+"""
+
+
 @query
 def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
