@@ -106,7 +106,7 @@ class Field:
                 pair = forward[t - 1][:, :, None] * moves[None] * incoming[:, None, :]
                 pair /= pair.sum(axis=(1, 2), keepdims=True)
                 expected += pair[goes_on[t]].sum(axis=0)
-            back = np.where(opens[t][:, None], 1.0, incoming @ moves.T)
+            back = np.where(goes_on[t][:, None], incoming @ moves.T, 1.0)
             back /= back.sum(axis=1, keepdims=True)
         return (both[step_of, lane_of], expected) if moves_too else both[step_of, lane_of]
 
