@@ -11,8 +11,8 @@ from lamina.constants import GROUNDING_TOLERANCE, TRIVIAL_NUMBERS, YEAR_RANGE
 from lamina.functions.numbers import bare_number, bare_value, written_numbers
 
 
-# Kinds of cells: by scale for either sign, and by whole number.
-_NEGATIVE, _POSITIVE, _WHOLE = 0, 1, 2
+# Kinds of cells: by scale for either sign, by whole number, and for what no double can hold.
+_NEGATIVE, _POSITIVE, _WHOLE, _INFINITE = 0, 1, 2, 3
 
 
 def extract_numbers(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -35,7 +35,7 @@ def is_trivial(value: Column) -> Column:
 
 def _scale_cell(value: Column, tolerance: float) -> Column:
     """Logarithmic cell no wider than the tolerance, so a match is at most one cell away."""
-    return F.floor(F.log(F.abs(value)) / (-math.log1p(-tolerance))).cast("bigint")
+    return F.floor(F.log(F.abs(value)) / (-math.log1p(-tolerance))).cast("double")
 
 
 def _keys(value: Column, tolerance: float, reach: int) -> Column:
@@ -43,13 +43,18 @@ def _keys(value: Column, tolerance: float, reach: int) -> Column:
     cell = _scale_cell(value, tolerance)
     kind = F.when(value < 0, _NEGATIVE).otherwise(_POSITIVE)
     relative = [
-        F.struct(kind.alias("kind"), (cell + step).cast("double").alias("cell"))
+        F.struct(kind.alias("kind"), (cell + step).alias("cell"))
         for step in range(-reach, reach + 1)
     ]
     # Adding 0.0 turns a negative zero into zero.
     whole = F.struct(F.lit(_WHOLE).alias("kind"), (F.rint(value) + 0.0).alias("cell"))
     # Below 1e-9 only the whole-number rule can apply, and it always does.
-    return F.when(F.abs(value) >= 1e-9, F.array(*relative, whole)).otherwise(F.array(whole))
+    # A run of over 300 digits has no finite value; it equals others of its sign.
+    infinite = F.array(F.struct(F.lit(_INFINITE).alias("kind"), F.signum(value).alias("cell")))
+    return (
+        F.when(F.abs(value) == float("inf"), infinite)
+        .when(F.abs(value) >= 1e-9, F.array(*relative, whole)).otherwise(F.array(whole))
+    )
 
 
 def ground_numbers(
@@ -87,7 +92,8 @@ def ground_numbers(
 
     whole = (F.col("_most") > value - 1) & (F.col("_least") < value + 1)
     near = close(F.col("_least")) | close(F.col("_most"))
-    match = F.when(F.col("_kind") == _WHOLE, whole).otherwise(near)
+    same = F.col("_least").isNotNull()
+    match = F.when(F.col("_kind") == _WHOLE, whole).when(F.col("_kind") == _INFINITE, same).otherwise(near)
     met = asked.join(cells, [key, "_kind", "_cell"], "left")
     return met.groupBy(key, "position", "written", "value").agg(
         F.max(F.coalesce(match, F.lit(False))).alias("grounded")

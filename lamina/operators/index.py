@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lamina.constants import BODY_WEIGHT, FRENCH_STOP_WORDS, HEADING_WEIGHT
 from lamina.functions.text import content_hash
+from lamina.session import durable
 from lamina.sources.sinks import upsert_by_source
 
 WORD_BREAK = r"[^\p{L}\p{N}_]+"
@@ -82,13 +83,19 @@ def index_incremental(
 ) -> DataFrame:
     """The refreshed chunk table.
 
-    Only changed or new sources are chunked; their old rows go. Sources that vanished stay, as
-    does a changed source that no longer yields any chunk.
+    Only changed or new sources are chunked, once; their old rows go. Sources that vanished stay,
+    as does a changed source that no longer yields any chunk. ``chunker`` copies ``source_id`` to
+    its chunks; the hash travels with it.
     """
     changed = changed_sources(files, indexed)
-    hashes = changed.select("source_id", "source_hash")
-    fresh = chunker(changed).join(hashes, "source_id")
-    return upsert_by_source(indexed, fresh.select(*indexed.columns))
+    mark = F.concat("source_hash", F.lit(":"), "source_id")
+    chunked = chunker(changed.withColumn("source_id", mark))
+    size = F.length(F.substring_index("source_id", ":", 1))
+    fresh = chunked.withColumns({
+        "source_hash": F.substring_index("source_id", ":", 1),
+        "source_id": F.substring(F.col("source_id"), size + 2, F.length("source_id")),
+    })
+    return upsert_by_source(indexed, durable(fresh.select(*indexed.columns)))
 
 
 def index_health(chunks: DataFrame, postings: DataFrame) -> DataFrame:

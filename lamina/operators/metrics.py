@@ -12,11 +12,13 @@ from lamina.operators.aggregates import exact_percentiles, pooled_ratio, share_t
 from lamina.operators.relational import top_per_group
 
 UNANSWERABLE = "unanswerable"
+# The metrics, in order of report.
 METRICS = (
-    "sql_execution_accuracy sql_valid_rate routing_accuracy routing_superset_rate "
-    "retrieval_recall faithfulness_mean faithfulness_at_least_4 answer_correctness_mean "
-    "refusal_accuracy false_refusal_rate number_grounding latency_p50_ms latency_p95_ms"
-).split()
+    "sql_execution_accuracy", "sql_valid_rate", "routing_accuracy", "routing_superset_rate",
+    "retrieval_recall", "faithfulness_mean", "faithfulness_at_least_4", "answer_correctness_mean",
+    "refusal_accuracy", "false_refusal_rate", "number_grounding", "latency_p50_ms",
+    "latency_p95_ms",
+)
 
 
 def tools_match(called: Column, expected: Column) -> Column:
@@ -64,7 +66,9 @@ def metrics_aggregate(outcomes: DataFrame, config: str = "config") -> DataFrame:
     Routing and false refusals count answerable questions only, refusal accuracy unanswerable
     ones only; latencies of 0 are unknown and left out.
     """
-    scopes = F.array(F.lit("overall"), F.col("category"))
+    clash = F.raise_error(F.lit("a category is named 'overall'")).cast("string")
+    category = F.when(F.col("category") == "overall", clash).otherwise(F.col("category"))
+    scopes = F.array(F.lit("overall"), category)
     scoped = outcomes.withColumn("scope", F.explode(scopes))
     answerable = F.col("category") != UNANSWERABLE
     called, expected = F.col("tools_called"), F.col("expected_tools")
@@ -111,10 +115,11 @@ def stratified_sample(
     questions: DataFrame, limit: int, category: str = "category", order: Sequence[str] = ("id",)
 ) -> DataFrame:
     """The first rows of every category, sharing ``limit`` equally; at least one each."""
-    categories = questions.select(F.count_distinct(category)).first()[0]
-    each = max(1, limit // max(categories, 1))
-    chosen = top_per_group(questions, [category], [F.col(c) for c in order], each, rank="_rank")
-    return chosen.drop("_rank")
+    number = F.greatest(F.count_distinct(category), F.lit(1))
+    each = questions.agg(F.greatest(F.lit(1), F.floor(F.lit(limit) / number)).alias("_each"))
+    # No category gives more than ``limit``; how many it does give is one row that joins later.
+    chosen = top_per_group(questions, [category], [F.col(c) for c in order], max(1, limit), rank="_rank")
+    return chosen.join(F.broadcast(each), F.col("_rank") <= F.col("_each")).drop("_rank", "_each")
 
 
 def metric_pivot(summary: DataFrame, configs: Sequence[str] | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.constants import CANDIDATES_PER_BRANCH, EVIDENCE_MAX_CHARS, RRF_K, TOP_K
+from lamina.constants import CANDIDATES_PER_BRANCH, RRF_K, TOP_K
 from lamina.functions.text import citation
 from lamina.operators.fusion import rrf_fuse
 from lamina.operators.index import french_stem, terms, weight_value
@@ -328,10 +328,13 @@ def with_citation(hits: DataFrame) -> DataFrame:
 
 
 def evidence_context(
-    queries: DataFrame, hits: DataFrame, title: str = "title", max_chars: int = EVIDENCE_MAX_CHARS
+    queries: DataFrame, hits: DataFrame, title: str = "title", max_chars: int | None = None
 ) -> DataFrame:
-    """All hits of a query as one labelled text; ``hits`` hold at most k rows per query."""
-    content = F.substring("content", 1, max_chars)
+    """All hits of a query as one labelled text; ``hits`` hold at most k rows per query.
+
+    Passages are whole unless ``max_chars`` cuts them; ``EVIDENCE_MAX_CHARS`` is a usual cut.
+    """
+    content = F.col("content") if max_chars is None else F.substring("content", 1, max_chars)
     head = F.concat(F.lit("--- SOURCE "), F.col("citation"))
     doc = F.concat(head, F.lit(" (titre: "), F.col(title), F.lit(") ---\n"), content)
     symbol = F.when(F.length("section") > 0, F.concat(F.lit(" ("), "section", F.lit(")"))).otherwise("")

@@ -54,4 +54,4 @@ def join_shift_range(df: DataFrame, shifts: DataFrame, ts: str) -> DataFrame:
         hours, lambda hour: F.pmod(hour - F.col("start_hour") + 24, F.lit(24)) < span
     )
     by_hour = shifts.withColumn("_hour", F.explode(covered))
-    return df.withColumn("_hour", F.hour(ts)).join(F.broadcast(by_hour), "_hour").drop("_hour")
+    return df.withColumn("_hour", F.hour(ts)).join(by_hour, "_hour").drop("_hour")

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lamina import schemas
 from lamina.constants import ENERGY_COLUMNS, FAULT_TYPES, PLATE_COLUMNS, PRODUCTION_LINES, SHIFTS
 from lamina.constants import STEEL_GRADES
 from lamina.functions.calendar import parse_day_first
 from lamina.functions.text import content_hash
+from lamina.sources.sinks import RUN_COLUMNS
 
 
 def require_columns(df: DataFrame, wanted: Sequence[str]) -> None:
@@ -38,9 +42,15 @@ def scan_csv(
     """Read a CSV with a header, keep and rename ``columns``, cast to ``types``.
 
     Only the header is read up front; every value column arrives as text and is cast in the
-    same stage as the scan. A byte-order mark is dropped by the reader.
+    same stage as the scan. A byte-order mark is dropped by the reader. A file whose header
+    differs from the first one's, in order too, and a row of another width fail the job.
     """
-    raw = spark.read.csv(path, header=True)
+    names = spark.read.csv(path, header=True).columns
+    text = StructType([StructField(name, StringType()) for name in names])
+    # Without pruning the reader sees, and so can count, every value of a row.
+    raw = spark.read.option("columnPruning", "false").csv(
+        path, schema=text, header=True, enforceSchema=False, mode="FAILFAST"
+    )
     require_columns(raw, [*columns, *extra])
     parsers = parsers or {}
 
@@ -105,11 +115,12 @@ def scan_code(spark: SparkSession, path: str, suffixes: Sequence[str] = (".py",
 def with_front_matter(files: DataFrame) -> DataFrame:
     """Split documents (path, text) into ``doc_id``, ``metadata``, ``body`` and ``source_hash``.
 
-    The block between two ``---`` lines at the top holds ``key: value`` lines.
+    The block between two ``---`` lines at the top holds ``key: value`` lines. The last value of a
+    repeated key counts; indented lines, list items and comments are passed over.
     """
     block_pattern = r"(?s)\A---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)"
     block = F.regexp_extract("text", block_pattern, 1)
-    lines = F.filter(F.split(block, r"\r?\n"), lambda line: line.contains(":"))
+    lines = F.filter(F.split(block, r"\r?\n"), lambda line: line.rlike(r"^[^\s#:-][^:]*:"))
     unquote = r"""^["'](.*)["']$"""
     pairs = F.transform(
         lines,
@@ -121,9 +132,13 @@ def with_front_matter(files: DataFrame) -> DataFrame:
         ),
     )
     stem = F.regexp_replace("path", r"\.[^.]*$", "")
+    # Entries from the last to the first: the first of a key is then the one that counts.
+    backwards = F.reverse(pairs)
+    place = F.transform(backwards, lambda p: F.array_position(F.transform(backwards, lambda q: q["key"]), p["key"]))
+    kept = F.filter(backwards, lambda p, i: F.get(place, i) == i + 1)
     return files.select(
         "path",
-        F.map_from_entries(pairs).alias("metadata"),
+        F.map_from_entries(F.reverse(kept)).alias("metadata"),
         F.regexp_replace(
             F.regexp_replace("text", block_pattern, ""), r"\A\s+|\s+\z", ""
         ).alias("body"),
@@ -168,30 +183,44 @@ def split_list(text: Column) -> Column:
     return F.filter(parts, lambda item: item != "")
 
 
+def _run_of(file: str) -> tuple[str, str]:
+    """Configuration and stamp of a run file, from its path."""
+    in_folder = re.search(r"run=([^/]+)/config=([^/]+)/[^/]+$", file)
+    if in_folder:
+        return in_folder[2], in_folder[1]
+    by_name = re.search(r"([^/]+)-(\d{8}-\d{6})\.csv$", file)
+    if by_name:
+        return by_name[1], by_name[2]
+    raise ValueError(f"not the name of a run file: {file}")
+
+
 def scan_run_csv(spark: SparkSession, path: str) -> DataFrame:
     """Outcomes of the latest run of every configuration.
 
     Runs are files ``<config>-<yyyyMMdd-HHmmss>.csv`` or folders ``run=<stamp>/config=<config>``
-    as ``sink_run_csv`` writes them. The newest stamp per configuration comes from the paths
-    alone; the rows of older runs are dropped before parsing.
+    as ``sink_run_csv`` writes them. The newest stamp per configuration comes from the list of
+    files alone; those of older runs are not opened.
     """
-    raw = spark.read.csv(
-        path, header=True, multiLine=True, escape='"', pathGlobFilter="*.csv",
-        recursiveFileLookup=True,
-    )
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option(
+        "recursiveFileLookup", "true").load(path).inputFiles()
+    newest: dict[str, tuple[str, list[str]]] = {}
+    for file in listed:
+        config, stamp = _run_of(file)
+        known, files = newest.setdefault(config, (stamp, []))
+        if stamp > known:
+            newest[config] = stamp, [file]
+        elif stamp == known:
+            files.append(file)
+    chosen = [unquote(file) for _, files in newest.values() for file in files]
+    schema = ", ".join(f"{name} string" for name in RUN_COLUMNS)
+    raw = spark.read.schema(schema).csv(
+        chosen, header=True, enforceSchema=False, multiLine=True, escape='"')
     file_path = F.col("_metadata.file_path")
-    folder, name = r"run=([^/]+)/config=([^/]+)/[^/]+$", r"([^/]+)-(\d{8}-\d{6})\.csv$"
-    in_folder = file_path.rlike(folder)
-
-    def part(folder_group: int, name_group: int) -> Column:
-        # A folder name is escaped once by the writer and once more in the path.
-        escaped = F.url_decode(F.url_decode(F.regexp_extract(file_path, folder, folder_group)))
-        plain = F.url_decode(F.regexp_extract(file_path, name, name_group))
-        return F.when(in_folder, escaped).otherwise(plain)
-
-    named = raw.withColumns({"config": part(2, 1), "_stamp": part(1, 2)})
-    latest = named.groupBy("config").agg(F.max("_stamp").alias("_stamp"))
-    rows = named.join(latest, ["config", "_stamp"], "left_semi")
+    folder, name = r"run=[^/]+/config=([^/]+)/[^/]+$", r"([^/]+)-\d{8}-\d{6}\.csv$"
+    # A folder name is escaped once by the writer and once more in the path.
+    escaped = F.url_decode(F.url_decode(F.regexp_extract(file_path, folder, 1)))
+    plain = F.url_decode(F.regexp_extract(file_path, name, 1))
+    rows = raw.withColumn("config", F.when(file_path.rlike(folder), escaped).otherwise(plain))
 
     def number(name: str, kind: str) -> Column:
         return F.nullif(F.col(name), F.lit("")).cast(kind)

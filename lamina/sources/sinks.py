@@ -7,13 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Columns of a run file, in order.
+# The columns of a run file, in order.
 RUN_COLUMNS = (
-    "id category lang question tools_called expected_tools sql_generated sql_valid sql_correct "
-    "retrieval_hit faithfulness answer_correctness refused numbers_checked numbers_grounded "
-    "latency_ms answer error"
-).split()
-ANSWER_CHARS = 800
+    "id", "category", "lang", "question", "tools_called", "expected_tools", "sql_generated",
+    "sql_valid", "sql_correct", "retrieval_hit", "faithfulness", "answer_correctness", "refused",
+    "numbers_checked", "numbers_grounded", "latency_ms", "answer", "error",
+)
 
 
 def sink_replace(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
@@ -36,25 +35,39 @@ def sink_upsert_by_source(
     return spark.read.parquet(new_path)
 
 
+def _in_buckets(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    return df.withColumns({"buckets": F.lit(buckets), "bucket": bucket})
+
+
+def sink_buckets(df: DataFrame, path: str, key: str = "source_id", buckets: int = 64) -> None:
+    """Create a table for ``sink_upsert_buckets``: folders by number of buckets, then by bucket."""
+    _in_buckets(df, key, buckets).write.partitionBy("buckets", "bucket").parquet(path)
+
+
 def sink_upsert_buckets(
-    spark: SparkSession, path: str, new: DataFrame, key: str = "source_id", buckets: int = 64
+    spark: SparkSession, path: str, new: DataFrame, key: str = "source_id",
+    buckets: int | None = None,
 ) -> None:
     """In-place variant for large tables: only the hash buckets ``new`` touches are rewritten.
 
-    The table is partitioned by ``bucket = hash(key) mod buckets``, so the rewrite costs as
-    much as the buckets that changed and not as much as the table.
+    The table is one of ``sink_buckets``, whose folders tell the number of buckets; a different
+    ``buckets`` is refused. The rewrite costs as much as the buckets that changed and not as much
+    as the table.
     """
     from lamina.session import durable
 
-    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    incoming = durable(new.withColumn("bucket", bucket))
     old = spark.read.parquet(path)
+    stored = sorted(row[0] for row in old.select("buckets").distinct().limit(2).collect())
+    if len(stored) != 1 or buckets not in (None, *stored):
+        raise ValueError(f"the table at {path} has {stored} buckets, not {buckets}")
+    incoming = durable(_in_buckets(new, key, stored[0]))
     touched = old.join(F.broadcast(incoming.select("bucket").distinct()), "bucket", "left_semi")
-    merged = durable(upsert_by_source(touched, incoming.select(*old.columns), key))
+    merged = durable(upsert_by_source(touched, incoming.select(*touched.columns), key))
     (
         merged.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("bucket")
+        .partitionBy("buckets", "bucket")
         .parquet(path)
     )
 
@@ -88,8 +101,12 @@ def sink_gold(results: DataFrame, questions: DataFrame, path: str, id_col: str =
     gold_rows(results, questions, id_col).write.mode("overwrite").json(path)
 
 
-def run_rows(outcomes: DataFrame) -> DataFrame:
-    """Outcomes in run-file form: joined lists, one-line answers cut for display, True/False."""
+def run_rows(outcomes: DataFrame, answer_chars: int | None = None) -> DataFrame:
+    """Outcomes in run-file form: joined lists, one-line answers, True/False.
+
+    Answers are whole unless ``answer_chars`` asks for a cut.
+    """
+    answer = F.translate("answer", "\n", " ")
     def flag(name: str):
         return F.when(F.col(name), "True").when(~F.col(name), "False").alias(name)
 
@@ -99,15 +116,17 @@ def run_rows(outcomes: DataFrame) -> DataFrame:
         "sql_valid": flag("sql_valid"),
         "sql_correct": flag("sql_correct"),
         "refused": flag("refused"),
-        "answer": F.substring(F.translate("answer", "\n", " "), 1, ANSWER_CHARS).alias("answer"),
+        "answer": (answer if answer_chars is None else F.substring(answer, 1, answer_chars)).alias("answer"),
     }
     return outcomes.select("config", *[shown.get(c, F.col(c)) for c in RUN_COLUMNS])
 
 
-def sink_run_csv(outcomes: DataFrame, path: str, stamp: str) -> None:
+def sink_run_csv(
+    outcomes: DataFrame, path: str, stamp: str, answer_chars: int | None = None
+) -> None:
     """Scored rows of a run below ``run=<stamp>``, one folder per configuration."""
     (
-        run_rows(outcomes)
+        run_rows(outcomes, answer_chars)
         .write.mode("overwrite")
         .partitionBy("config")
         .csv(

@@ -20,14 +20,14 @@ def verdict(spark, pred, gold, schema, gold_schema=None, position=None):
 @pytest.mark.parametrize(
     ("pred", "gold", "schema", "gold_schema", "expected"),
     [
-        ([("b", 2), ("a", 1)], [("a", 1), ("b", 2)], "k string, n int", None, True),
-        ([(405,)], [(402,)], "n int", None, False),
-        ([(959636.7100000565,)], [(959636.7,)], "v double", None, True),
-        ([(959636.7,)], [(900000.0,)], "v double", None, False),
-        ([(Decimal("122.4184782608695652"),)], [(122.41847826086957,)], "v decimal(30,16)", "v double", True),
-        ([("L1", 267, "x")], [("L1", 267)], "a string, n int, b string", "a string, n int", True),
-        ([(1,), (2,)], [(1,)], "n int", None, False),
-        ([(1,), (1,)], [(1,), (2,)], "n int", None, False),
+        ([("west", 8), ("east", 5)], [("east", 5), ("west", 8)], "k string, n int", None, True),
+        ([(73,)], [(71,)], "n int", None, False),
+        ([(48210.5000000031,)], [(48210.5,)], "v double", None, True),
+        ([(48210.5,)], [(40000.0,)], "v double", None, False),
+        ([(Decimal("3.3333333333333333"),)], [(10 / 3,)], "v decimal(30,16)", "v double", True),
+        ([("press", 12, "note")], [("press", 12)], "a string, n int, b string", "a string, n int", True),
+        ([(4,), (6,)], [(4,)], "n int", None, False),
+        ([(4,), (4,)], [(4,), (6,)], "n int", None, False),
         ([(float("nan"),)], [(float("nan"),)], "v double", None, True),
         ([(None, 1.0)], [(None, 1.001)], "k string, v double", None, True),
         ([(" a ",)], [("a",)], "k string", None, True),

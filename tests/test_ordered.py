@@ -47,21 +47,26 @@ def test_moving_average_across_blocks(skewed, keys, block):
     assert {r["id"]: pytest.approx(r["moving_avg"]) for r in found.collect()} == expected
 
 
-@pytest.mark.parametrize("small", [0, 10**6])
-def test_percentiles_are_exact_on_both_paths(skewed, small):
+@pytest.mark.parametrize("times", [1, 60])
+def test_percentiles_are_exact_for_small_and_large_groups(skewed, times):
     data, df = skewed
-    times = 1
-    if small == 0:
-        # The bracket path needs groups where 1/1,000 of the rows is several ranks.
-        times = 50
-        copies = F.explode(F.sequence(F.lit(1), F.lit(times)))
-        df = df.filter("k = 'hot'").withColumn("copy", copies)
-    found = aggregates.exact_percentiles(df, ["k"], "v", [0.5, 0.95, 0.0, 1.0], small_group=small)
+    copies = F.explode(F.sequence(F.lit(1), F.lit(times)))
+    found = aggregates.exact_percentiles(df.withColumn("copy", copies), ["k"], "v", [0.5, 0.95, 0.0, 1.0])
     for r in found.collect():
         values = np.repeat([v for _, k, v in data if k == r["k"]], times)
         assert r["percentile"] == pytest.approx(np.quantile(values, r["fraction"])), r
 
 
+@pytest.mark.parametrize("shape", ["id", "sqrt(id)", "id % 3", "case when id < 30000 then 7 else id end"])
+def test_percentiles_of_many_rows_without_keys(spark, shape):
+    df = spark.range(40_000).selectExpr(f"cast({shape} as double) as v")
+    values = [r["v"] for r in df.collect()]
+    found = aggregates.exact_percentiles(df, [], "v", [0.0, 0.1, 0.5, 0.75, 0.999, 1.0]).collect()
+    assert len(found) == 6
+    for r in found:
+        assert r["percentile"] == pytest.approx(np.quantile(values, r["fraction"])), r
+
+
 def test_percentile_of_few_values(spark):
     one = spark.createDataFrame([("a", 10.0), ("b", None)], "k string, v double")
     assert rows(aggregates.exact_percentiles(one, ["k"], "v", [0.95])) == [("a", 0.95, 10.0)]

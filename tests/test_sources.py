@@ -117,7 +117,7 @@ def test_latest_run_wins_per_configuration(spark, tmp_path):
     read = {r["config"]: r for r in files.scan_run_csv(spark, path).collect()}
     assert set(read) == {"c3", "c/0"}
     row = read["c3"]
-    assert row["answer"].startswith(' say "hi", there x') and len(row["answer"]) == 800
+    assert row["answer"].startswith(' say "hi", there x') and len(row["answer"]) == 917
     assert (row["tools_called"], row["sql_valid"], row["sql_correct"], row["refused"]) == (["a", "b"], True, None, False)
     assert (row["retrieval_hit"], row["faithfulness"], row["latency_ms"], row["error"]) == (1.0, None, 1200, None)
 
@@ -140,11 +140,41 @@ def test_upsert_is_idempotent(spark, tmp_path):
     once = sinks.upsert_by_source(old, new)
     assert rows(once) == expected and rows(sinks.upsert_by_source(once, new)) == expected
     path = str(tmp_path / "t")
-    bucket = F.pmod(F.xxhash64("source_id"), F.lit(4)).cast("int")
-    old.withColumn("bucket", bucket).write.partitionBy("bucket").parquet(path)
-    for _ in range(2):
-        sinks.sink_upsert_buckets(spark, path, new, buckets=4)
+    sinks.sink_buckets(old, path, buckets=4)
+    for given in (4, None):
+        sinks.sink_upsert_buckets(spark, path, new, buckets=given)
         assert rows(spark.read.parquet(path), "source_id", "v") == expected
+    # Another number of buckets would leave replaced rows where they are.
+    with pytest.raises(ValueError, match="buckets"):
+        sinks.sink_upsert_buckets(spark, path, new, buckets=8)
+
+
+def test_answers_are_cut_on_request_only(spark):
+    answer = "a" * 2000
+    assert rows(sinks.run_rows(outcomes(spark, answer)), "answer") == [(answer,)]
+    assert rows(sinks.run_rows(outcomes(spark, answer), answer_chars=800), "answer") == [("a" * 800,)]
+
+
+@pytest.mark.parametrize("body", [["x,y", "1,2", "3,4,5"], ["x,y", "1"]])
+def test_rows_of_another_width_fail(spark, tmp_path, body):
+    write(tmp_path / "a.csv", body)
+    scan = files.scan_csv(spark, str(tmp_path), {"x": "x"}, {"x": "int"})
+    with pytest.raises(Exception, match="(?i)malformed|FAILFAST|token"):
+        scan.collect()
+
+
+def test_files_with_columns_in_another_order_fail(spark, tmp_path):
+    write(tmp_path / "a.csv", ["x,y", "1,2"])
+    write(tmp_path / "b.csv", ["y,x", "1,2"])
+    with pytest.raises(Exception, match="(?i)header"):
+        files.scan_csv(spark, str(tmp_path), {"x": "x", "y": "y"}, {"x": "int", "y": "int"}).collect()
+
+
+def test_front_matter_with_repeated_and_nested_keys(spark):
+    text = "---\ndoc_id: first\ntags:\n  - a: b\n- c: d\n# note: x\ndoc_id: second\nurl: http://h/p\n---\nbody"
+    parsed = files.with_front_matter(spark.createDataFrame([("p.md", text)], "path string, text string")).first()
+    assert (parsed["doc_id"], parsed["body"]) == ("second", "body")
+    assert parsed["metadata"] == {"tags": "", "doc_id": "second", "url": "http://h/p"}
 
 
 def test_empty_gold_is_an_error(spark, tmp_path):

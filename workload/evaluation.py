@@ -10,8 +10,6 @@ from workload import tables as t
 from workload.answers import _any_of
 from workload.registry import query
 
-SOURCES = tuple(f"src{i}" for i in range(20))
-
 
 def _results(spark, sf):
     """Per supplier, predicted and gold rows of (flag, count, mean price).
@@ -279,14 +277,14 @@ def _pivot() -> str:
         f"SELECT config, '{names.get(m, m)}' AS metric, {m}{' / 1000' if m in names else ''} AS value FROM s"
         for m in _METRICS
     )
-    cells = ", ".join(f"round(max(value) FILTER (WHERE config = '{c}'), 6) AS {c}" for c in SOURCES)
-    return f"SELECT metric, {cells} FROM (WITH s AS (SELECT * FROM ({_summary()}) WHERE scope = 'overall') {rows}) GROUP BY 1"
+    long = f"WITH s AS (SELECT * FROM ({_summary()}) WHERE scope = 'overall') {rows}"
+    return f"PIVOT (SELECT config, metric, round(value, 6) AS value FROM ({long})) ON config USING max(value) GROUP BY metric"
 
 
 @query("metric_pivot", _pivot(), "outcomes")
 def _(spark, sf):
     summary = _rounded(metrics.metrics_aggregate(t.outcomes(spark, sf)))
-    return _rounded(metrics.metric_pivot(summary, SOURCES))
+    return _rounded(metrics.metric_pivot(summary))
 
 
 _BEST = (

@@ -106,7 +106,7 @@ _RUN = """SELECT config, CAST(id AS VARCHAR) AS id, category,
     array_to_string(tools_called, '|') AS tools_called, sql_valid, sql_correct, retrieval_hit,
     faithfulness, refused, CAST(numbers_checked AS INTEGER) AS numbers_checked,
     CAST(latency_ms AS INTEGER) AS latency_ms,
-    substr(replace(answer, chr(10), ' '), 1, 800) AS answer, error FROM outcomes"""
+    replace(answer, chr(10), ' ') AS answer, error FROM outcomes"""
 
 
 def _run(spark, sf):
@@ -216,9 +216,8 @@ def _(spark, sf):
 def _(spark, sf):
     old, new = _versions(spark, sf)
     path = _folder(spark, "buckets")
-    bucket = F.pmod(F.xxhash64("source_id"), F.lit(8)).cast("int")
-    old.withColumn("bucket", bucket).write.partitionBy("bucket").parquet(path)
-    sinks.sink_upsert_buckets(spark, path, new, buckets=8)
+    sinks.sink_buckets(old, path, buckets=8)
+    sinks.sink_upsert_buckets(spark, path, new)
     return _by_version(spark.read.parquet(path))
 
 

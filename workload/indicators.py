@@ -314,7 +314,8 @@ def _(spark, sf):
 
 
 def _oee_periods(spark, sf):
-    """Per month: 93 shifts planned, corrective downtime, plates made and rejected."""
+    """Per month with plates: 93 shifts planned, corrective downtime (none where no event is), plates
+    made and rejected."""
     month = calendar.month_start
     downtime = t.maintenance(spark, sf).groupBy(month(F.col("started_at")).alias("period")).agg(
         (F.sum("downtime_minutes") / 100).alias("downtime_minutes")
@@ -323,18 +324,20 @@ def _oee_periods(spark, sf):
         F.count("*").alias("plates"), F.count_if(F.col("steel_grade") == "R").alias("rejected")
     )
     planned = maintenance.planned_minutes(F.lit(93))
-    return downtime.join(made, "period").withColumn("planned_minutes", planned)
+    joined = made.join(downtime, "period", "left").withColumn("planned_minutes", planned)
+    stopped = F.coalesce("downtime_minutes", F.lit(0).cast(joined.schema["downtime_minutes"].dataType))
+    return joined.withColumn("downtime_minutes", stopped)
 
 
 _OEE = f"""SELECT {_month('period')} AS period, round(a, 6) AS availability,
     round(p, 6) AS performance, round(q, 6) AS quality, round(a * p * q, 6) AS oee FROM (
     SELECT period, greatest(44640 - d, 0) / 44640.0 AS a,
     CASE WHEN 44640 - d > 0 THEN least(n / ((44640 - d) / 60.0) / 42, 1.0) ELSE 0.0 END AS p,
-    (n - r) / CAST(n AS DOUBLE) AS q FROM
-    (SELECT date_trunc('month', started_at) AS period, sum(downtime_minutes) / 100.0 AS d
-     FROM maintenance GROUP BY 1) JOIN
+    (n - r) / CAST(n AS DOUBLE) AS q FROM (SELECT period, n, r, coalesce(d, 0) AS d FROM
     (SELECT date_trunc('month', inspected_at) AS period, count(*) AS n,
-     count(*) FILTER (WHERE steel_grade = 'R') AS r FROM plates GROUP BY 1) USING (period))"""
+     count(*) FILTER (WHERE steel_grade = 'R') AS r FROM plates GROUP BY 1) LEFT JOIN
+    (SELECT date_trunc('month', started_at) AS period, sum(downtime_minutes) / 100.0 AS d
+     FROM maintenance GROUP BY 1) USING (period)))"""
 
 
 @query("oee_components", _OEE.replace(", round(a * p * q, 6) AS oee", ""), "maintenance", "plates")

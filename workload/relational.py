@@ -66,9 +66,10 @@ def _(spark, sf):
     "plates", "faults",
 )
 def _(spark, sf):
-    joined = t.plates(spark, sf).join(t.faults(spark, sf), "fault_code")
+    counted = t.plates(spark, sf).groupBy("fault_code", "steel_grade").agg(F.count("*").alias("_n"))
+    joined = counted.join(t.faults(spark, sf), "fault_code")
     kept = joined.filter((F.col("severity") >= 3) | F.col("steel_grade").isin("A"))
-    return kept.groupBy("steel_grade").agg(F.count("*").alias("n"))
+    return kept.groupBy("steel_grade").agg(F.sum("_n").alias("n"))
 
 
 @query(
@@ -156,10 +157,12 @@ def _(spark, sf):
     "plates", "lines", "faults",
 )
 def _(spark, sf):
-    joined = t.plates(spark, sf).join(t.lines(spark, sf), "line_id").join(
-        t.faults(spark, sf), "fault_code"
+    counted = t.plates(spark, sf).groupBy("line_id", "fault_code").agg(F.count("*").alias("_n"))
+    by_process = counted.join(t.lines(spark, sf), "line_id").groupBy("process", "fault_code").agg(
+        F.sum("_n").alias("_n")
     )
-    return joined.groupBy("process", "label_fr").agg(F.count("*").alias("n"))
+    joined = by_process.join(t.faults(spark, sf), "fault_code")
+    return joined.groupBy("process", "label_fr").agg(F.sum("_n").alias("n"))
 
 
 @query(
@@ -326,9 +329,11 @@ def _(spark, sf):
     "plates", "faults",
 )
 def _(spark, sf):
-    joined = t.plates(spark, sf).join(t.faults(spark, sf), "fault_code")
+    counted = t.plates(spark, sf).groupBy("fault_code", "steel_grade").agg(F.count("*").alias("_n"))
+    joined = counted.join(t.faults(spark, sf), "fault_code")
+    critical = F.when(F.col("severity") == 3, F.col("_n")).otherwise(0)
     return joined.groupBy("steel_grade").agg(
-        F.count_if(F.col("severity") == 3).alias("critical"), F.count("*").alias("total")
+        F.sum(critical).alias("critical"), F.sum("_n").alias("total")
     )
 
 

@@ -213,7 +213,7 @@ def _(spark, sf):
     sqltext.branches() + "SELECT item_id AS query_id, coalesce(context, '(no document matched)') AS "
     "context FROM benchmark LEFT JOIN (SELECT query_id, string_agg('--- SOURCE [' || source_id || ' §' || "
     "split_part(section, ' > ', 2) || '] (titre: ' || title || ') ---' || chr(10) || "
-    "substr(content, 1, 1200), chr(10) || chr(10) ORDER BY rank) AS context FROM fused JOIN chunks USING "
+    "content, chr(10) || chr(10) ORDER BY rank) AS context FROM fused JOIN chunks USING "
     "(chunk_id) WHERE rank <= 5 GROUP BY 1) ON query_id = item_id",
 )
 def _(spark, sf):
