@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 #: A task holds about this much text at a time, whatever the session's batch settings are. One
 #: text larger than this is a batch of its own.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 3 << 20
 BATCH_ROWS = 4000
 
 
