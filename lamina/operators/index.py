@@ -42,28 +42,40 @@ def term_index(
     """Postings (chunk_id, term, weight, tf): heading terms weigh A, body terms B.
 
     ``only`` holds the terms worth counting, when the postings serve one batch of queries.
-    Chunks are partitioned by id before their terms are counted. The counting then needs no
-    shuffle of terms, and neither does a later sum per chunk.
+    A chunk is one row, so its terms are counted inside the row: sorted, equal terms are runs,
+    and a count is the distance of two starts. No text and no single term is shuffled.
     """
+    def words(name: str) -> Column:
+        found = terms(F.coalesce(F.col(name), F.lit("")))
+        if stop_words:
+            found = F.filter(found, lambda w: ~w.isin(*stop_words))
+        return F.array_sort(F.transform(found, french_stem) if stem else found)
+
     fields = F.array(
-        *[
-            F.struct(F.lit(weight).alias("weight"), terms(F.coalesce(F.col(name), F.lit(""))).alias("terms"))
-            for weight, name in (("A", heading), ("B", content))
-        ]
+        *[F.struct(F.lit(weight).alias("weight"), words(name).alias("terms"))
+          for weight, name in (("A", heading), ("B", content))]
+    )
+    sorted_terms = (
+        chunks.select(F.col(chunk_id).alias("chunk_id"), F.explode(fields).alias("_f"))
+        .select("chunk_id", "_f.weight", F.col("_f.terms").alias("_terms"))
+        .filter(F.size("_terms") > 0)
+    )
+    places = F.sequence(F.lit(0), F.size("_terms") - 1)
+    begins = F.filter(
+        places, lambda at: (at == 0) | (F.get("_terms", at) != F.get("_terms", F.greatest(at - 1, F.lit(0))))
+    )
+    with_begins = sorted_terms.withColumn("_begins", begins)
+    runs = F.transform(
+        "_begins",
+        lambda at, n: F.struct(
+            F.get("_terms", at).alias("term"),
+            (F.coalesce(F.get("_begins", n + 1), F.size("_terms")) - at).cast("bigint").alias("tf"),
+        ),
     )
-    split = (
-        chunks.select(F.col(chunk_id).alias("chunk_id"), heading, content)
-        .repartition("chunk_id")
-        .select("chunk_id", F.explode(fields).alias("_f"))
-        .select("chunk_id", "_f.weight", F.explode("_f.terms").alias("term"))
+    found = with_begins.select("chunk_id", "weight", F.explode(runs).alias("_r")).select(
+        "chunk_id", "_r.term", "weight", "_r.tf"
     )
-    if stop_words:
-        split = split.filter(~F.col("term").isin(*stop_words))
-    if stem:
-        split = split.withColumn("term", french_stem(F.col("term")))
-    if only is not None:
-        split = split.join(only.select("term").distinct(), "term", "left_semi")
-    return split.groupBy("chunk_id", "term", "weight").agg(F.count("*").alias("tf"))
+    return found if only is None else found.join(only.select("term").distinct(), "term", "left_semi")
 
 
 def weight_value() -> Column:

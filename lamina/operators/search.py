@@ -15,8 +15,9 @@ from lamina.operators.fusion import rrf_fuse
 from lamina.operators.index import french_stem, terms, weight_value
 from lamina.operators.relational import top_per_group
 
-# A side is held whole in every worker only up to this many vectors.
+# A side is held whole in every worker only up to this many vectors and bytes as doubles.
 BROADCAST_ROWS = 8_192
+BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 16_384
 # Scores held at once by a task: 64 MB of doubles.
 SCORE_CELLS = 8_000_000
@@ -78,9 +79,11 @@ def _side(df: DataFrame, key: str, vector: str, name: str) -> DataFrame:
     return df.select(F.col(key).alias(name), F.col(vector).alias("vector")).filter("vector IS NOT NULL")
 
 
-def _fits(df: DataFrame, key: str, rows: int) -> bool:
-    """Whether a table has at most ``rows`` rows; reads its key column up to that many."""
-    return df.select(key).limit(rows + 1).count() <= rows
+def _fits(df: DataFrame, vector: str, rows: int) -> bool:
+    """Whether a side has at most ``rows`` vectors and few enough bytes; reads no more than that."""
+    count, longest = df.select(F.size(vector).alias("_d")).limit(rows + 1).agg(
+        F.count("*"), F.coalesce(F.max("_d"), F.lit(0))).first()
+    return count <= rows and count * longest * 8 <= BROADCAST_BYTES
 
 
 def _output(queries: DataFrame, corpus: DataFrame) -> str:
@@ -186,9 +189,9 @@ def knn_exact(
     """
     q = _side(queries, query_id, query_vector, "query_id")
     c = _side(corpus, chunk_id, chunk_vector, "chunk_id")
-    if _fits(corpus, chunk_id, broadcast_rows):
+    if _fits(corpus, chunk_vector, broadcast_rows):
         found = _against_all_chunks(q, c, k)
-    elif _fits(queries, query_id, broadcast_rows):
+    elif _fits(queries, query_vector, broadcast_rows):
         found = _against_all_queries(q, c, k)
     else:
         one = F.lit(0)
@@ -199,12 +202,16 @@ def knn_exact(
 def knn_approx(
     queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "query_id",
     query_vector: str = "vector", chunk_id: str = "chunk_id", chunk_vector: str = "embedding",
-    lists: int = 16, probes: int = 4, block_rows: int = BLOCK_ROWS, seed: int = 42,
+    lists: int | None = None, probe_share: float = 0.25, sample_rows: int = 20_000,
+    block_rows: int = BLOCK_ROWS, seed: int = 42,
 ) -> DataFrame:
-    """Approximate neighbours: spherical k-means lists, of which each query visits ``probes``.
+    """Approximate neighbours: spherical k-means lists, of which each query visits a share.
 
-    The work per query shrinks by about ``lists / probes`` against ``knn_exact``; inside the
-    visited lists the search is exact. Lists of any size are cut into bounded blocks.
+    The work per query shrinks by about ``probe_share`` against ``knn_exact``; inside the visited
+    lists the search is exact. There are as many lists as the root of the number of chunks. They
+    are fitted on a bounded sample, the ``sample_rows`` chunks with the smallest hashes; every chunk
+    is listed. Lists of any size are cut into bounded blocks. Vectors without clusters need a
+    larger share for the same recall.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -212,11 +219,13 @@ def knn_approx(
     q = _side(queries, query_id, query_vector, "query_id")
     c = _side(corpus, chunk_id, chunk_vector, "chunk_id")
     features = c.withColumn("features", array_to_vector(F.col("vector").cast("array<double>")))
+    lists = lists or max(2, round(c.count() ** 0.5))
+    sample = features.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(sample_rows)
     model = KMeans(
         k=lists, seed=seed, distanceMeasure="cosine", maxIter=10, predictionCol="cell"
-    ).fit(features.select("features"))
+    ).fit(sample.select("features"))
     centres = _unit(np.array(model.clusterCenters()))
-    visited = min(probes, len(centres))
+    visited = max(1, round(len(centres) * probe_share))
 
     @F.pandas_udf("array<int>")
     def nearest_lists(vectors: pd.Series) -> pd.Series:
@@ -250,11 +259,13 @@ def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "tex
 def keyword_topk(postings: DataFrame, wanted: DataFrame, k: int = CANDIDATES_PER_BRANCH) -> DataFrame:
     """Chunks that share a term with a query, by weighted occurrences.
 
-    Postings keep their partitioning by chunk: with query terms small enough to broadcast, the
-    sum per (query, chunk) and the cut to ``k`` per task run where the postings already are,
-    and only those few rows are shuffled. Larger query tables are joined by term.
+    Postings of terms nobody asks for go first; the rest, a few bytes each, is dealt by chunk.
+    With query terms small enough to broadcast, the sum per (query, chunk) and the cut to ``k``
+    run there, and only k rows per query and task are shuffled. Larger query tables are joined
+    by term, where adaptive execution splits the postings of a common one.
     """
-    hits = postings.join(wanted, "term").groupBy("query_id", "chunk_id").agg(
+    asked = postings.join(wanted.select("term").distinct(), "term", "left_semi")
+    hits = asked.repartition("chunk_id").join(wanted, "term").groupBy("query_id", "chunk_id").agg(
         F.round(F.sum(F.col("tf") * weight_value()), 6).alias("score")
     )
     return top_per_group(hits, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)

@@ -72,6 +72,18 @@ def scan_energy_csv(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def chronological(df: DataFrame, ts: str) -> DataFrame:
+    """Rows in the order of ``ts``; an instant that occurs twice, or is NULL, fails the load."""
+    others = [c for c in df.columns if c != ts]
+    message = F.concat(F.lit(f"{ts} occurs more than once: "), F.coalesce(F.col(ts).cast("string"), F.lit("NULL")))
+    grouped = df.groupBy(ts).agg(F.count("*").alias("_n"), F.min(F.struct(*others)).alias("_row"))
+    once = F.when((F.col("_n") == 1) & F.col(ts).isNotNull(), F.col(ts)).otherwise(
+        F.raise_error(message).cast(df.schema[ts].dataType)
+    )
+    checked = grouped.select(once.alias(ts), "_row.*").select(*df.columns)
+    return checked.orderBy(ts)
+
+
 def collapse_one_hot(df: DataFrame, flags: Mapping[str, str], target: str) -> DataFrame:
     """Replace 0/1 columns by the name of the set one; a row without exactly one set fails."""
     set_count = sum((F.col(f"`{flag}`").cast("int") for flag in flags), F.lit(0))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lamina.operators import quality as dq
+from lamina.plans import corpus
 from workload import tables as t
 from workload.registry import query
 
@@ -176,3 +177,47 @@ def _(spark, sf):
 def _(spark, sf):
     orders = t.table(spark, sf, "orders")
     return dq.span(orders, "orders", "o_orderdate", "1995-01-01 00:00:00", "2001-12-31 00:00:00")
+
+
+@query(
+    "corpus_report",
+    """WITH d AS (SELECT 'D' || doc_id AS doc_id, CASE WHEN n_chars > 100 THEN source END AS title,
+      CASE WHEN lang = 'de' THEN 'memo' ELSE 'policy' END AS doc_type, text AS body,
+      CAST(n_chars % 7 AS VARCHAR) AS fault_code, n_chars % 11 AS line_id,
+      CASE WHEN doc_id % 3 = 0 THEN doc_id END AS event_id FROM documents),
+    f AS (SELECT CAST(k AS VARCHAR) AS fault_code, 'D' || k * 1000 AS procedure_doc_id FROM range(5) AS r(k)),
+    l AS (SELECT k AS line_id FROM range(10) AS r(k)),
+    e AS (SELECT doc_id AS event_id, CASE WHEN doc_id % 2 = 0 THEN 'D' || doc_id END AS report_doc_id,
+      n_chars AS downtime_minutes FROM documents WHERE doc_id % 3 = 0)
+    SELECT 'required_fields' AS "check", doc_id AS subject, false AS ok, 'missing field ''title''' AS message FROM d WHERE title IS NULL
+    UNION ALL SELECT 'required_fields', doc_id, false, 'empty body' FROM d WHERE trim(body) = ''
+    UNION ALL SELECT 'required_fields', doc_id, false, 'unknown doc_type memo' FROM d WHERE doc_type = 'memo'
+    UNION ALL SELECT 'document_fault', doc_id, false, 'fault_code ' || fault_code || ' has no target' FROM d WHERE fault_code NOT IN (SELECT fault_code FROM f)
+    UNION ALL SELECT 'document_line', doc_id, false, 'line_id ' || line_id || ' has no target' FROM d WHERE line_id NOT IN (SELECT line_id FROM l)
+    UNION ALL SELECT 'fault_procedure', fault_code, false, 'procedure_doc_id ' || procedure_doc_id || ' has no target' FROM f
+      WHERE procedure_doc_id NOT IN (SELECT doc_id FROM d)
+    UNION ALL SELECT 'event_report', doc_id, false, 'report has no event' FROM d WHERE event_id IS NOT NULL
+      AND doc_id NOT IN (SELECT report_doc_id FROM e WHERE report_doc_id IS NOT NULL)
+    UNION ALL SELECT 'text_states_value', doc_id, false, 'does not state ' || downtime_minutes FROM d JOIN e USING (event_id)
+      WHERE NOT regexp_matches(body, '\\b' || downtime_minutes || '\\b')""",
+)
+def _(spark, sf):
+    documents = t.table(spark, sf, "documents")
+    name = F.concat(F.lit("D"), F.col("doc_id").cast("string"))
+    third = F.col("doc_id") % 3 == 0
+    corpus_documents = documents.select(
+        name.alias("doc_id"), F.when(F.col("n_chars") > 100, F.col("source")).alias("title"),
+        F.when(F.col("lang") == "de", "memo").otherwise("policy").alias("doc_type"), F.col("text").alias("body"),
+        (F.col("n_chars") % 7).cast("string").alias("fault_code"), (F.col("n_chars") % 11).alias("line_id"),
+        F.when(third, F.col("doc_id")).alias("event_id"),
+    )
+    faults = spark.range(5).select(
+        F.col("id").cast("string").alias("fault_code"), F.concat(F.lit("D"), (F.col("id") * 1000).cast("string")).alias("procedure_doc_id")
+    )
+    events = documents.filter(third).select(
+        F.col("doc_id").alias("event_id"), F.when(F.col("doc_id") % 2 == 0, name).alias("report_doc_id"),
+        F.col("n_chars").alias("downtime_minutes"),
+    )
+    return corpus.validate_corpus(
+        corpus_documents, faults, spark.range(10).select(F.col("id").alias("line_id")), events, ["procedure", "manual", "policy"]
+    )

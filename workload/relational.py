@@ -9,6 +9,7 @@ from lamina.operators import aggregates, ordered, relational
 from lamina.plans import energy as energy_plans
 from lamina.plans import maintenance as maintenance_plans
 from lamina.plans import shifts
+from lamina.sources.files import chronological
 from workload import tables as t
 from workload.registry import query
 from workload.tables import ts
@@ -502,6 +503,19 @@ def _(spark, sf):
     return t.energy(spark, sf).select("event_id", "ts", "usage_kwh").orderBy("ts", "event_id")
 
 
+@query(
+    "load_chronological",
+    f"SELECT {ts('ts')} AS ts, readings, usage_kwh FROM (SELECT date_trunc('minute', ts) AS ts, count(*) AS readings, "
+    "round(sum(usage_kwh), 4) AS usage_kwh FROM energy GROUP BY 1)",
+    "energy",
+)
+def _(spark, sf):
+    # One row a minute: any instant that came twice would fail the job.
+    minute = t.energy(spark, sf).groupBy(F.date_trunc("minute", "ts").alias("ts"))
+    loaded = minute.agg(F.count("*").alias("readings"), F.round(F.sum("usage_kwh"), 4).alias("usage_kwh"))
+    return chronological(loaded, "ts")
+
+
 @query(
     "sort_multi",
     "SELECT steel_grade, fault_code, count(*) AS nb FROM plates GROUP BY 1, 2 "
