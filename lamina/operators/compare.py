@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +13,9 @@ from pyspark.sql import types as T
 from lamina.constants import RESULT_TOLERANCE
 from lamina.operators.ordered import rank_within
 
+# Rows of one group that are paired by trying; a larger group with several floats is ranked.
+PAIR_ROWS = 500
+
 _FLOATS = (T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -68,96 +73,204 @@ def _canonical(pred: DataFrame, gold: DataFrame, values: Sequence[str], by: Sequ
 
 def result_diff(
     pred: DataFrame, gold: DataFrame, by: Sequence[str] = (), position: str | None = None,
-    tolerance: float = RESULT_TOLERANCE,
+    tolerance: float = RESULT_TOLERANCE, pair_rows: int = PAIR_ROWS,
 ) -> DataFrame:
     """Compare two result tables, per group of ``by``: (n_pred, n_gold, unmatched, matches).
 
     With ``position`` the rows are compared in that order. Without it they are multisets: where
     both sides hold the same rows, floats rounded to 6 digits, they match; elsewhere the rows with
-    the same exact cells are paired by rank and tested against the tolerance. For one float column
-    that pairing succeeds whenever any pairing does; with several it can reject rows that agree
-    only in a different order. No group is compared pair by pair or inside one task: equal rows
-    are counted, the rest is ranked in a distributed sort.
+    the same exact cells are paired within the tolerance. One float column is paired by rank,
+    which succeeds whenever any pairing does. Several are paired by augmenting paths in groups of
+    up to ``pair_rows`` rows a side. Only a larger group, ranked by its floats, can stay open:
+    ``matches`` is then NULL unless something else decides. No group is compared pair by pair or
+    inside one task but for those bounded ones.
     """
     keys = list(by)
     extra = [position] if position else []
     values = [c for c in gold.columns if c not in (*keys, *extra)]
     p, g, exact, approx = _canonical(pred, gold, values, keys, extra)
-    counts = _count_sides(p, g, keys)
-    if position:
-        cells = _paired(p, g, [*keys, position], exact, approx, tolerance)
+
+    def rows(df: DataFrame, side: int) -> DataFrame:
+        # Exact cells become one text; a null cell is written as such and so equals another.
+        tag = F.to_json(F.struct(F.lit(0).alias("_"), *exact), {"ignoreNullFields": "false"})
+        floats = F.array(*[F.col(a) for a in approx]).cast("array<double>")
+        place = F.col(position).cast("bigint") if position else F.lit(None).cast("bigint")
+        return df.select(*keys, F.lit(side).alias("_side"), place.alias("_place"), tag.alias("_tag"), floats.alias("_floats"))
+
+    return _verdicts(rows(p, 1).unionByName(rows(g, -1)), keys, tolerance, pair_rows)
+
+
+def result_diff_questions(
+    cells: DataFrame, questions: DataFrame, tolerance: float = RESULT_TOLERANCE, pair_rows: int = PAIR_ROWS
+) -> DataFrame:
+    """``result_diff`` for many questions of different shapes in one job.
+
+    ``cells`` hold (id, side, row, col, kind, value): side ``pred`` or ``gold``, row and column from
+    0, kind ``int``, ``float`` or ``text``, value as text, NULL for a null cell. ``questions`` hold
+    (id, gold_sql): rows are compared in order exactly where the gold query orders them. Columns
+    pair by position. Further predicted columns are ignored; a question whose prediction has
+    fewer columns than its gold does not match. A question without cells matches: both are empty.
+    """
+    gold_width = cells.filter("side = 'gold'").groupBy("id").agg((F.max("col") + 1).alias("_wide"))
+    pred_width = cells.filter("side = 'pred'").groupBy("id").agg((F.max("col") + 1).alias("_given"))
+    used = cells.join(gold_width, "id").filter("col < _wide")
+    # A column is approximate if all its cells are numbers and some a float; numbers in a column
+    # with texts never equal a text.
+    shape = used.groupBy("id", "col").agg(
+        F.bool_or(F.col("kind") == "text").alias("_texts"), F.bool_or(F.col("kind") == "float").alias("_some_float"),
+        F.bool_or(F.col("kind") != "text").alias("_numbers"),
+    )
+    kinds = shape.select("id", "col", "_texts", (F.col("_some_float") & ~F.col("_texts")).alias("_float"), (F.col("_texts") & F.col("_numbers")).alias("_mixed"))
+    typed = used.join(kinds, ["id", "col"])
+    text = F.trim("value")
+    number = F.concat(F.when(F.col("_mixed"), "number ").otherwise(""), text)
+    exact = F.when(~F.col("_float"), F.struct("col", F.when(F.col("kind") == "text", text).otherwise(number).alias("v")))
+    approx = F.when(F.col("_float"), F.struct("col", F.col("value").cast("double").alias("v")))
+    per_row = typed.groupBy("id", "side", "row").agg(
+        F.to_json(F.sort_array(F.collect_list(exact)), {"ignoreNullFields": "false"}).alias("_tag"),
+        F.transform(F.sort_array(F.collect_list(approx)), lambda a: a["v"]).alias("_floats"),
+    )
+    ordered = questions.select("id", has_explicit_order(F.col("gold_sql")).alias("_ordered"))
+    rows = per_row.join(ordered, "id").select(
+        "id", F.when(F.col("side") == "pred", 1).otherwise(-1).alias("_side"),
+        F.when(F.col("_ordered"), F.col("row").cast("bigint")).alias("_place"), "_tag", "_floats",
+    )
+    # A prediction for an empty gold result is all surplus.
+    bare = cells.filter("side = 'pred'").join(gold_width, "id", "left_anti").select(
+        "id", F.lit(1).alias("_side"), F.lit(None).cast("bigint").alias("_place"),
+        F.concat(F.lit("row "), F.col("row").cast("string")).alias("_tag"), F.array().cast("array<double>").alias("_floats"),
+    ).distinct()
+    found = _verdicts(rows.unionByName(bare), ["id"], tolerance, pair_rows)
+    narrow = gold_width.join(pred_width, "id").filter("_given < _wide").select("id", F.lit(True).alias("_narrow"))
+    none = F.lit(0).cast("bigint")
+    return questions.select("id").join(found, "id", "left").join(narrow, "id", "left").select(
+        "id", F.coalesce("n_pred", none).alias("n_pred"), F.coalesce("n_gold", none).alias("n_gold"),
+        F.coalesce("unmatched", none).alias("unmatched"),
+        F.when(F.col("_narrow"), False).when(F.col("n_pred").isNull(), True).otherwise(F.col("matches")).alias("matches"),
+    )
+
+
+def _verdicts(rows: DataFrame, keys: list[str], tolerance: float, pair_rows: int) -> DataFrame:
+    """Verdicts per group of ``keys`` over rows (_side 1 or -1, _place, _tag, _floats).
+
+    A row meets rows with its tag at its place. Missed rows are counted, never listed.
+    """
+    counts = rows.groupBy(*keys).agg(
+        F.count_if(F.col("_side") == 1).alias("n_pred"), F.count_if(F.col("_side") == -1).alias("n_gold")
+    )
+    placed = F.col("_place").isNotNull()
+    # In order: one row a side and place.
+    sides = rows.filter(placed).groupBy(*keys, "_place").agg(
+        *[F.max(F.when(F.col("_side") == side, F.struct("_tag", "_floats"))).alias(name) for side, name in ((1, "_p"), (-1, "_g"))]
+    )
+    in_order = sides.select(*keys, F.when(~_rows_match(F.col("_p"), F.col("_g"), tolerance), 1).otherwise(0).cast("bigint").alias("_missed"), F.lit(True).alias("_sure"))
+    # As multisets: tags whose rows differ somewhere.
+    group = [*keys, "_tag"]
+    loose = rows.filter(~placed)
+    rounded = F.transform("_floats", lambda f: F.round(f, 6))
+    net = loose.groupBy(*group, rounded.alias("_r")).agg(F.sum("_side").alias("_net")).filter("_net <> 0")
+    width = F.size("_r")
+    surplus = net.filter(width == 0)
+    without = surplus.select(*keys, F.abs("_net").cast("bigint").alias("_missed"), F.lit(True).alias("_sure"))
+    differing = net.filter(width > 0).select(*group, width.alias("_width")).distinct()
+    on = [F.col(f"x.{c}").eqNullSafe(F.col(f"d.{c}")) for c in group]
+    open_rows = loose.alias("x").join(differing.alias("d"), on).select("x.*", "d._width")
+    sizes = open_rows.groupBy(*group).agg(F.greatest(
+        F.count_if(F.col("_side") == 1), F.count_if(F.col("_side") == -1)).alias("_most"))
+    sized = open_rows.alias("x").join(sizes.alias("d"), on).select("x.*", "d._most")
+    # With one row a side, or one float, ranks pair as well as anything.
+    few = (F.col("_width") > 1) & (F.col("_most") > 1) & (F.col("_most") <= pair_rows)
+    paired = _pair_by_trying(sized.filter(few), keys, tolerance)
+    ranked = _pair_by_rank(sized.filter(~few), group, tolerance)
+    by_rank = ranked.select(*keys, "_missed", "_sure")
+    missed = in_order.unionByName(without).unionByName(paired).unionByName(by_rank).groupBy(*keys).agg(
+        F.sum("_missed").alias("_unmatched"), F.sum(F.when(F.col("_sure"), F.col("_missed")).otherwise(0)).alias("_certain")
+    )
+    met = [F.col(f"c.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys]
+    if not keys:
+        missed = missed.agg(F.sum("_unmatched").alias("_unmatched"), F.sum("_certain").alias("_certain"))
+        joined = counts.alias("c").join(F.broadcast(missed).alias("m"))
     else:
-        group = [*keys, *exact]
-        p, g = _unequal(p, g, group, approx)
-        if approx:
-            p, g = (rank_within(side, group, approx, "_slot", ties=True) for side in (p, g))
-            cells = _paired(p, g, [*group, "_slot"], [], approx, tolerance)
-        else:
-            cells = p.select(*keys, F.lit(False).alias("_ok")).unionByName(
-                g.select(*keys, F.lit(False).alias("_ok"))
-            )
-    missed = cells.groupBy(*keys).agg(F.count_if(~F.col("_ok")).alias("unmatched"))
-    on = [F.col(f"c.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys] or F.lit(True)
-    joined = counts.alias("c").join(missed.alias("m"), on, "left")
-    unmatched = F.coalesce(F.col("m.unmatched"), F.lit(0).cast("bigint"))
+        joined = counts.alias("c").join(missed.alias("m"), met, "left")
+    none = F.lit(0).cast("bigint")
+    unmatched, certain = F.coalesce("_unmatched", none), F.coalesce("_certain", none)
     same_size = F.col("n_pred") == F.col("n_gold")
+    verdict = F.when(~same_size | (certain > 0), False).when(unmatched > 0, F.lit(None).cast("boolean")).otherwise(True)
     return joined.select(
-        *[F.col(f"c.{k}").alias(k) for k in keys], "n_pred", "n_gold",
-        unmatched.alias("unmatched"), (same_size & (unmatched == 0)).alias("matches"),
+        *[F.col(f"c.{k}").alias(k) for k in keys], "n_pred", "n_gold", unmatched.alias("unmatched"), verdict.alias("matches")
     )
 
 
-def _count_sides(p: DataFrame, g: DataFrame, keys: Sequence[str]) -> DataFrame:
-    sides = p.select(*keys, F.lit(1).alias("_p")).unionByName(g.select(*keys, F.lit(0).alias("_p")))
-    return sides.groupBy(*keys).agg(
-        F.count_if(F.col("_p") == 1).alias("n_pred"), F.count_if(F.col("_p") == 0).alias("n_gold")
-    )
+def _floats_match(left: Column, right: Column, tolerance: float) -> Column:
+    same = F.zip_with(left, right, lambda a, b: cells_match(a, b, tolerance))
+    return (F.size(left) == F.size(right)) & F.forall(same, lambda x: x)
 
 
-def _unequal(
-    p: DataFrame, g: DataFrame, group: Sequence[str], approx: Sequence[str]
-) -> tuple[DataFrame, DataFrame]:
-    """What the two sides do not share.
+def _rows_match(left: Column, right: Column, tolerance: float) -> Column:
+    alike = left["_tag"].eqNullSafe(right["_tag"]) & _floats_match(left["_floats"], right["_floats"], tolerance)
+    return F.coalesce(left.isNotNull() & right.isNotNull() & alike, F.lit(False))
 
-    Without float cells these are the surplus rows themselves. With float cells they are all rows
-    of the groups that differ somewhere: a surplus row may need any other row as its partner.
-    """
-    rounded = [F.round(a, 6).alias(a) for a in approx]
-
-    def signed(df: DataFrame, sign: int) -> DataFrame:
-        return df.select(*group, *rounded, F.lit(sign).alias("_n"))
 
-    net = signed(p, 1).unionByName(signed(g, -1)).groupBy(*group, *approx).agg(
-        F.sum("_n").alias("_net")
+def _pair_by_rank(rows: DataFrame, group: list[str], tolerance: float) -> DataFrame:
+    """Both sides numbered in one sort; rows of the same number in a group meet."""
+    # NULL sorts first and NaN last, alike on both sides.
+    simple = (F.col("_width") <= 1) | (F.col("_most") <= 1)
+    flat = rows.select(*group, "_side", simple.alias("_simple"), "_floats", F.get("_floats", F.lit(0)).alias("_first"))
+    numbered = rank_within(flat, [*group, "_side"], ["_first", "_floats"], "_slot", ties=True)
+    met = numbered.groupBy(*group, "_slot").agg(
+        F.bool_and("_simple").alias("_simple"),
+        *[F.max(F.when(F.col("_side") == side, F.struct("_floats"))).alias(name) for side, name in ((1, "_p"), (-1, "_g"))],
     )
-    if not approx:
-        def surplus(sign: int) -> DataFrame:
-            copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.abs("_net"))).alias("_copy")
-            return net.filter(F.col("_net") * sign > 0).select(*group, copies)
+    ok = F.coalesce(
+        F.col("_p").isNotNull() & F.col("_g").isNotNull() & _floats_match(F.col("_p._floats"), F.col("_g._floats"), tolerance), F.lit(False))
+    missed = F.when(ok, 0).otherwise(1).cast("bigint")
+    return met.select(*group, missed.alias("_missed"), F.col("_simple").alias("_sure"))
+
 
-        return surplus(1), surplus(-1)
-    differing = net.filter("_net <> 0").select(*group, F.lit(1).alias("_differs")).distinct()
+def _pair_by_trying(rows: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
+    """Per bounded group, the rows that no pairing within the tolerance can match."""
+    names = [f"_k{i}" for i in range(len(keys))]
+    kinds = [rows.schema[k].dataType.simpleString() for k in keys]
 
-    def within(df: DataFrame) -> DataFrame:
-        on = [F.col(f"x.{c}").eqNullSafe(F.col(f"d.{c}")) for c in group] or F.lit(True)
-        return df.alias("x").join(differing.alias("d"), on, "left_semi")
+    def pair(part: pd.DataFrame) -> pd.DataFrame:
+        p, g = (np.array([[np.nan if x is None else x for x in f] for f in part.loc[part["_side"] == s, "_floats"]], float) for s in (1, -1))
+        nulls = [np.array([[x is None for x in f] for f in part.loc[part["_side"] == s, "_floats"]], bool) for s in (1, -1)]
+        if len(p) and len(g):
+            a, b = p[:, None, :], g[None, :, :]
+            with np.errstate(invalid="ignore"):
+                near = np.abs(a - b) / np.maximum(np.maximum(np.abs(a), np.abs(b)), 1e-9) <= tolerance
+            both_nan = np.isnan(a) & np.isnan(b) & (nulls[0][:, None, :] == nulls[1][None, :, :])
+            fits = (near | (a == b) | both_nan).all(axis=2)
+        else:
+            fits = np.zeros((len(p), len(g)), bool)
+        missed = max(len(p), len(g)) - _most_pairs(fits)
+        return pd.DataFrame({**{n: [part[n].iloc[0]] for n in names}, "_missed": [missed], "_sure": [True]})
 
-    return within(p), within(g)
+    schema = ", ".join([*(f"{n} {k}" for n, k in zip(names, kinds, strict=True)), "_missed long", "_sure boolean"])
+    tag = F.to_json(F.struct(F.lit(0).alias("_"), *keys, "_tag"), {"ignoreNullFields": "false"})
+    named = rows.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], tag.alias("_group"), "_side", "_floats")
+    found = named.groupBy("_group").applyInPandas(pair, schema)
+    return found.select(*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)], "_missed", "_sure")
 
 
-def _paired(
-    p: DataFrame, g: DataFrame, slot: Sequence[str], exact: Sequence[str], approx: Sequence[str],
-    tolerance: float,
-) -> DataFrame:
-    """Full join by slot: a row without a partner, or with a different one, is not ok."""
-    on = [F.col(f"p.{c}").eqNullSafe(F.col(f"g.{c}")) for c in slot]
-    both = p.withColumn("_in", F.lit(True)).alias("p").join(
-        g.withColumn("_in", F.lit(True)).alias("g"), on, "full"
-    )
-    ok = F.col("p._in") & F.col("g._in")
-    for c in exact:
-        ok = ok & F.col(f"p.{c}").eqNullSafe(F.col(f"g.{c}"))
-    for c in approx:
-        ok = ok & cells_match(F.col(f"p.{c}"), F.col(f"g.{c}"), tolerance)
-    keys = [F.coalesce(F.col(f"p.{c}"), F.col(f"g.{c}")).alias(c) for c in slot]
-    return both.select(*keys, F.coalesce(ok, F.lit(False)).alias("_ok"))
+def _most_pairs(fits: np.ndarray) -> int:
+    """Size of the largest pairing of rows with columns, by augmenting paths."""
+    owner = np.full(fits.shape[1], -1)
+    for start in range(fits.shape[0]):
+        # Breadth first: which row reached a column, until a free column turns up.
+        reached = np.full(fits.shape[1], -1)
+        queue, end = [start], -1
+        while queue and end < 0:
+            row = queue.pop(0)
+            for column in np.flatnonzero(fits[row] & (reached < 0)):
+                reached[column] = row
+                if owner[column] < 0:
+                    end = column
+                    break
+                queue.append(owner[column])
+        while end >= 0:
+            row = reached[end]
+            before = np.flatnonzero(owner == row)
+            owner[end] = row
+            end = before[0] if row != start else -1
+    return int((owner >= 0).sum())

@@ -77,6 +77,91 @@ def test_tolerant_pairing_equals_trying_every_pairing(spark):
     assert 0 < sum(expected.values()) < len(expected)
 
 
+@pytest.mark.parametrize("pair_rows", [500, 0])
+def test_two_float_columns_equal_trying_every_pairing(spark, pair_rows):
+    def close(a, b):
+        return all(abs(x - y) / max(abs(x), abs(y), 1e-9) <= 0.01 for x, y in zip(a, b))
+
+    rng = np.random.default_rng(4)
+    pred, gold, expected = [], [], {}
+    for case in range(120):
+        count = rng.integers(1, 5)
+        base = rng.choice([10.0, 10.06, 10.15, 20.0], (count, 2))
+        moved = rng.permutation(base * (1 + rng.choice([0, 0.004, -0.007, 0.013], (count, 2), p=[0.4, 0.3, 0.2, 0.1])))
+        pred += [(case, float(a), float(b)) for a, b in moved]
+        gold += [(case, float(a), float(b)) for a, b in base]
+        expected[case] = any(all(close(a, b) for a, b in zip(moved, order)) for order in itertools.permutations(base))
+    schema = "q int, a double, b double"
+    found = compare.result_diff(spark.createDataFrame(pred, schema), spark.createDataFrame(gold, schema), by=["q"], pair_rows=pair_rows)
+    verdicts = {r["q"]: r["matches"] for r in found.collect()}
+    if pair_rows:
+        assert verdicts == expected and 0 < sum(expected.values()) < len(expected)
+    else:
+        # Ranked only: never wrong, but open where ranks do not fit.
+        assert all(v is None or v == expected[q] for q, v in verdicts.items()) and None in verdicts.values()
+
+
+def test_ranks_of_one_column_do_not_decide_for_two(spark):
+    schema = "a double, b double"
+    pred, gold = [(1.0001, 5.0), (1.0, 9.0)], [(1.0, 5.0), (1.0001, 9.0)]
+    assert verdict(spark, pred, gold, schema) is True
+
+
+def test_many_copies_are_counted_not_listed(spark):
+    many, few = spark.range(50_000).selectExpr("'x' as k"), spark.range(49_990).selectExpr("'x' as k")
+    row = compare.result_diff(many, few).first()
+    assert (row["n_pred"], row["n_gold"], row["unmatched"], row["matches"]) == (50_000, 49_990, 10, False)
+
+
+def test_questions_of_different_shapes_in_one_job(spark):
+    cells = []
+
+    def result(question, side, *rows_):
+        for n, row in enumerate(rows_):
+            for c, value in enumerate(row):
+                kind = "float" if isinstance(value, float) else "int" if isinstance(value, int) else "text"
+                cells.append((question, side, n, c, kind, None if value is None else str(value)))
+
+    result("ordered wrong", "pred", ("b", 1), ("a", 2))
+    result("ordered wrong", "gold", ("a", 2), ("b", 1))
+    result("ordered right", "pred", ("a", 2.001), ("b", 1.0))
+    result("ordered right", "gold", ("a", 2), ("b", 1))
+    result("any order", "pred", ("b", 1), ("a", 2))
+    result("any order", "gold", ("a", 2), ("b", 1))
+    result("too few columns", "pred", ("a",))
+    result("too few columns", "gold", ("a", 1))
+    result("extra column", "pred", (3, "note"))
+    result("extra column", "gold", (3,))
+    result("two floats", "pred", (1.0001, 5.0), (1.0, 9.0))
+    result("two floats", "gold", (1.0, 5.0), (1.0001, 9.0))
+    result("surplus", "pred", (1,), (1,), (1,))
+    result("surplus", "gold", (1,))
+    result("number and text", "pred", (3,))
+    result("number and text", "gold", ("3",))
+    result("nulls", "pred", (None, 1.0))
+    result("nulls", "gold", (None, 1.0))
+    result("gold is empty", "pred", (1,))
+    result("no prediction", "gold", (1,))
+    wanted = {
+        "ordered wrong": False, "ordered right": True, "any order": True, "too few columns": False, "extra column": True,
+        "two floats": True, "surplus": False, "number and text": False, "nulls": True, "gold is empty": False,
+        "no prediction": False, "both empty": True,
+    }
+    questions = [(q, "SELECT x ORDER BY x" if q.startswith("ordered") else "SELECT x") for q in wanted]
+    found = compare.result_diff_questions(
+        spark.createDataFrame(cells, "id string, side string, row int, col int, kind string, value string"),
+        spark.createDataFrame(questions, "id string, gold_sql string"),
+    )
+    assert {r["id"]: r["matches"] for r in found.collect()} == wanted
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_largest_pairing(seed):
+    fits = np.random.default_rng(seed).random((5, 5)) < 0.35
+    best = max(sum(fits[i, c] for i, c in enumerate(order)) for order in itertools.permutations(range(5)))
+    assert compare._most_pairs(fits) == best
+
+
 def test_shuffled_result_matches_itself(spark):
     data = spark.range(3000).select((F.col("id") % 7).alias("k"), F.sin("id").alias("v"))
     shuffled = data.orderBy(F.rand(3)).withColumn("v", F.col("v") * 1.0000001)
