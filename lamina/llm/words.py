@@ -24,7 +24,14 @@ def number_words(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.nda
         words = LETTERS.findall(text.lower()) if text else []
         lengths[at] = len(words)
         parts.append(np.fromiter(map(number, words), np.int32, len(words)))
-    return list(table), np.concatenate(parts) if parts else np.zeros(0, np.int32), lengths
+    types, every = list(table), np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    # Signs such as a superscript two count as word characters but are no letters.
+    lettered = np.fromiter((word.isalpha() or any(map(str.isalpha, word)) for word in types), bool, len(types))
+    if not lettered.all():
+        kept = lettered[every]
+        owner = np.repeat(np.arange(len(texts)), lengths)
+        every, lengths = every[kept], np.bincount(owner[kept], minlength=len(texts))
+    return types, every, lengths
 
 
 def _mixed(hashes: np.ndarray, kind: int) -> np.ndarray:

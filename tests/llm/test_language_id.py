@@ -79,10 +79,10 @@ def test_code_switched_words_get_their_own_language():
 
 def test_odd_rows(make):
     field = li.train(ENGLISH + GERMAN, ["en"] * 3 + ["de"] * 3)
-    rows = [(1, None), (2, ""), (3, "123 -- !?"), (4, "the river " * 20_000), (5, "der fluss"), (5, "der fluss"), (None, "the"), (6, "x" * 100_000), (7, "ж 漢字")]
+    rows = [(1, None), (2, ""), (3, "123 -- !?"), (4, "the river " * 20_000), (5, "der fluss"), (5, "der fluss"), (None, "the"), (6, "x" * 100_000), (7, "ж 漢字"), (8, "² Ⅷ ½ 10²")]
     docs = make([(d, t, None, "s", 1, "i", 1) for d, t in rows], DOCS)
     found = {(r["id"], r["lang_pred"]) for r in li.identify_languages(docs, field).collect()}
-    assert {(1, "und"), (2, "und"), (3, "und"), (4, "en"), (5, "de"), (None, "en")} <= found
+    assert {(1, "und"), (2, "und"), (3, "und"), (8, "und"), (4, "en"), (5, "de"), (None, "en")} <= found
     assert li.identify_languages(docs, field).count() == len(rows)
     assert all(0 <= r["score"] <= 1 for r in li.identify_languages(docs, field).collect())
     kept = li.keep_known(docs, field, 0.35)
