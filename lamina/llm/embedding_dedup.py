@@ -31,6 +31,10 @@ from lamina.llm.vectors import cosines, matrix, unit, usable
 from lamina.session import durable
 
 
+#: Groups of up to this many rows are compared together, larger ones each by a matrix product.
+FEW = 64
+
+
 def nearest_in_d8(x: np.ndarray) -> np.ndarray:
     """The nearest points with whole coordinates of an even sum."""
     point = np.rint(x)
@@ -122,13 +126,28 @@ def _links(lattice: Lattice, threshold: float):
         group = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
         units = unit(vectors)
         lefts, rights = [], []
-        for left, right in _pairs(group, 100_000):
+        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        sizes = np.diff(np.r_[starts, len(group)])
+
+        def near_pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """Row numbers of pairs of one group whose cosine is about high enough."""
+            few = np.flatnonzero(np.repeat(sizes <= FEW, sizes))
+            for left, right in _pairs(group[few], 100_000):
+                near = np.einsum("ij,ij->i", units[few[left]], units[few[right]]) >= threshold - 1e-9
+                yield few[left[near]], few[right[near]]
+            for start, size in zip(starts[sizes > FEW], sizes[sizes > FEW], strict=True):
+                for at in range(start, start + size, 1024):  # a product of bounded size at a time
+                    end = min(at + 1024, start + size)
+                    left, right = np.nonzero(units[at:end] @ units[at:start + size].T >= threshold - 1e-9)
+                    yield left[right > left] + at, right[right > left] + at
+
+        for left, right in near_pairs():
             met = (home[left] | home[right]) & ((i[left] == j[left]) | (part[left] != part[right])) & (ids[left] != ids[right])
             left, right = left[met], right[met]
-            near = np.flatnonzero(np.einsum("ij,ij->i", units[left], units[right]) >= threshold - 1e-9)
-            near = near[cosines(vectors[left[near]], vectors[right[near]]) >= threshold]
-            lefts.append(left[near])
-            rights.append(right[near])
+            for some in np.array_split(np.arange(len(left)), max(1, len(left) // 100_000)):
+                exact = some[cosines(vectors[left[some]], vectors[right[some]]) >= threshold]
+                lefts.append(left[exact])
+                rights.append(right[exact])
         left, right = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (lefts, rights))
         # Keep a pair here only if this cell is the first in which the two meet.
         used, at = np.unique(np.r_[left, right], return_inverse=True)
