@@ -14,6 +14,15 @@ from lamina.session import durable
 _POSITION_BITS = 33
 
 
+def _laid_out(df: DataFrame, order: Sequence[str], ties: bool) -> DataFrame:
+    """``df`` in ranges of ``order``, sorted inside, with each row's place ``_at`` made durable."""
+    if ties:
+        df = durable(df.withColumn("_tie", F.monotonically_increasing_id()))
+        order = [*order, "_tie"]
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return durable(ranges.withColumn("_at", F.monotonically_increasing_id()))
+
+
 def global_rank(
     df: DataFrame, order: Sequence[str], rank: str = "rank", ties: bool = False
 ) -> DataFrame:
@@ -26,11 +35,7 @@ def global_rank(
     its position in its partition plus the rows of the partitions before. Only that table of
     partition sizes is ordered in one place.
     """
-    if ties:
-        df = durable(df.withColumn("_tie", F.monotonically_increasing_id()))
-        order = [*order, "_tie"]
-    laid_out = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    numbered = durable(laid_out.withColumn("_at", F.monotonically_increasing_id()))
+    numbered = _laid_out(df, order, ties)
     part = F.shiftright("_at", _POSITION_BITS)
     inside = F.col("_at") - F.shiftleft(part, _POSITION_BITS)
     sizes = numbered.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
@@ -47,16 +52,22 @@ def rank_within(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], rank: str = "rank",
     ties: bool = False,
 ) -> DataFrame:
-    """0-based position of every row inside its group; a hot group is ranked by many tasks."""
+    """0-based position of every row inside its group; a hot group is ranked by many tasks.
+
+    A group lies in consecutive ranges. Its rank is the place in the stretch of its range, plus the
+    rows of the group in the ranges before. Rows meet that table by range and group, so a hot
+    group is as many keys as it has ranges.
+    """
     if not keys:
         return global_rank(df, order, rank, ties)
-    ranked = global_rank(df, [*keys, *order], "_global", ties)
-    firsts = ranked.groupBy(*keys).agg(F.min("_global").alias("_first"))
-    condition = [F.col(f"r.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys]
-    joined = ranked.alias("r").join(firsts.alias("f"), condition)
-    return joined.select(
-        "r.*", (F.col("r._global") - F.col("f._first")).alias(rank)
-    ).drop("_global")
+    numbered = _laid_out(df, [*keys, *order], ties).withColumn("_part", F.shiftright("_at", _POSITION_BITS))
+    stretches = numbered.groupBy("_part", *keys).agg(F.min("_at").alias("_start"), F.count("*").alias("_size"))
+    earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = stretches.withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+    condition = [F.col("r._part") == F.col("o._part"), *[F.col(f"r.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]]
+    joined = numbered.alias("r").join(offsets.alias("o"), condition)
+    place = F.col("r._at") - F.col("o._start") + F.col("o._before")
+    return joined.select("r.*", place.alias(rank)).drop("_at", "_part", "_tie")
 
 
 def moving_average(
