@@ -10,8 +10,8 @@ scanned so far in the task. Survivors are scored in double precision on the vect
 given.
 
 The centres are fitted on a bounded sample; every row is indexed. Lists are gathered to shards of about
-``shard_rows`` rows, long lists being split, and queries to blocks: a task meets one shard with one block,
-so both its sides are bounded whatever their sum. A task returns k rows per query.
+``shard_rows`` rows, long lists being split, and queries to blocks of ``query_rows``: a task meets one shard
+with one block, so both its sides are bounded whatever their sum. A task returns k rows per query.
 """
 
 from __future__ import annotations
@@ -73,7 +73,7 @@ def _best(q: np.ndarray, rank_by: np.ndarray, ids: np.ndarray, k: int) -> np.nda
 
 def nearest(
     vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, dim: int | None = None,
-    sample_rows: int = 16_384, lists: int | None = None, probe_share: float = 0.7, shard_rows: int = 16_384,
+    sample_rows: int = 16_384, lists: int | None = None, probe_share: float = 0.7, shard_rows: int = 16_384, query_rows: int = 65_536,
     epsilon: float = 2.1, column_block: int = 16, rounds: int = 8, seed: int = 5,
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row that ``is_query`` holds for, the k rows found nearest by cosine.
@@ -128,7 +128,7 @@ def nearest(
             shard, filled = shard + pieces[at], 0
     shards = int(shard_of[-1] + pieces[-1])
     asking = int(indexed.where("asks").count())
-    query_blocks = max(1, -(-asking // shard_rows))
+    query_blocks = max(1, -(-asking // query_rows))
 
     def route_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,11 +136,13 @@ def nearest(
                 some = batch.slice(at, 512)
                 if not some.num_rows:
                     continue
-                ids, order = some.column(0).to_numpy(), np.argsort(-(unit(matrix(some.column(1))) @ sent.value.T), axis=1, kind="stable")
+                ids, close = some.column(0).to_numpy(), unit(matrix(some.column(1))) @ sent.value.T
+                order = np.argsort(-close, axis=1, kind="stable")
                 # More lists where the nearest hold too few rows for k and the query itself.
                 held = np.cumsum(counts[order], axis=1)
-                take = np.maximum(probes, (held <= k).sum(axis=1) + 1)
+                take = np.minimum(np.maximum(probes, (held <= k).sum(axis=1) + 1), lists)
                 near = [o[:n] for o, n in zip(order, take, strict=True)]
+                least = close[np.arange(len(ids)), order[np.arange(len(ids)), take - 1]]
                 rows, shard = [], []
                 for row, mine in enumerate(near):
                     to = np.unique(np.concatenate([shard_of[l] + np.arange(pieces[l]) for l in mine]))
@@ -148,12 +150,11 @@ def nearest(
                     shard.append(to)
                 rows, shard = np.concatenate(rows), np.concatenate(shard)
                 block = (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % query_blocks
-                lists_of = pa.array([sorted(m.tolist()) for m in near], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard), pa.array(block[rows]), pa.array(ids[rows]), some.column(1).take(pa.array(rows)), lists_of.take(pa.array(rows))],
-                    ["shard", "block", "id", "vec", "probed"])
+                    [pa.array(shard), pa.array(block[rows]), pa.array(ids[rows]), some.column(1).take(pa.array(rows)), pa.array(least[rows])],
+                    ["shard", "block", "id", "vec", "least"])
 
-    queries = indexed.where("asks").mapInArrow(route_queries, "shard long, block long, id long, vec array<double>, probed array<int>")
+    queries = indexed.where("asks").mapInArrow(route_queries, "shard long, block long, id long, vec array<double>, least double")
     first, many = F.array(*[F.lit(int(x)) for x in shard_of]), F.array(*[F.lit(int(x)) for x in pieces])
     at = F.col("list") + 1
     candidates = indexed.select(
@@ -172,12 +173,13 @@ def nearest(
         q_ids, q_vec = asked["id"].to_numpy(), matrix(asked["vec"].combine_chunks())
         bound = np.full(len(q_ids), 4.0)
         q_turned = unit(q_vec) @ turn
-        probed = asked["probed"].combine_chunks()
-        flat, owner = probed.flatten().to_numpy(), np.repeat(np.arange(len(q_ids)), probed.value_lengths().to_numpy())
+        # A query probes the lists whose centres are as near as the last of its share; rounding may differ.
+        lists_here = np.unique(c_list)
+        probed = unit(q_vec) @ sent.value[lists_here].T >= asked["least"].to_numpy()[:, None] - 1e-12
         held_q, held_c, held_far = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        for number in np.unique(c_list):
+        for column, number in enumerate(lists_here):
             begin, end = np.searchsorted(c_list, [number, number + 1])
-            mine = owner[flat == number]
+            mine = np.flatnonzero(probed[:, column])
             for some in np.array_split(mine, max(1, len(mine) * (end - begin) // 2_000_000 + 1)):
                 if not len(some):
                     continue
