@@ -40,6 +40,8 @@ MARKS = frozenset(
     "breadcrumbs sidebar aside widget footer masthead comment comments disqus respond reply replies cookie cookies consent gdpr notice "
     "popup modal overlay newsletter subscribe share sharing social related recommended pagination pager toolbar login signup skip".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: A class such as no-sidebar or has-comments says nothing of the element itself.
+NEGATIONS = frozenset("no not has with without".split())
 #: An opening tag of the first kind ends an open element of the second, unless one of the third lies between.
 P_ENDERS = BLOCKS - frozenset("body caption html legend tbody td tfoot th thead tr summary".split())
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -47,7 +49,7 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}
         "option": ({"option"}, {"select"})}
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([A-Za-z][^\s/>]*+)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>?", re.DOTALL)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -64,8 +66,11 @@ def _is_left_out(tag: str, attributes: str) -> bool:
             return True
         if name == "role" and value.strip() in ROLES:
             return True
-        if name in ("class", "id") and tag not in ARTICLE and any(w in MARKS for w in WORD.findall(value)):
-            return True
+        if name in ("class", "id") and tag not in ARTICLE:
+            for given in value.split():
+                words = WORD.findall(given)
+                if words and words[0] not in NEGATIONS and not MARKS.isdisjoint(words):
+                    return True
     return False
 
 

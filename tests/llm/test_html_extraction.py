@@ -24,6 +24,8 @@ def page(body, head="<title>t</title>"):
     (page("<div class='cookie-notice'><p>We use cookies, many cookies, for all purposes, always.</p></div><div><p>Short.</p></div>"), "Short."),
     (page("<div><p>Text, of the page.</p><ul><li><a href='1'>One</a><li><a href='2'>Two</a></ul></div>"), "Text, of the page."),
     (page("<ARTICLE><P>Upper</P></ARTICLE>"), "Upper"),
+    (page("<div class='post no-sidebar' data-id='nav'><p title='hidden gems, role=search'>Body, kept.</p><p hidden>gone</p></div>"), "Body, kept."),
+    (page("<div class=content><p>Text, here.</p><div class='ad'>Buy, buy, buy.</div><p style='display: none'>gone</p></div>"), "Text, here."),
 ])
 def test_text_of_a_page(source, text):
     assert extract_text(source) == text
