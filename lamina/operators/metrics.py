@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lamina.functions.text import is_refusal
 from lamina.operators.aggregates import exact_percentiles, pooled_ratio, share_true
 from lamina.operators.relational import top_per_group
+from lamina.session import durable
 
 UNANSWERABLE = "unanswerable"
 # The metrics, in order of report.
@@ -125,9 +126,11 @@ def stratified_sample(
 def metric_pivot(summary: DataFrame, configs: Sequence[str] | None = None) -> DataFrame:
     """Metrics as rows and configurations as columns; latencies in seconds, wall time in minutes.
 
-    Pass ``configs`` to spare the job that looks for them.
+    Without ``configs`` they are looked up in the summary, which is made durable first: it is a few
+    rows per configuration and costly to derive twice.
     """
     overall = summary.filter(F.col("scope") == "overall")
+    overall = overall if configs else durable(overall)
     shown = {m: F.col(m) for m in METRICS}
     shown["latency_p50_ms"] = F.col("latency_p50_ms") / 1000
     shown["latency_p95_ms"] = F.col("latency_p95_ms") / 1000
