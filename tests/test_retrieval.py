@@ -84,7 +84,7 @@ def test_approximate_search_finds_most_neighbours(vectors):
     df, _ = vectors
     queries = df.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
     exact = search.knn_exact(queries, df, 4)
-    found = search.knn_approx(queries, df, 4, lists=8, probes=3, block_rows=40)
+    found = search.knn_approx(queries, df, 4, lists=8, probe_share=3 / 8, block_rows=40)
     assert found.groupBy("query_id").count().filter("count > 4").count() == 0
     assert search.recall_at(found, exact).first()[0] > 0.9
 
@@ -155,9 +155,11 @@ def test_evidence_context(spark):
         "content string, title string",
     )
     queries = spark.createDataFrame([(0,), (1,)], "query_id int")
-    found = dict(rows(search.evidence_context(queries, search.with_citation(hits))))
-    assert found[0] == (
-        "--- SOURCE q.sql:L3-L5 (one) ---\n```sql\nSELECT 1\n```\n\n"
-        "--- SOURCE [D §A] (titre: Titre) ---\n" + "x" * 1200
-    )
-    assert found[1] == "(no document matched)"
+    # Whole passages, unless a cut is asked for.
+    for options, size in (({}, 1300), ({"max_chars": 1200}, 1200)):
+        found = dict(rows(search.evidence_context(queries, search.with_citation(hits), **options)))
+        assert found[0] == (
+            "--- SOURCE q.sql:L3-L5 (one) ---\n```sql\nSELECT 1\n```\n\n"
+            "--- SOURCE [D §A] (titre: Titre) ---\n" + "x" * size
+        )
+        assert found[1] == "(no document matched)"
