@@ -58,21 +58,42 @@ def byte_level_ranks(path: str) -> dict[bytes, int]:
     return {bytes(map(byte_of.__getitem__, token)): rank for token, rank in model["model"]["vocab"].items() if token not in special}
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a file of the tokenizers library, with their ids."""
+    with open(path, encoding="utf-8") as file:
+        listed = json.load(file).get("added_tokens", ())
+    for token in listed:
+        if token.get("lstrip") or token.get("rstrip") or token.get("single_word"):
+            raise ValueError(f"added token {token['content']!r} takes in or depends on its surroundings, which is not supported")
+    return {token["content"]: token["id"] for token in listed}
+
+
 class Tokens:
     """Token ids of texts, as little-endian unsigned 32-bit bytes.
 
     The file is a byte-level BPE of the tokenizers library with ids in the order of merging. Its tokens
-    are applied by tiktoken, which gives the same ids four times as fast. Names of special tokens in a
-    text are ordinary text.
+    are applied by tiktoken, which gives the same ids four times as fast. Names of added tokens in a
+    text are ordinary text, or with ``added`` their ids, as the tokenizers library gives by default; the
+    parts between them are then texts of their own.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import tiktoken
 
         self.encoding = tiktoken.Encoding("byte_level", pat_str=PATTERN, mergeable_ranks=byte_level_ranks(path), special_tokens={})
+        self.added = added_tokens(path) if added else {}
+        # Of two names that begin at the same place the longer is meant.
+        names = sorted(self.added, key=len, reverse=True)
+        self.split = re.compile(f"({'|'.join(map(re.escape, names))})").split if names else lambda text: [text]
 
     def of(self, text: str) -> bytes:
-        return b"".join(np.array(self.encoding.encode_ordinary(part), "<u4").tobytes() for part in _slices(text))
+        found = []
+        for at, between in enumerate(self.split(text)):
+            if at % 2:
+                found.append(np.array([self.added[between]], "<u4").tobytes())
+            elif between:
+                found += [np.array(self.encoding.encode_ordinary(part), "<u4").tobytes() for part in _slices(between)]
+        return b"".join(found)
 
 
 def pack_lengths(lengths: list[int], size: int, linear: float, quadratic: float) -> tuple[list[tuple[int, int, int, int, int]], np.ndarray, np.ndarray]:
@@ -112,12 +133,14 @@ def pack_lengths(lengths: list[int], size: int, linear: float, quadratic: float)
 def pack_documents(
     docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048,
     group_tokens: int = 1 << 20, linear: float = 1.0, quadratic: float = 1.0 / 2048, with_ids: bool = False,
+    added: bool = False,
 ) -> DataFrame:
     """One row per piece: the id column, ``COLUMNS`` and, on wish, the piece's ``ids``.
 
     A document is its tokens and the end token; a null or empty text is the end token alone. Repeated
     rows and null ids are packed like others. Sequence ids are unique but not consecutive. No rows: no
-    rows. Further columns are not read. ``tokenizer_path`` must exist on every executor.
+    rows. Further columns are not read. ``tokenizer_path`` must exist on every executor. With ``added``
+    the added tokens of its file are found in the texts; without, their names are ordinary text.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, {COLUMNS}" + (", ids array<long>" if with_ids else "")
@@ -143,7 +166,7 @@ def pack_documents(
         ids, held, count = [], [], 0
         for whole in batches:
             for batch in cut(whole, 1, 2 << 20):
-                tokens = tokens or Tokens(tokenizer_path)
+                tokens = tokens or Tokens(tokenizer_path, added)
                 found = [tokens.of(text or "") for text in batch.column(1).to_pylist()]
                 for key, got in zip(batch.column(0).to_pylist(), found, strict=True):
                     ids.append(key)

@@ -61,7 +61,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path(), added=True)
 
 
 @query

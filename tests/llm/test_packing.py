@@ -80,3 +80,23 @@ def test_long_texts_are_tokenized_in_parts(monkeypatch):
     whole = packing.Tokens(tokenizer_path()).of(text)
     monkeypatch.setattr(packing, "LONG_TEXT", 100)
     assert packing.Tokens(tokenizer_path()).of(text) == whole
+
+
+def test_added_tokens_have_their_ids(monkeypatch, tmp_path, make):
+    from lamina.llm import packing
+    from lamina.llm.queries import op3_packing
+
+    name, tokenizer = "<|endoftext|>", Tokenizer.from_file(tokenizer_path())
+    texts = [f"a{name}b", name, name * 3, f"  {name}  é {name}\n", f"<|endoftext| {name[1:]}<{name}", "plain", "", "some words,  and " * 40 + name + " more  words" * 40]
+    want = [tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
+    assert want[0] == [64, 50256, 65]
+    for bound in (packing.LONG_TEXT, 100):
+        monkeypatch.setattr(packing, "LONG_TEXT", bound)
+        tokens = packing.Tokens(tokenizer_path(), added=True)
+        assert [np.frombuffer(tokens.of(text), "<u4").tolist() for text in texts] == want
+    docs = make([(n, t, "en", "s", 1, "i", 2) for n, t in enumerate(texts)], DOCS)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for r in op3_packing(docs.sparkSession, str(tmp_path)).collect():
+        ids = want[r["doc_id"]] + [1]
+        assert r["doc_tokens"] == len(ids)
+        assert r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"]:r["start"] + r["length"]], "<u4").tobytes())
