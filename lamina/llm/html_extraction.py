@@ -4,8 +4,9 @@ A page is read into a tree; what can be no article (navigation, headers and foot
 forms, scripts, adverts, notices, reader comments) is left out with all that it holds. Each run of text between
 block boundaries is a paragraph. It passes points, one and one for each comma and up to three for its length,
 to its container in full, to the next in half, and then ever less. A container's points are discounted by the
-share of its text that lies in links. The best container is widened to the article that holds it, and its
-siblings with at least a fifth of its points are kept with it.
+share of its text that lies in links. The best container is widened to the article that holds it. Of its
+siblings, paragraphs are kept by their own length, commas and links, headings with what follows them, and
+containers with a fifth of its points or with paragraphs about as good as its own.
 
 A page is one row, so this is one pass per row in the task that reads it.
 """
@@ -31,6 +32,9 @@ LEFT_OUT = frozenset(
 RAW = frozenset("script style noscript template textarea title iframe svg".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li td th pre dd dt blockquote figcaption".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: A container beside the best one is kept if its paragraphs have on average this share of the points of the best one's.
+SIBLING_SHARE = 0.4
 #: Containers further out than this get nothing of a paragraph.
 REACH = 8
 ARTICLE = frozenset(("article", "main"))
@@ -74,6 +78,11 @@ def _is_left_out(tag: str, attributes: str) -> bool:
     return False
 
 
+def _worth(text: str) -> float:
+    """Points of a paragraph: one, one for each comma and up to three for its length."""
+    return 1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)
+
+
 class Page:
     """The tree of a page: per element its tag, parent and fate; per run of text its block, text and link text."""
 
@@ -168,6 +177,48 @@ class Page:
         self._break()
 
 
+def _is_prose(links: float, worth: float) -> bool:
+    """Whether a paragraph beside the best container is text: few links, or some in much text."""
+    return links <= 0.25 or (links <= 0.5 and worth >= 2.0)
+
+
+def _siblings(page: Page, best: int, score: dict[int, float], length: dict[int, int], linked: dict[int, int]) -> set[int]:
+    """What stands beside the best container and belongs to its article.
+
+    Paragraphs are judged by their own length, commas and links, containers by points a paragraph. A heading
+    belongs to what follows it.
+    """
+    parent = page.parents[best]
+    if parent < 0:
+        return set()
+    worths: dict[int, list[float]] = {}
+    for block, text, in_links in page.runs:
+        element = block
+        while element >= 0 and page.parents[element] != parent:
+            element = page.parents[element]
+        if element >= 0:
+            worths.setdefault(element, []).append(_worth(text) * (1 - in_links / len(text)))
+    if best not in worths:
+        return set()
+    least = SIBLING_SHARE * sum(worths[best]) / len(worths[best])
+    kept, follows = set(), False
+    for element in sorted(worths, reverse=True):  # in page order, the last first
+        links = linked[element] / length[element]
+        if element == best:
+            follows = True
+            continue
+        if page.tags[element] in HEADINGS:
+            belongs = follows and links <= 0.5
+        elif page.tags[element] in PARAGRAPHS:
+            belongs = _is_prose(links, sum(worths[element]))
+        else:
+            belongs = score.get(element, 0.0) >= max(0.2 * score[best], 2.0) or (links <= 0.25 and sum(worths[element]) / len(worths[element]) >= least)
+        follows = belongs
+        if belongs:
+            kept.add(element)
+    return kept
+
+
 def extract_text(source: str | None) -> str:
     """The main text of one page: blocks in page order, joined by line feeds; empty if there is none."""
     if not source:
@@ -177,7 +228,7 @@ def extract_text(source: str | None) -> str:
         return ""
     points, length, linked = {}, {}, {}
     for block, text, in_links in page.runs:
-        worth = 1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)
+        worth = _worth(text)
         # A paragraph's container is the element around it; text that lies in a container is its own.
         holder = page.parents[block] if page.tags[block] in PARAGRAPHS else block
         level, element = 0, holder
@@ -199,13 +250,9 @@ def extract_text(source: str | None) -> str:
         if page.tags[element] in ARTICLE:
             best = element
         element = page.parents[element]
-    kept = {best}
-    parent = page.parents[best]
-    for element, worth in score.items():
-        if parent >= 0 and page.parents[element] == parent and element != best and worth >= max(0.2 * score[best], 2.0):
-            kept.add(element)
+    kept = {best} | _siblings(page, best, score, length, linked)
     # A list or box inside that is nearly all links is a menu.
-    menus = {e for e in length if page.tags[e] in ("ul", "ol", "div", "table", "section", "p") and e not in kept and linked[e] > 0.7 * length[e]}
+    menus = {e for e in length if page.tags[e] in ("ul", "ol", "div", "table", "section") and e not in kept and linked[e] > 0.7 * length[e]}
     inside: dict[int, bool] = {}
 
     def within(element: int) -> bool:
@@ -224,7 +271,12 @@ def extract_text(source: str | None) -> str:
             inside[step] = found
         return found
 
-    return "\n".join(text for block, text, _ in page.runs if within(block))
+    around = page.parents[best]  # its own text, in no element beside the best
+
+    def beside(block: int, text: str, in_links: int) -> bool:
+        return block == around and _is_prose(in_links / len(text), _worth(text) * (1 - in_links / len(text)))
+
+    return "\n".join(text for block, text, in_links in page.runs if within(block) or beside(block, text, in_links))
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:

@@ -56,3 +56,23 @@ def test_rows_stay(make):
     assert sorted(map(str, (r.asDict() for r in found.collect()))) == sorted(map(str, [
         {"text": "a", "page_id": 1, "url": "u"}, {"text": "a", "page_id": 1, "url": "u"}, {"text": "", "page_id": None, "url": None}]))
     assert extract_pages(make([], "page_id long, html string")).collect() == []
+
+
+BODY = "".join(f"<p>Sentence {n} of the story, with a clause, another one, and some more words to fill the line.</p>" for n in range(40))
+
+
+@pytest.mark.parametrize("before, after, kept", [
+    ("<h1>Headline</h1><p>The lead, short.</p>", "<p>The closing words.</p>", ["Headline", "The lead, short.", "The closing words."]),
+    ("<h1>Headline</h1><div class=lead><p>A lead in a box of its own, as long as one line of the story.</p></div>", "",
+     ["Headline", "A lead in a box of its own, as long as one line of the story."]),
+    ("<pre>code</pre><blockquote>Quoted, by someone.</blockquote>", "<h2>Notes</h2><p>First note.</p>", ["code", "Quoted, by someone.", "Notes", "First note."]),
+    ("<p><a href=/>Home</a> <a href=/a>All</a></p>", "<h3>More stories</h3><ul><li><a href=1>One</a><li><a href=2>Two</a></ul>", []),
+    ("Bare text, not in a paragraph.", "", ["Bare text, not in a paragraph."]),
+])
+def test_what_stands_beside_the_body(before, after, kept):
+    found = extract_text(page(f"<div id=content>{before}<div class=body>{BODY}</div>{after}</div>")).split("\n")
+    assert [x for x in found if not x.startswith("Sentence ")] == kept and len(found) == len(kept) + 40
+
+
+def test_linked_paragraphs_of_an_article_stay():
+    assert extract_text(page("<article><p>One, two.</p><p><a href=x>All of this is a link</a></p></article>")) == "One, two.\nAll of this is a link"
