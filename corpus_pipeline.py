@@ -14,7 +14,7 @@ from lamina.llm import language_id, mixing, packing, secret_scan, simhash_dedup
 from lamina.llm.queries import read, remainder, tokenizer_path
 from lamina.session import shared_dir
 
-#: A text is rejected when no language has this share of its words.
+#: A text is rejected when the likeliest language of its words has on average less than this probability.
 LEAST_SHARE = 0.35
 
 

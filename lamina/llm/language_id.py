@@ -110,21 +110,30 @@ class Field:
             back /= back.sum(axis=1, keepdims=True)
         return (both[step_of, lane_of], expected) if moves_too else both[step_of, lane_of]
 
+    def _each(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The text and the probability of each language of every word, and words per text."""
+        types, words, lengths = number_words(texts)
+        each = self.marginals(self.emissions(types), words, lengths) if len(words) and self.languages else np.zeros((len(words), len(self.languages)))
+        return np.repeat(np.arange(len(texts)), lengths), each, lengths
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """The language of each text and its share of expected words; ``und`` and 0 without letters."""
-        types, words, lengths = number_words(texts)
-        shares = np.zeros((len(texts), len(self.languages)))
-        if len(words) and self.languages:
-            each = self.marginals(self.emissions(types), words, lengths)
-            owner = np.repeat(np.arange(len(texts)), lengths)
-            shares = np.column_stack([np.bincount(owner, each[:, k], len(texts)) for k in range(len(self.languages))])
-            shares /= np.maximum(lengths, 1)[:, None]
+        owner, each, lengths = self._each(texts)
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        shares = np.column_stack([np.bincount(owner, each[:, k], len(texts)) for k in range(len(self.languages))])
+        shares /= np.maximum(lengths, 1)[:, None]
         best = shares.argmax(axis=1)
         names = [self.languages[k] if n else UNKNOWN for k, n in zip(best, lengths, strict=True)]
         return names, np.clip(np.where(lengths > 0, shares.max(axis=1), 0.0), 0, 1)
 
+    def sureness(self, texts: list[str | None]) -> np.ndarray:
+        """The mean probability of each word's likeliest language; 0 without letters, 1 if no language was learned."""
+        owner, each, lengths = self._each(texts)
+        if not self.languages:
+            return (lengths > 0).astype(float)
+        return np.clip(np.bincount(owner, each.max(axis=1), len(texts)) / np.maximum(lengths, 1), 0, 1)
+
 
 def train(texts: list[str], labels: list[str], bits: int = 16, rounds: int = 5, batch: int = 200, rate: float = 0.3, decay: float = 1e-3) -> Field:
     """A field over the sorted different ``labels``."""
@@ -196,8 +205,10 @@ def identify_languages(docs: DataFrame, field: Field, id_col: str = "doc_id", te
 
 
 def keep_known(docs: DataFrame, field: Field, least: float, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text has letters and a language with at least the share ``least`` of it.
+    """The rows of ``docs`` whose text has letters and whose words are known: on average the likeliest
+    language of a word has at least the probability ``least``.
 
+    How many languages share the text does not matter. Where none was learned, every text with letters stays.
     The rows come out as they went in, in the task that reads them.
     """
     sent, at = docs.sparkSession.sparkContext.broadcast(vars(field)), docs.columns.index(text_col)
@@ -209,7 +220,7 @@ def keep_known(docs: DataFrame, field: Field, least: float, text_col: str = "tex
         vars(field).update(sent.value)
         for whole in batches:
             for batch in cut(whole, at):
-                names, scores = field.predict(batch.column(at).to_pylist())
-                yield batch.filter(pa.array([name != UNKNOWN and score >= least for name, score in zip(names, scores, strict=True)], pa.bool_()))
+                sure = field.sureness(batch.column(at).to_pylist())
+                yield batch.filter(pa.array((sure > 0) & (sure >= least), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

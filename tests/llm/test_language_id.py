@@ -108,3 +108,14 @@ def test_held_out_accuracy(spark):
     held = [r for r in found if r["held_out"]]
     assert len(found) == len(truth) and len(held) > 200
     assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in held]) > 0.97
+
+
+def test_texts_of_many_known_languages_are_kept(make):
+    vocabulary = [[a + b + c for b in "aeiou" for c in d] for a, d in (("k", "rst"), ("w", "xyz"), ("p", "lmn"), ("g", "dfh"))]
+    names = ["a", "b", "c", "d"]
+    field = li.train([" ".join(words[k:] + words[:k]) for words in vocabulary for k in range(15)], [n for n in names for _ in range(15)], rounds=12)
+    even = " ".join(word for words in vocabulary for word in words)
+    assert field.predict([even])[1][0] < 0.35 < 0.9 < field.sureness([even])[0]
+    field.moves[:], field.starts[:] = 0, 0  # so that unknown words belong to no language
+    docs = make([(1, even, None, "s", 1, "i", 1), (2, "ж 漢字 ж", None, "s", 1, "i", 1), (3, "12", None, "s", 1, "i", 1)], DOCS)
+    assert [r["doc_id"] for r in li.keep_known(docs, field, 0.35).collect()] == [1]
