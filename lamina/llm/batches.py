@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: A task holds about this much text at a time, whatever the session's batch settings are. One
 #: text larger than this is a batch of its own.
@@ -28,6 +29,13 @@ def cut(batch: pa.RecordBatch, column: int, max_bytes: int = BATCH_BYTES, max_ro
         yield batch.slice(start)
 
 
+def training_span(text: Column, key: Column, chars: int, seed: int) -> Column:
+    """``text``, or of one of more than ``chars`` code points the span of that length which the hash of ``key`` chooses."""
+    text = text.cast("string")
+    start = F.pmod(F.xxhash64(key, F.lit(seed)), F.greatest(F.length(text) - chars + 1, F.lit(1))).cast("int") + 1
+    return F.when(F.length(text) <= chars, text).otherwise(F.substr(text, start, F.lit(chars)))
+
+
 def map_texts(df: DataFrame, column: int, work: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
     """Apply the function that ``work`` returns to every bounded slice of ``df``.
 

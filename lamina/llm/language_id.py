@@ -6,8 +6,9 @@ learned too. Forward-backward gives each word its probability of every language;
 with the most expected words, its score their share.
 
 Training words carry the language of their text, which is right for most words; the field is fitted by
-AdaGrad on the log likelihood of whole texts. The sample is bounded: the ``train_rows`` labelled texts with
-the smallest hashes among those of at most ``train_chars`` code points.
+AdaGrad on the log likelihood of texts. The sample is bounded: of each language an equal number of labelled
+texts, those with the smallest hashes, and one at least; together about ``train_rows``. Of a text of more than
+``train_chars`` code points a span of that length is learned from.
 
 Texts of a batch are laid end to end in lanes and all lanes advance together, so the recursion costs a few
 array operations per step for many texts.
@@ -19,10 +20,10 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.llm.batches import map_texts
+from lamina.llm.batches import map_texts, training_span
 from lamina.llm.words import ngram_features, number_words
 
 INNER, AFFIX = 3, 3
@@ -174,11 +175,21 @@ def fit_languages(
     docs: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     train_rows: int = 1500, train_chars: int = 10_000, seed: int = 7, **how,
 ) -> Field:
-    """A field from the rows with a language that ``learnable`` (over the id column) holds for."""
-    rows = docs.where(learnable & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= train_chars)).select(
+    """A field from the rows with a language that ``learnable`` (over the id column) holds for.
+
+    Rows that repeat an id and a language count as one.
+    """
+    rows = docs.where(learnable & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text"))
-    drawn = rows.select("_id").distinct().orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(train_rows)
-    sample = rows.join(F.broadcast(drawn), "_id").toArrow().to_pandas().sort_values(["_id", "_lang", "_text"])
+    languages = rows.select("_lang").distinct().count()
+    each = -(-train_rows // max(languages, 2))
+    # Spark keeps so many rows of a language in each task before they are shuffled.
+    by = Window.partitionBy("_lang").orderBy(F.xxhash64("_id", F.lit(seed)), "_id")
+    rows = rows.where(F.col("_text").isNotNull())
+    drawn = rows.select("_lang", "_id").distinct().withColumn("_row", F.row_number().over(by)).where(F.col("_row") <= each).drop("_row")
+    spans = rows.select("_id", "_lang", training_span(F.col("_text"), F.col("_id"), train_chars, seed).alias("_text"))
+    sample = spans.join(F.broadcast(drawn), ["_id", "_lang"]).groupBy("_id", "_lang").agg(F.min("_text").alias("_text"))
+    sample = sample.toArrow().to_pandas().sort_values(["_id", "_lang"])
     return train(sample["_text"].tolist(), sample["_lang"].tolist(), **how)
 
 

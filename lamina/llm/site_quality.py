@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.batches import map_texts
+from lamina.llm.batches import map_texts, training_span
 from lamina.session import durable
 
 FEATURES = ("chars", "upper", "symbols", "bars", "marks", "digits", "spaces", "lines", "word_length", "different", "repeated", "different_lines")
@@ -91,12 +91,13 @@ def fit_classifier(
 ) -> tuple[Classifier, float]:
     """A classifier from a bounded sample of labelled rows, and the rate of good ones among all labels.
 
-    The sample is the ``train_rows`` labelled rows with the smallest hashes among texts of at most
-    ``train_chars`` code points.
+    The sample is the ``train_rows`` labelled rows with the smallest hashes; of a text of more than
+    ``train_chars`` code points a span of that length is learned from.
     """
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & learnable).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label"))
     rate = marked.agg(F.avg(F.col("_label").cast("double"))).first()[0]
-    rows = docs.where(learnable & (F.length(text_col) <= train_chars)).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    rows = docs.where(learnable & F.col(text_col).isNotNull()).select(
+        F.col(id_col).alias("_id"), training_span(F.col(text_col), F.col(id_col), train_chars, seed).alias("_text"))
     drawn = rows.select("_id").join(marked, "_id").orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(train_rows)
     sample = rows.join(F.broadcast(drawn), "_id").toArrow().to_pandas().sort_values(["_id", "_text"])
     found = Classifier()

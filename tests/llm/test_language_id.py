@@ -119,3 +119,32 @@ def test_texts_of_many_known_languages_are_kept(make):
     field.moves[:], field.starts[:] = 0, 0  # so that unknown words belong to no language
     docs = make([(1, even, None, "s", 1, "i", 1), (2, "ж 漢字 ж", None, "s", 1, "i", 1), (3, "12", None, "s", 1, "i", 1)], DOCS)
     assert [r["doc_id"] for r in li.keep_known(docs, field, 0.35).collect()] == [1]
+
+
+def test_every_language_is_learned_whatever_its_rows_and_lengths(make):
+    from pyspark.sql import functions as F
+
+    rows = [(n, ENGLISH[n % 3], "en", "s", 1, "i", 1) for n in range(400)] + [(n, GERMAN[n % 3], "de", "s", 1, "i", 1) for n in range(400, 800)]
+    rows += [(800, "la casa del rey junto al río viejo " * 500, "es", "s", 1, "i", 1), (801, "talo kuninkaan joen lähellä", "fi", "s", 1, "i", 1), (802, None, "fi", "s", 1, "i", 1)]
+    field = li.fit_languages(make(rows, DOCS), F.lit(True), train_rows=40)
+    assert field.languages == ["de", "en", "es", "fi"]
+    assert field.predict(["la casa vieja del rey"])[0] == ["es"]
+    books = [(n, " ".join(texts) * 200, lang, "s", 1, "i", 1) for n, (texts, lang) in enumerate([(ENGLISH, "en"), (GERMAN, "de")])]
+    assert li.fit_languages(make(books, DOCS), F.lit(True)).languages == ["de", "en"]
+
+
+def test_nothing_learned_keeps_texts_with_letters(make):
+    docs = make([(1, "some words", None, "s", 1, "i", 1), (2, "12", None, "s", 1, "i", 1), (3, None, None, "s", 1, "i", 1)], DOCS)
+    assert [r["doc_id"] for r in li.keep_known(docs, li.train([], []), 0.35).collect()] == [1]
+
+
+def test_spans_of_long_texts_are_trained_on(make):
+    from pyspark.sql import functions as F
+
+    from lamina.llm.batches import training_span
+
+    long = "".join(chr(0x4E00 + n) for n in range(5000))
+    docs = make([(1, long, None, "s", 1, "i", 1), (2, "short", None, "s", 1, "i", 1), (3, None, None, "s", 1, "i", 1), (4, long, None, "s", 1, "i", 1), (5, long[:100], None, "s", 1, "i", 1)], DOCS)
+    found = {r["doc_id"]: r["t"] for r in docs.select("doc_id", training_span(F.col("text"), F.col("doc_id"), 100, 7).alias("t")).collect()}
+    assert len(found[1]) == len(found[4]) == 100 and found[1] in long and found[1] != found[4]
+    assert found[2] == "short" and found[3] is None and found[5] == long[:100]
