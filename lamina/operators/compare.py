@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 from lamina.constants import RESULT_TOLERANCE
 from lamina.operators.ordered import rank_within
 
-# Rows of one group that are paired by trying; a larger group with several floats is ranked.
+# Rows of one group that are paired by trying; a larger group with several floats is cut first, and what is
+# still larger is ranked.
 PAIR_ROWS = 500
 
 _FLOATS = (T.FloatType, T.DoubleType, T.DecimalType)
@@ -81,8 +82,9 @@ def result_diff(
     both sides hold the same rows, floats rounded to 6 digits, they match; elsewhere the rows with
     the same exact cells are paired within the tolerance. One float column is paired by rank,
     which succeeds whenever any pairing does. Several are paired by augmenting paths in groups of
-    up to ``pair_rows`` rows a side. Only a larger group, ranked by its floats, can stay open:
-    ``matches`` is then NULL unless something else decides. No group is compared pair by pair or
+    up to ``pair_rows`` rows a side. A larger group is cut where a float column has a gap wider than
+    the tolerance. Only a piece that is still larger and whose columns, each by itself, all pair can
+    stay open: it is ranked, and ``matches`` is NULL unless something else decides. No group is compared pair by pair or
     inside one task but for those bounded ones.
     """
     keys = list(by)
@@ -175,16 +177,21 @@ def _verdicts(rows: DataFrame, keys: list[str], tolerance: float, pair_rows: int
     differing = net.filter(width > 0).select(*group, width.alias("_width")).distinct()
     on = [F.col(f"x.{c}").eqNullSafe(F.col(f"d.{c}")) for c in group]
     open_rows = loose.alias("x").join(differing.alias("d"), on).select("x.*", "d._width")
-    sizes = open_rows.groupBy(*group).agg(F.greatest(
-        F.count_if(F.col("_side") == 1), F.count_if(F.col("_side") == -1)).alias("_most"))
-    sized = open_rows.alias("x").join(sizes.alias("d"), on).select("x.*", "d._most")
+    sized = _with_sizes(open_rows, group)
     # With one row a side, or one float, ranks pair as well as anything.
-    few = (F.col("_width") > 1) & (F.col("_most") > 1) & (F.col("_most") <= pair_rows)
-    paired = _pair_by_trying(sized.filter(few), keys, tolerance)
-    ranked = _pair_by_rank(sized.filter(~few), group, tolerance)
+    several = (F.col("_width") > 1) & (F.col("_most") > 1)
+    large = several & (F.col("_most") > pair_rows)
+    found = in_order.unionByName(without)
+    if not sized.filter(large).isEmpty():
+        pieces = _with_sizes(_cut_at_gaps(sized.filter(large), group, tolerance).drop("_most"), group)
+        sized = sized.filter(~large).unionByName(pieces)
+        found = found.unionByName(_missed_by_column(sized.filter(large), keys, tolerance))
+    paired = _pair_by_trying(sized.filter(several & ~large), keys, tolerance)
+    ranked = _pair_by_rank(sized.filter(~several | large), group, tolerance)
     by_rank = ranked.select(*keys, "_missed", "_sure")
-    missed = in_order.unionByName(without).unionByName(paired).unionByName(by_rank).groupBy(*keys).agg(
-        F.sum("_missed").alias("_unmatched"), F.sum(F.when(F.col("_sure"), F.col("_missed")).otherwise(0)).alias("_certain")
+    # A miss that is sure but counted elsewhere is NULL.
+    missed = found.unionByName(paired).unionByName(by_rank).groupBy(*keys).agg(
+        F.sum(F.coalesce("_missed", F.lit(0))).alias("_unmatched"), F.sum(F.when(F.col("_sure"), F.coalesce("_missed", F.lit(1))).otherwise(0)).alias("_certain")
     )
     met = [F.col(f"c.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys]
     if not keys:
@@ -201,6 +208,59 @@ def _verdicts(rows: DataFrame, keys: list[str], tolerance: float, pair_rows: int
     )
 
 
+def _with_sizes(rows: DataFrame, group: list[str]) -> DataFrame:
+    """``rows`` with ``_most``, the number of rows of their group on the side that has more."""
+    sizes = rows.groupBy(*group).agg(F.greatest(
+        F.count_if(F.col("_side") == 1), F.count_if(F.col("_side") == -1)).alias("_most"))
+    on = [F.col(f"x.{c}").eqNullSafe(F.col(f"d.{c}")) for c in group]
+    return rows.alias("x").join(sizes.alias("d"), on).select("x.*", "d._most")
+
+
+def _cell(value: Column, tolerance: float) -> Column:
+    """Number of a cell of doubles: two that agree within the tolerance lie in one cell or in neighbours."""
+    least = 1e-9  # smaller magnitudes are compared as this one and lie in cell 0
+    # A little wider than needed, so that rounding does no harm.
+    width = -float(np.log1p(-tolerance)) * 1.01 + 1e-12
+    step = (F.floor(F.log(F.abs(value) / least) / width) + 1).cast("bigint")
+    far = 1 << 60  # apart from all others and from each other
+    return (
+        F.when(value.isNull(), -far - 9).when(F.isnan(value), far + 9).when(F.abs(value) == float("inf"), F.signum(value).cast("bigint") * far)
+        .when(F.abs(value) < least, 0).otherwise(F.signum(value).cast("bigint") * step).cast("bigint")
+    )
+
+
+def _cut_at_gaps(rows: DataFrame, group: list[str], tolerance: float) -> DataFrame:
+    """``rows`` with the piece of their group written into ``_tag``: rows of two pieces never match.
+
+    A piece is a run of neighbouring cells in each float column. Among the different cells of a column in
+    order, cell less rank is the same exactly along a run.
+    """
+    if tolerance >= 1:
+        return rows
+    celled = rows.withColumn("_cells", F.transform("_floats", lambda f: _cell(f, tolerance)))
+    kinds = celled.select(*group, "_cells").distinct()
+    each = kinds.select("*", F.posexplode("_cells").alias("_col", "_cell"))
+    ranked = rank_within(each.select(*group, "_col", "_cell").distinct(), [*group, "_col"], ["_cell"], "_rank")
+    runs = ranked.select(*group, "_col", "_cell", (F.col("_cell") - F.col("_rank")).alias("_run"))
+
+    def met(names: list[str]) -> list[Column]:
+        return [F.col(f"x.{c}").eqNullSafe(F.col(f"d.{c}")) for c in names]
+
+    placed = each.alias("x").join(runs.alias("d"), met([*group, "_col", "_cell"])).select("x.*", "d._run")
+    pieces = placed.groupBy(*group, "_cells").agg(F.sort_array(F.collect_list(F.struct("_col", "_run"))).alias("_runs"))
+    tag = F.to_json(F.struct(F.col("x._tag").alias("tag"), F.col("d._runs").alias("piece")), {"ignoreNullFields": "false"})
+    cut = celled.alias("x").join(pieces.alias("d"), met([*group, "_cells"])).select("x.*", tag.alias("_piece"))
+    return cut.drop("_cells", "_tag").withColumnRenamed("_piece", "_tag").select(*rows.columns)
+
+
+def _missed_by_column(rows: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
+    """Rows of a NULL count for each miss of a float column paired by itself: then no pairing of all fits."""
+    each = rows.select(*keys, "_tag", "_side", "_width", "_most", F.posexplode("_floats").alias("_col", "_float"))
+    alone = each.withColumn("_floats", F.array("_float")).withColumn("_width", F.lit(1))
+    ranked = _pair_by_rank(alone, [*keys, "_tag", "_col"], tolerance).filter("_missed > 0")
+    return ranked.select(*keys, F.lit(None).cast("bigint").alias("_missed"), F.lit(True).alias("_sure"))
+
+
 def _floats_match(left: Column, right: Column, tolerance: float) -> Column:
     same = F.zip_with(left, right, lambda a, b: cells_match(a, b, tolerance))
     return (F.size(left) == F.size(right)) & F.forall(same, lambda x: x)

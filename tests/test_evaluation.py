@@ -295,3 +295,22 @@ def test_rescoring_derives_refusals_again(spark):
     walls = spark.createDataFrame([("other", 5.0)], "config string, wall_time_s double")
     found = metrics.rescore(df, walls).filter("scope = 'overall'").first()
     assert (found["false_refusal_rate"], found["wall_time_s"]) == (0.5, 0.0)
+
+
+@pytest.mark.parametrize("case, matches", [("alike", True), ("off", False), ("counts", False), ("crossed", False)])
+def test_large_groups_of_several_floats_are_decided(spark, case, matches):
+    # The first values are so near each other that ranks mix rows up; the second tell them apart.
+    rng = np.random.default_rng(3)
+    gold = [("a", 100.0 + float(rng.random()) * 1e-3, 1.5 ** (n % 40), 7.0) for n in range(640)] + [("b", 1.0, 2.0, 3.0), ("c", None, float("nan"), float("inf"))]
+    pred = [(t, x if x is None else x * (1 + float(rng.uniform(-1, 1)) * 1e-6), y, z) for t, x, y, z in reversed(gold)]
+    if case == "off":
+        pred = [(t, x, y * 1.1, z) for t, x, y, z in pred]
+    elif case == "counts":
+        pred = [("b", *row[1:]) if n == 9 else row for n, row in enumerate(pred)]
+    elif case == "crossed":
+        # Each column alone fits, their combinations do not.
+        gold = [("a", 100.0 if n % 2 else 200.0, 5.0 if n % 4 < 2 else 50.0, 7.0) for n in range(1200)]
+        pred = [("a", x, y, z) for _, x, y, z in gold]
+        pred[0], pred[-1] = ("a", 200.0, 50.0, 7.0), ("a", 100.0, 5.0, 7.0)
+    schema = "t string, x double, y double, z double"
+    assert compare.result_diff(spark.createDataFrame(pred, schema), spark.createDataFrame(gold, schema)).first()["matches"] is matches
