@@ -17,6 +17,7 @@ with one block, so both its sides are bounded whatever their sum. A task returns
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -80,7 +81,8 @@ def nearest(
 
     A query's own id is no candidate. All candidates are returned if there are fewer than k. Null, empty
     and zero vectors, vectors with null or non-finite components, rows without an id and vectors not of
-    ``dim`` components (the most frequent length when not given) take no part. Equal scores go to the
+    ``dim`` components when given take no part. When not given, each vector length is indexed and searched
+    by itself. Equal scores go to the
     smaller id. No rows: no rows. Further columns are not read.
 
     ``sample_rows`` bounds the rows on which centres are fitted: those with the smallest hashes. The number of lists is the root of the number of rows; ``probe_share`` is
@@ -89,8 +91,11 @@ def nearest(
     good = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     if dim is None:
-        common = good.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-        dim = common["d"] if common else 1
+        # One row per vector length.
+        dims = sorted(r["d"] for r in good.select(F.size("vec").alias("d")).distinct().collect())
+        each = [nearest(vectors, is_query, id_col, vector_col, k, d, sample_rows, lists, probe_share, shard_rows, query_rows, epsilon, column_block, rounds, seed)
+                for d in dims or [1]]
+        return reduce(DataFrame.unionByName, each)
     good = good.where(F.size("vec") == dim)
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"

@@ -145,3 +145,13 @@ def test_few_odd_and_no_rows(make):
     assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in found) == [(0, 1, 1), (0, 2, 2), (0, 3, 50), (50, 1, 1), (50, 2, 2), (50, 3, 0)]
     assert vs.nearest(table(make, ODD), asks).collect() == [] == vs.nearest(table(make, []), asks).collect()
     assert vs.nearest(table(make, [(1, [1.0]), (2, [2.0])]), asks).collect() == []
+
+
+def test_each_vector_length_is_searched_apart(make):
+    rng = np.random.default_rng(8)
+    wide, short = ([(n, rng.normal(size=d).tolist()) for n in some] for some, d in ((range(0, 30), 6), (range(100, 112), 4)))
+    found = vs.nearest(table(make, wide + short), F.col("vec_id").isin(3, 105), probe_share=1.0).collect()
+    got = {q: [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (3, 105)}
+    for q, rows in ((3, wide), (105, short)):
+        vectors = {n: np.array(v) / np.linalg.norm(v) for n, v in rows}
+        assert got[q] == sorted((n for n in vectors if n != q), key=lambda n: -vectors[n] @ vectors[q])[:5]
