@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.constants import BODY_WEIGHT, FRENCH_STOP_WORDS, HEADING_WEIGHT
 from lamina.functions.text import content_hash
+from lamina.operators import fulltext
 from lamina.session import durable
 from lamina.sources.sinks import upsert_by_source
 
@@ -20,62 +21,30 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), WORD_BREAK), "")
 
 
-def french_stem(term: Column) -> Column:
-    """Plural and mute endings removed from words of five letters or more.
-
-    A few suffix rules, not a full stemmer: close to, but not the same as, a Snowball stem.
-    """
-    size = F.length(term)
-    shorter = (
-        F.when(term.endswith("es"), F.substring(term, 1, size - 2))
-        .when(term.endswith("s") | term.endswith("x") | term.endswith("e"), F.substring(term, 1, size - 1))
-        .otherwise(term)
-    )
-    return F.when(size >= 5, shorter).otherwise(term)
-
-
 def term_index(
     chunks: DataFrame, chunk_id: str = "chunk_id", heading: str = "heading",
     content: str = "content", stop_words: Sequence[str] = FRENCH_STOP_WORDS, stem: bool = True,
-    only: DataFrame | None = None,
+    only: DataFrame | None = None, analysis: Mapping[str, fulltext.Analysis] | None = None, config: str | None = None,
 ) -> DataFrame:
-    """Postings (chunk_id, term, weight, tf): heading terms weigh A, body terms B.
+    """Postings (chunk_id, term, weight, tf, positions): heading terms weigh A, body terms B.
 
+    Words are stemmed by the French rules unless ``stem`` is false. With ``config``, a column such as the
+    source type, ``analysis`` says for each of its values what to do instead: documents are stemmed, code is not.
     ``only`` holds the terms worth counting, when the postings serve one batch of queries.
-    A chunk is one row, so its terms are counted inside the row: sorted, equal terms are runs,
-    and a count is the distance of two starts. No text and no single term is shuffled.
+    A chunk is one row, so its terms are counted inside the row. No text and no single term is shuffled.
     """
-    def words(name: str) -> Column:
-        found = terms(F.coalesce(F.col(name), F.lit("")))
-        if stop_words:
-            found = F.filter(found, lambda w: ~w.isin(*stop_words))
-        return F.array_sort(F.transform(found, french_stem) if stem else found)
-
-    fields = F.array(
-        *[F.struct(F.lit(weight).alias("weight"), words(name).alias("terms"))
-          for weight, name in (("A", heading), ("B", content))]
-    )
-    sorted_terms = (
-        chunks.select(F.col(chunk_id).alias("chunk_id"), F.explode(fields).alias("_f"))
-        .select("chunk_id", "_f.weight", F.col("_f.terms").alias("_terms"))
-        .filter(F.size("_terms") > 0)
-    )
-    places = F.sequence(F.lit(0), F.size("_terms") - 1)
-    begins = F.filter(
-        places, lambda at: (at == 0) | (F.get("_terms", at) != F.get("_terms", F.greatest(at - 1, F.lit(0))))
-    )
-    with_begins = sorted_terms.withColumn("_begins", begins)
-    runs = F.transform(
-        "_begins",
-        lambda at, n: F.struct(
-            F.get("_terms", at).alias("term"),
-            (F.coalesce(F.get("_begins", n + 1), F.size("_terms")) - at).cast("bigint").alias("tf"),
-        ),
-    )
-    found = with_begins.select("chunk_id", "weight", F.explode(runs).alias("_r")).select(
-        "chunk_id", "_r.term", "weight", "_r.tf"
+    how = analysis if config else fulltext.Analysis(tuple(stop_words), stem)
+    places = fulltext.positional_index(chunks, chunk_id, heading, content, how, config)
+    if only is not None:
+        places = places.join(only.select("term").distinct(), "term", "left_semi")
+    inside = F.col("headings")
+    weights = F.array(
+        F.struct(F.lit("A").alias("weight"), F.slice("positions", 1, F.greatest(inside, F.lit(0))).alias("positions")),
+        F.struct(F.lit("B").alias("weight"), F.slice("positions", inside + 1, F.size("positions")).alias("positions")),
     )
-    return found if only is None else found.join(only.select("term").distinct(), "term", "left_semi")
+    sides = places.select("chunk_id", "term", F.explode(weights).alias("_s")).select("chunk_id", "term", "_s.weight", "_s.positions")
+    return sides.where(F.size("positions") > 0).select(
+        "chunk_id", "term", "weight", F.size("positions").cast("bigint").alias("tf"), "positions")
 
 
 def weight_value() -> Column:

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from lamina.constants import CANDIDATES_PER_BRANCH, RRF_K, TOP_K
 from lamina.functions.text import citation
+from lamina.operators import fulltext
 from lamina.operators.fusion import rrf_fuse
-from lamina.operators.index import french_stem, terms, weight_value
+from lamina.operators.index import terms, weight_value
 from lamina.operators.relational import top_per_group
 
 # A side is held whole in every worker only up to this many vectors and bytes as doubles.
@@ -248,12 +249,9 @@ def recall_at(found: DataFrame, truth: DataFrame) -> DataFrame:
 def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "text",
                 stop_words: tuple[str, ...] = (), stem: bool = True) -> DataFrame:
     """Distinct terms of every query, cut the same way as the postings."""
-    words = queries.select(F.col(query_id).alias("query_id"), F.explode(terms(F.col(text))).alias("term"))
-    if stop_words:
-        words = words.filter(~F.col("term").isin(*stop_words))
-    if stem:
-        words = words.withColumn("term", french_stem(F.col("term")))
-    return words.distinct()
+    analysis = fulltext.Analysis(tuple(stop_words), stem)
+    clauses = fulltext.parse_questions(queries, query_id, text, analysis, syntax=False)
+    return clauses.select("query_id", F.explode("terms").alias("term")).distinct()
 
 
 def keyword_topk(postings: DataFrame, wanted: DataFrame, k: int = CANDIDATES_PER_BRANCH) -> DataFrame:

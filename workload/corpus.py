@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lamina.functions.text import content_hash, embed_text
-from lamina.operators import chunking, embed, index
+from lamina.operators import chunking, embed, fulltext, index
 from workload import sqltext
 from workload import tables as t
 from workload.registry import query
@@ -152,7 +152,17 @@ def _(spark, sf):
     "term_index", sqltext.postings("heading", "content", "chunk_id", "chunks"), "chunks",
 )
 def _(spark, sf):
-    return index.term_index(t.chunks(spark, sf))
+    found = index.term_index(t.chunks(spark, sf))
+    return found.withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
+
+
+@query(
+    "french_stems",
+    sqltext.stemmed(f"SELECT DISTINCT unnest({sqltext.words('text')}) AS word FROM documents"),
+)
+def _(spark, sf):
+    words = t.spread_table(spark, sf, "documents").select(F.explode(fulltext.words_of(F.col("text"))).alias("word"))
+    return fulltext.stems(words.distinct())
 
 
 @query(

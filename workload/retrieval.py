@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lamina.constants import FRENCH_STOP_WORDS, PASSAGE_PREFIX, QUERY_PREFIX
-from lamina.operators import embed, fusion, index, leakage, relational, search
+from lamina.constants import PASSAGE_PREFIX, QUERY_PREFIX
+from lamina.operators import embed, fulltext, fusion, leakage, relational, search
 from workload import sqltext
 from workload import tables as t
 from workload.registry import query
@@ -28,9 +28,9 @@ def _dense(spark, sf, k: int = 20, chunks=None):
 
 
 def _keyword(spark, sf, k: int = 20, chunks=None):
-    wanted = search.query_terms(t.search_queries(spark, sf), stop_words=FRENCH_STOP_WORDS)
     chunks = t.chunks(spark, sf) if chunks is None else chunks
-    return search.keyword_topk(index.term_index(chunks, only=wanted), wanted, k)
+    clauses = fulltext.parse_questions(t.search_queries(spark, sf), syntax=False)
+    return fulltext.search_blocks(fulltext.block_index(chunks), clauses, k)
 
 
 def _hits(spark, sf, k: int = 5):
@@ -136,6 +136,78 @@ def _(spark, sf):
     return _ranks(_keyword(spark, sf), "rank")
 
 
+def _websearch() -> str:
+    """Questions with phrases and negation against all documents; covers are listed one by one."""
+    # kind of question, clause, negated, place in the clause, number of the word in the passage
+    shape = ("(0, 0, false, 0, 1), (0, 0, false, 1, 2), (0, 1, false, 0, 5), (0, 2, false, 0, 7), (1, 0, false, 0, 1), (1, 0, false, 1, 2), "
+             "(1, 0, false, 2, 3), (2, 0, false, 0, 2), (2, 0, false, 1, 3), (2, 1, true, 0, 5), (3, 0, false, 0, 1), (3, 1, false, 0, 4), "
+             "(3, 2, true, 0, 2), (3, 2, true, 1, 3)")
+    return f"""WITH RECURSIVE entries AS ({sqltext.entries("source || ' ' || lang", "text", "doc_id", "documents")}),
+    asked AS (
+      SELECT item_id AS query_id, clause, negated, at_, w[nth] AS word FROM (SELECT item_id, {sqltext.words('text')} AS w FROM benchmark),
+        (VALUES {shape}) AS v(kind, clause, negated, at_, nth)
+      WHERE item_id % 4 = kind AND nth <= len(w) AND w[nth] NOT IN ({sqltext._STOP})),
+    known AS ({sqltext.stemmed('SELECT DISTINCT word FROM asked')}),
+    listed AS (
+      SELECT query_id, clause, negated, list(stem ORDER BY at_) AS terms, list(at_ - low ORDER BY at_) AS offs
+      FROM (SELECT *, min(at_) OVER (PARTITION BY query_id, clause) AS low FROM asked JOIN known USING (word)) GROUP BY 1, 2, 3),
+    clauses AS (SELECT query_id, min(clause) AS clause, negated, terms, offs FROM listed GROUP BY ALL),
+    parts AS (SELECT query_id, clause, negated, len(terms) AS n, list_max(offs) AS reach, unnest(terms) AS term, unnest(offs) AS off FROM clauses),
+    here AS (SELECT * FROM (SELECT DISTINCT query_id, term FROM parts) JOIN entries USING (term)),
+    found AS (
+      SELECT query_id, clause, negated, n, chunk_id, pos - off AS b, pos - off + reach AS e FROM parts JOIN entries USING (term)
+      GROUP BY ALL HAVING count(*) = n),
+    matched AS (
+      SELECT query_id, chunk_id FROM found WHERE NOT negated
+      UNION
+      SELECT c.query_id, d.doc_id FROM clauses AS c, documents AS d WHERE negated AND NOT EXISTS (
+        FROM found AS f WHERE f.query_id = c.query_id AND f.clause = c.clause AND f.chunk_id = d.doc_id)),
+    single AS (
+      SELECT *, EXISTS (FROM clauses AS c WHERE c.query_id = h.query_id AND CASE WHEN len(c.terms) > 1 THEN negated ELSE negated <> (c.terms[1] = h.term) END) AS holds,
+        lead(pos) OVER (PARTITION BY query_id, chunk_id ORDER BY pos) AS following FROM here AS h),
+    coming AS (
+      SELECT s.query_id, s.chunk_id, pos, first([b, e] ORDER BY e, b DESC) AS w FROM single AS s JOIN found AS f
+        ON s.query_id = f.query_id AND s.chunk_id = f.chunk_id AND b >= pos AND NOT negated WHERE NOT holds GROUP BY 1, 2, 3),
+    steps AS (
+      SELECT query_id, chunk_id, pos, pos AS b, pos AS e, following FROM single WHERE holds
+      UNION ALL
+      SELECT c.query_id, c.chunk_id, c.pos, s.pos, w[2], s.following FROM coming AS c JOIN single AS l
+        ON l.query_id = c.query_id AND l.chunk_id = c.chunk_id AND l.pos = w[2] JOIN single AS s
+        ON s.query_id = c.query_id AND s.chunk_id = c.chunk_id AND s.pos = CASE WHEN l.holds THEN w[2] ELSE w[1] END),
+    walk AS (
+      SELECT query_id, chunk_id, min(pos) AS pos FROM here GROUP BY 1, 2
+      UNION ALL
+      SELECT query_id, chunk_id, following FROM walk JOIN steps USING (query_id, chunk_id, pos) WHERE following IS NOT NULL),
+    covers AS (SELECT query_id, chunk_id, b, e FROM walk JOIN steps USING (query_id, chunk_id, pos)),
+    ranked AS (
+      SELECT query_id, chunk_id, b, e, count(*) AS n, sum(1 / CASE WHEN weight = 'A' THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END) AS inverse
+      FROM covers JOIN here USING (query_id, chunk_id) WHERE pos BETWEEN b AND e GROUP BY ALL),
+    scored AS (SELECT query_id, chunk_id, sum(n / inverse / (1 + (e - b) - (n - 1))) AS score FROM ranked GROUP BY ALL)
+    SELECT * FROM (
+      SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
+      FROM (SELECT query_id, chunk_id, round(coalesce(score, 0), 6) AS score FROM matched LEFT JOIN scored USING (query_id, chunk_id)))
+    WHERE rank <= 20"""
+
+
+@query("websearch_topk", _websearch())
+def _(spark, sf):
+    def word(n: int):
+        return F.coalesce(F.get("w", F.lit(n - 1)), F.lit(""))
+
+    def phrase(*numbers: int):
+        return F.concat(F.lit('"'), F.concat_ws(" ", *map(word, numbers)), F.lit('"'))
+
+    kind = F.col("query_id") % 4
+    text = (
+        F.when(kind == 0, F.concat_ws(" ", phrase(1, 2), word(5), word(7))).when(kind == 1, phrase(1, 2, 3))
+        .when(kind == 2, F.concat(phrase(2, 3), F.lit(" -"), word(5)))
+        .otherwise(F.concat(word(1), F.lit(" or "), word(4), F.lit(" -"), phrase(2, 3)))
+    )
+    passages = t.search_queries(spark, sf).withColumn("w", fulltext.words_of(F.col("text")))
+    clauses = fulltext.parse_questions(passages.select("query_id", text.alias("text")))
+    return _ranks(fulltext.search_blocks(fulltext.block_index(t.chunks(spark, sf)), clauses, 20), "rank")
+
+
 @query(
     "window_rank_position",
     sqltext.branches() + "SELECT query_id, chunk_id, dense_rank, keyword_rank FROM fused",
