@@ -39,3 +39,15 @@ def test_query_equals_oracle(spark, name):
     want = db.execute(entry.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert len(got) > 0 and canonical(got) == canonical(want)
+
+
+@needs_data
+def test_every_oracle_can_be_a_view():
+    """A view keeps the text of a query: it can hold no statement and nothing of this process."""
+    import duckdb
+
+    db = duckdb.connect()
+    for table in [*TABLES.split(), "pages"]:
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
+    for name, sql in entry.oracle_sql().items():
+        db.execute(f'CREATE VIEW "oracle_{name}" AS {sql}')

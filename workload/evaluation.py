@@ -334,13 +334,15 @@ def _pivot() -> str:
         for m in _METRICS
     )
     long = f"WITH s AS (SELECT * FROM ({_summary()}) WHERE scope = 'overall') {rows}"
-    return f"PIVOT (SELECT config, metric, round(value, 6) AS value FROM ({long})) ON config USING max(value) GROUP BY metric"
+    return f"SELECT metric, config, round(value, 6) AS value FROM ({long})"
 
 
 @query("metric_pivot", _pivot(), "outcomes")
 def _(spark, sf):
+    # A column for every configuration found, shown as rows: a view has columns known beforehand.
     summary = _rounded(metrics.metrics_aggregate(t.outcomes(spark, sf)))
-    return _rounded(metrics.metric_pivot(summary))
+    pivoted = metrics.metric_pivot(summary)
+    return _rounded(pivoted.unpivot("metric", [c for c in pivoted.columns if c != "metric"], "config", "value"))
 
 
 _BEST = (
