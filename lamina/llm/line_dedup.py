@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 #: The white space stripped from both ends of a line.
 WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Letters beyond A-Z that lower-casing would change too.
+OTHER_CAPITALS = r"[\p{IsUppercase}\p{Lt}&&[^A-Z]]"
 
 
-def line_key(line: Column) -> Column:
-    """A line without white space at its ends, small in A-Z."""
-    return F.translate(F.btrim(line, F.lit(WHITE)), UPPER, LOWER)
+def small(text: Column) -> Column:
+    """A text in small letters, of A-Z alone. Where it has no other capitals, that is plain lower-casing, which is faster."""
+    ascii_only = F.length(text) == F.octet_length(text)
+    return F.when(ascii_only, F.lower(text)).when(text.rlike(OTHER_CAPITALS), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
 
 
 def _lines(text: Column) -> Column:
@@ -40,8 +43,9 @@ def drop_shared_lines(
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in columns if c != text_col]).alias("row"), F.col(f"`{id_col}`").alias("id"), text.alias("text"),
         F.unhex(F.md5(text.cast("binary"))).alias("mark"))
-    exploded = rows.select("id", "mark", F.posexplode(_lines(F.col("text"))).alias("at", "line")).withColumn("key", line_key(F.col("line")))
-    lines = exploded.where(F.length("key") >= least_chars).select("id", "mark", "at", F.unhex(F.md5(F.col("key").cast("binary"))).alias("hash"))
+    exploded = rows.select("id", "mark", F.posexplode(_lines(F.col("text"))).alias("at", "line"))
+    stripped = exploded.select("id", "mark", "at", F.btrim("line", F.lit(WHITE)).alias("line")).where(F.length("line") >= least_chars)
+    lines = stripped.select("id", "mark", "at", F.unhex(F.md5(small(F.col("line")).cast("binary"))).alias("hash"))
     documents = F.count_distinct("id") + F.max(F.when(F.col("id").isNull(), 1).otherwise(0))
     shared = lines.groupBy("hash").agg(F.min("id").alias("first"), documents.alias("n")).where(F.col("n") >= least_docs)
     places = (
@@ -59,5 +63,5 @@ def drop_shared_lines(
     dropped = F.coalesce(F.size("places"), F.lit(0))
     made = joined.select(
         "row", F.when(F.col("places").isNull(), F.col("text")).otherwise(cut).alias("text"),
-        (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"))
+        F.size(_lines(F.col("text"))).cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"))
     return made.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in columns], "n_lines", "n_dropped")
