@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.llm.batches import map_texts
@@ -115,18 +115,24 @@ def fingerprints_of(texts: list[str | None], shingle: int = 3) -> np.ndarray:
     return result
 
 
-def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``(id, fp)``: the fingerprint of every whole text, as a signed long with the same bits."""
+def text_mark(text: Column) -> Column:
+    """A hash that tells texts apart; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+
+
+def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, marked: bool = False) -> DataFrame:
+    """``(id, fp)``: the fingerprint of every whole text, as a signed long with the same bits; if ``marked`` with its ``mark``."""
 
     def work():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = fingerprints_of(batch.column(1).to_pylist(), shingle).view(np.int64)
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["id", "fp"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), *batch.columns[2:]], ["id", "fp", "mark"][:batch.num_columns])
 
         return step
 
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return map_texts(picked, 1, work, "id long, fp long")
+    text = F.col(f"`{text_col}`").cast("string")
+    picked = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"), *[text_mark(text).alias("mark")] * marked)
+    return map_texts(picked, 1, work, "id long, fp long" + ", mark binary" * marked)
 
 
 def _filed(fingerprints: DataFrame) -> DataFrame:
@@ -167,6 +173,16 @@ def near_links(fingerprints: DataFrame, bucket: int = 32) -> DataFrame:
     return pairs.union(stars)
 
 
+def _components(each: DataFrame, bucket: int) -> DataFrame:
+    """``(fp, component)`` of rows ``(id, fp)``: the smallest id of each group of fingerprints."""
+    distinct = durable(each.groupBy("fp").agg(F.min("id").alias("first")))
+    linked = connected_components(near_links(distinct, bucket))
+    grouped = distinct.join(linked, distinct["fp"] == linked["node"], "left").select(
+        "fp", "first", F.coalesce("component", "fp").alias("root"))
+    least = grouped.groupBy("root").agg(F.min("first").alias("component"))
+    return grouped.join(least, "root").select("fp", "root", "component")
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bucket: int = 32) -> DataFrame:
     """``(id, fp, component)``: one row per row of ``docs``; groups of texts within two bits, transitively.
 
@@ -175,24 +191,23 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     when a group has no other. No rows: no rows. Further columns of ``docs`` are not read.
     """
     each = durable(simhash(docs, id_col, text_col, shingle))
-    distinct = durable(each.groupBy("fp").agg(F.min("id").alias("first")))
-    linked = connected_components(near_links(distinct, bucket))
-    grouped = distinct.join(linked, distinct["fp"] == linked["node"], "left").select(
-        "fp", "first", F.coalesce("component", "fp").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("first").alias("component"))
-    known = grouped.join(least, "root").select("fp", "component")
-    return each.join(known, "fp").select("id", "fp", "component")
+    return each.join(_components(each, bucket), "fp").select("id", "fp", "component")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group, that of the smallest id; of rows that repeat an id, one.
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bucket: int = 32) -> DataFrame:
+    """``docs`` with one row of each group of near copies: that of the smallest id, of several that of the smallest hash of the text.
 
-    Rows without an id cannot be told apart and stay.
+    Rows are told by id and text: texts that share an id and are no near copies all stay, and so do those of
+    rows without an id, which come last in their group. Equal rows are near copies. No rows: no rows.
     """
-    groups = simhash_groups(docs, id_col, text_col)
-    kept = groups.where("id = component").select(F.col("id").alias("_kept")).distinct()
-    # Both need the rows by id: the text is shuffled once.
-    chosen = docs.join(kept, F.col(id_col) == F.col("_kept"), "left_semi")
-    order = Window.partitionBy(id_col).orderBy(F.col(text_col))
-    one = chosen.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
-    return one.unionByName(docs.where(F.col(id_col).isNull()))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"),
+                       text_mark(F.col(f"`{text_col}`")).alias("mark"))
+    each = durable(simhash(docs, id_col, text_col, shingle, marked=True))
+    known = _components(each, bucket).select("fp", "root")
+    first = F.min(F.struct(F.col("id").isNull().alias("lacks"), "id", "mark")).alias("first")
+    kept = each.join(known, "fp").groupBy("root").agg(first).select(F.col("first.id").alias("k_id"), F.col("first.mark").alias("k_mark"))
+    # Both need the rows by id and hash: the text is shuffled once.
+    chosen = rows.join(kept, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("mark") == F.col("k_mark")), "left_semi")
+    order = Window.partitionBy("id", "mark").orderBy(F.col(f"row.`{text_col}`").isNull())
+    one = chosen.withColumn("place", F.row_number().over(order)).where("place = 1")
+    return one.select(*[F.col(f"row.`{c}`") for c in docs.columns])
