@@ -160,17 +160,19 @@ def mix(
     """
     plan = source_plan(docs, id_col, source_col, tokens, **how)
     number = plan.count()
-    sent = plan.select(*[F.col(c).alias(f"_{c}" if c != "source" else "source") for c in plan.columns]).withColumnRenamed("source", "_plan_source")
+    sent = plan.withColumnRenamed("source", "plan_source")
     small = F.broadcast(sent) if number <= SENT_SOURCES else sent
-    joined = docs.join(small, docs[source_col].eqNullSafe(F.col("_plan_source")))
-    block = F.pmod(block_hash(docs[id_col]), F.col("_blocks"))
-    last = block_place(block, F.col("_blocks"), F.col("_epochs"))
-    order = order_hash(docs[id_col])
-    extra = (last < F.col("_last_place")) | ((last == F.col("_last_place")) & (order < F.col("_last_hash")))
-    times = F.col("_epochs") + F.when(F.coalesce(extra, F.lit(False)), 1).otherwise(0)
-    counted = joined.withColumn("_times", times).where("_times > 0")
-    each = counted.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1)))
-    return each.select(
-        *[c for c in docs.columns if not c.startswith("mix_")], "mix_epoch", block_place(block, F.col("_blocks"), F.col("mix_epoch")).alias("mix_place"),
-        order.alias("mix_order"), F.col("_weight").alias("mix_weight"), F.col("_exponent").alias("mix_exponent"),
-    )
+    columns = [c for c in docs.columns if not c.startswith("mix_")]
+    # The given columns travel as one struct, so their names meet no others.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{source_col}`").alias("of"),
+                       block_hash(F.col(f"`{id_col}`")).alias("hash"), order_hash(F.col(f"`{id_col}`")).alias("mix_order"))
+    joined = rows.join(small, F.col("of").eqNullSafe(F.col("plan_source"))).withColumn("block", F.pmod("hash", "blocks"))
+    last = block_place(F.col("block"), F.col("blocks"), F.col("epochs"))
+    extra = (last < F.col("last_place")) | ((last == F.col("last_place")) & (F.col("mix_order") < F.col("last_hash")))
+    times = F.col("epochs") + F.when(F.coalesce(extra, F.lit(False)), 1).otherwise(0)
+    counted = joined.withColumn("times", times).where("times > 0")
+    each = counted.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
+    made = each.select(
+        "row", "mix_epoch", block_place(F.col("block"), F.col("blocks"), F.col("mix_epoch")).alias("mix_place"),
+        "mix_order", F.col("weight").alias("mix_weight"), F.col("exponent").alias("mix_exponent"))
+    return made.select(*[F.col(f"row.`{c}`") for c in columns], *[c for c in made.columns if c != "row"])

@@ -77,6 +77,15 @@ def test_no_python_in_the_plan(make):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_names_of_given_columns_meet_no_others(make):
+    names = "_blocks _epochs _last_place _last_hash _weight _exponent _plan_source _source _id _tokens row of hash block blocks epochs times weight exponent plan_source e_place".split()
+    schema = "doc_id long, text string, source string, mix_epoch long, " + ", ".join(f"{n} string" for n in names)
+    rows = [(n, "abcd" * n, "ab"[n % 2], 9, *names) for n in range(1, 9)]
+    found = mixing.mix(make(rows, schema), max_repeats=1.0, whole=True)
+    assert found.columns == ["doc_id", "text", "source", *names, "mix_epoch", "mix_place", "mix_order", "mix_weight", "mix_exponent"]
+    assert {tuple(r)[3:-5] for r in found.collect()} == {tuple(names)} and {r["doc_id"] for r in found.collect()} == set(range(1, 9))
+
+
 def test_odd_rows(make):
     rows = [(1, None, "a", 1, 1, 1), (1, None, "a", 1, 1, 1), (None, "", None, 1, 1, 1), (2, "y" * 100_000, "b", 1, 1, 1)]
     found = mixing.mix(make(rows, SCHEMA), max_repeats=1.0, whole=True)
