@@ -294,6 +294,6 @@ def extract_pages(pages: DataFrame, html_col: str = "html", text_col: str = "tex
 
         return step
 
-    picked = pages.select(F.col(html_col).cast("string").alias("_html"), *others)
+    picked = pages.select(F.col(f"`{html_col}`").cast("string").alias(html_col), *[F.col(f"`{c}`") for c in others])
     schema = ", ".join([f"`{text_col}` string", *(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name in others)])
     return map_texts(picked, 0, work, schema)

@@ -76,3 +76,9 @@ def test_what_stands_beside_the_body(before, after, kept):
 
 def test_linked_paragraphs_of_an_article_stay():
     assert extract_text(page("<article><p>One, two.</p><p><a href=x>All of this is a link</a></p></article>")) == "One, two.\nAll of this is a link"
+
+
+def test_names_of_given_columns_meet_no_others(make):
+    pages = make([(1, "<p>one</p>", "a", "b")], "page_id long, html string, _html string, text string")
+    found = extract_pages(pages)
+    assert found.columns == ["text", "page_id", "_html"] and tuple(found.first()) == ("one", 1, "a")
