@@ -28,6 +28,12 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt(np.einsum("ij,ij->i", scaled, scaled))[:, None]
 
 
+def _tamed(vectors: np.ndarray) -> np.ndarray:
+    """Rows divided by powers of two, which is exact, so that no product of components overflows or is lost."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1]) if vectors.size else vectors
+
+
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosine of each row of ``a`` with the same row of ``b``, both as given."""
+    a, b = _tamed(a), _tamed(b)
     return np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))

@@ -155,3 +155,14 @@ def test_each_vector_length_is_searched_apart(make):
     for q, rows in ((3, wide), (105, short)):
         vectors = {n: np.array(v) / np.linalg.norm(v) for n, v in rows}
         assert got[q] == sorted((n for n in vectors if n != q), key=lambda n: -vectors[n] @ vectors[q])[:5]
+
+
+def test_huge_and_tiny_components(make):
+    rng = np.random.default_rng(4)
+    near = rng.normal(size=16)
+    vectors = {0: near, 50: near * 1e200, 2: near * 1e-200, 3: (near + 0.01) / np.abs(near + 0.01).max() * 1.7e308, 4: -near * 1e300}
+    docs = make([(k, [float(x) for x in v]) for k, v in vectors.items()], "vec_id long, embedding array<double>")
+    groups = {r["id"]: (r["n_links"], r["component"]) for r in ed.embedding_groups(docs).collect()}
+    assert groups == {0: (3, 0), 50: (3, 0), 2: (3, 0), 3: (3, 0), 4: (0, 4)}
+    found = vs.nearest(docs, F.col("vec_id") % 50 == 0, k=2).collect()
+    assert len(found) == 4 and all(r["score"] > 0.99 for r in found)
