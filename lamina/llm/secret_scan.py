@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -70,10 +71,11 @@ def linked_parts(text: str, strong: list[tuple[int, int, str]], forms: dict[str,
         weak += [(*m.span(), "endpoint") for m in forms["endpoint"].finditer(text)]
     taken = sorted((s, e) for s, e, _ in strong)
     starts = [s for s, _ in taken]
+    reached = list(accumulate((e for _, e in taken), max))
 
     def overlaps(start: int, end: int) -> bool:
         at = bisect_left(starts, end)
-        return at > 0 and any(e > start for _, e in taken[max(0, at - 3):at])
+        return at > 0 and reached[at - 1] > start
 
     weak += [(*m.span(), "opaque") for m in forms["opaque"].finditer(text)]
     weak = [part for part in weak if not overlaps(part[0], part[1])]

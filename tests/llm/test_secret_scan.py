@@ -85,3 +85,17 @@ def test_redaction(make):
     assert sorted(((r["doc_id"], r["text"], r["n_chars"]) for r in found.collect()), key=str) == sorted(
         [(1, "a [assign] b", 12), (1, "a [assign] b", 12), (2, None, None), (3, "clean", 99), (4, "[assign]", 8)], key=str)
     assert ss.redact(make([], DOCS)).collect() == [] and ss.scan_secrets(make([], DOCS)).collect() == []
+
+
+def test_linked_parts_keep_clear_of_long_strong_ones(make):
+    """Many short strong parts inside a long one do not hide it."""
+    runs = ".".join(["0123456789abcdef01234567"] * 4)
+    text = f"login=someone token={runs}.aB3" + "xY7" * 12
+    base, linked = parts(make, text)
+    assert [p[0] for p in base] == ["assign", *["hex"] * 4] and max(p[2] for p in base) == len(text)
+    assert [kind for kind, _ in linked] == ["identity"]
+
+
+def test_a_very_long_text(make):
+    text = "words and more words, none of them secret. " * 40_000 + "token = abcdef123"
+    assert [p[0] for p in parts(make, text)[0]] == ["assign"]
