@@ -129,11 +129,16 @@ class Field:
         return names, np.clip(np.where(lengths > 0, shares.max(axis=1), 0.0), 0, 1)
 
     def sureness(self, texts: list[str | None]) -> np.ndarray:
-        """The mean probability of each word's likeliest language; 0 without letters, 1 if no language was learned."""
+        """How far the probability of each word's likeliest language is, on average, from equal ones (0) to certainty (1).
+
+        0 without letters; 1 if fewer than two languages were learned, when a text with letters can't be told from others.
+        """
         owner, each, lengths = self._each(texts)
-        if not self.languages:
+        n = len(self.languages)
+        if n < 2:
             return (lengths > 0).astype(float)
-        return np.clip(np.bincount(owner, each.max(axis=1), len(texts)) / np.maximum(lengths, 1), 0, 1)
+        most = np.bincount(owner, each.max(axis=1), len(texts)) / np.maximum(lengths, 1)
+        return np.clip((most - 1 / n) / (1 - 1 / n), 0, 1)
 
 
 def train(texts: list[str], labels: list[str], bits: int = 16, rounds: int = 5, batch: int = 200, rate: float = 0.3, decay: float = 1e-3) -> Field:
@@ -216,10 +221,10 @@ def identify_languages(docs: DataFrame, field: Field, id_col: str = "doc_id", te
 
 
 def keep_known(docs: DataFrame, field: Field, least: float, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text has letters and whose words are known: on average the likeliest
-    language of a word has at least the probability ``least``.
+    """The rows of ``docs`` whose text has letters and whose words are known: their sureness is at least ``least``.
 
-    How many languages share the text does not matter. Where none was learned, every text with letters stays.
+    How many languages share the text, or were learned, does not matter. Where fewer than two were learned, every
+    text with letters stays. Null and empty texts go; repeated rows and null ids are judged each by itself. No rows: no rows.
     The rows come out as they went in, in the task that reads them.
     """
     sent, at = docs.sparkSession.sparkContext.broadcast(vars(field)), docs.columns.index(text_col)

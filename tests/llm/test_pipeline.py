@@ -24,8 +24,9 @@ def test_run_equals_a_plain_version(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = sorted((r.asDict() for r in docs.collect()), key=lambda r: r["doc_id"])
     field = language_id.fit_languages(docs, remainder(4) != 2)
-    names, shares = field.predict([r["text"] for r in rows])
-    rows = [r for r, name, share in zip(rows, names, shares, strict=True) if name != "und" and share >= cp.LEAST_SHARE]
+    names, _ = field.predict([r["text"] for r in rows])
+    sure = field.sureness([r["text"] for r in rows])
+    rows = [r for r, name, share in zip(rows, names, sure, strict=True) if name != "und" and share >= cp.LEAST_SURENESS]
     roots = plain_groups([plain_fingerprint(r["text"]) for r in rows])
     rows = [r for n, r in enumerate(rows) if roots[n] == n]
     forms = secret_scan._compiled()
