@@ -14,33 +14,38 @@ from lamina.llm import language_id, mixing, packing, secret_scan, simhash_dedup
 from lamina.llm.queries import read, remainder, tokenizer_path
 from lamina.session import shared_dir
 
-#: A text is rejected when the likeliest language of its words has on average less than this probability.
-LEAST_SHARE = 0.35
+#: A text is rejected when its words are less sure of their language than this, from 0 (all languages alike) to 1.
+LEAST_SURENESS = 2 / 15
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language. Those without a letter, or of words that no language claims, go."""
+    """Documents in a known language. Those without a letter (null and empty ones too), or of words that no language
+    claims, go. Long texts are read whole; repeated rows and rows without an id are judged each by itself."""
     field = language_id.fit_languages(docs, remainder(4) != 2)
-    return language_id.keep_known(docs, field, LEAST_SHARE)
+    return language_id.keep_known(docs, field, LEAST_SURENESS)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest id."""
+    """One document of each group of near copies, that of the smallest id; null and empty texts are copies of each other.
+
+    Rows that share an id without being copies all stay; of rows without an id one of each group without ids."""
     return simhash_dedup.drop_near_copies(docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets and linked credentials in the texts are replaced by their kind; no document goes."""
+    """Secrets and linked credentials in the whole texts are replaced by their kind; no document goes. Null texts stay null."""
     return secret_scan.redact(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources as even as can be with none read more than 1.5 times, each read at least once in full."""
+    """Sources as even as can be with none read more than 1.5 times, each read at least once in full.
+
+    A null source is one source; a null or empty text counts as one token."""
     return mixing.mix(docs, max_repeats=1.5, whole=True).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 2,048 tokens."""
+    """Pieces of the documents in sequences of 2,048 tokens; a null or empty text is the end token alone."""
     return packing.pack_documents(docs, tokenizer_path(), added=True)
 
 
