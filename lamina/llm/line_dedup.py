@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamina.session import durable
+
 #: The white space stripped from both ends of a line.
 WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,8 +50,9 @@ def drop_shared_lines(
     lines = stripped.select("id", "mark", "at", F.unhex(F.md5(small(F.col("line")).cast("binary"))).alias("hash"))
     documents = F.count_distinct("id") + F.max(F.when(F.col("id").isNull(), 1).otherwise(0))
     shared = lines.groupBy("hash").agg(F.min("id").alias("first"), documents.alias("n")).where(F.col("n") >= least_docs)
+    # Written first, it meets the lines in an exchange of its own, of which Spark splits a line that very many documents share.
     places = (
-        lines.join(shared.select("hash", "first"), "hash").where(~F.col("id").eqNullSafe(F.col("first")))
+        lines.join(durable(shared.select("hash", "first")), "hash").where(~F.col("id").eqNullSafe(F.col("first")))
         .groupBy(F.col("id").alias("d_id"), F.col("mark").alias("d_mark")).agg(F.collect_set("at").alias("places"))
     )
     joined = rows.join(places, F.col("id").eqNullSafe(F.col("d_id")) & (F.col("mark") == F.col("d_mark")), "left")
