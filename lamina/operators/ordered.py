@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,7 +14,7 @@ from lamina.session import durable
 _POSITION_BITS = 33
 
 
-def _laid_out(df: DataFrame, order: Sequence[str], ties: bool) -> DataFrame:
+def laid_out(df: DataFrame, order: Sequence[str], ties: bool) -> DataFrame:
     """``df`` in ranges of ``order``, sorted inside, with each row's place ``_at`` made durable."""
     if ties:
         df = durable(df.withColumn("_tie", F.monotonically_increasing_id()))
@@ -23,6 +23,11 @@ def _laid_out(df: DataFrame, order: Sequence[str], ties: bool) -> DataFrame:
     return durable(ranges.withColumn("_at", F.monotonically_increasing_id()))
 
 
+def part_of(place: str) -> Column:
+    """The number of the range that a place of ``laid_out`` lies in."""
+    return F.shiftright(place, _POSITION_BITS)
+
+
 def global_rank(
     df: DataFrame, order: Sequence[str], rank: str = "rank", ties: bool = False
 ) -> DataFrame:
@@ -35,8 +40,8 @@ def global_rank(
     its position in its partition plus the rows of the partitions before. Only that table of
     partition sizes is ordered in one place.
     """
-    numbered = _laid_out(df, order, ties)
-    part = F.shiftright("_at", _POSITION_BITS)
+    numbered = laid_out(df, order, ties)
+    part = part_of("_at")
     inside = F.col("_at") - F.shiftleft(part, _POSITION_BITS)
     sizes = numbered.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
@@ -60,7 +65,7 @@ def rank_within(
     """
     if not keys:
         return global_rank(df, order, rank, ties)
-    numbered = _laid_out(df, [*keys, *order], ties).withColumn("_part", F.shiftright("_at", _POSITION_BITS))
+    numbered = laid_out(df, [*keys, *order], ties).withColumn("_part", part_of("_at"))
     stretches = numbered.groupBy("_part", *keys).agg(F.min("_at").alias("_start"), F.count("*").alias("_size"))
     earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = stretches.withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))

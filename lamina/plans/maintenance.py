@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lamina.constants import MONTH_OPERATING_MINUTES, SHIFT_MINUTES
 from lamina.functions import indicators
+from lamina.operators.intervals import uncovered
 
 CORRECTIVE = "corrective"
 
@@ -100,6 +101,24 @@ def oee_by_line(
     )
 
 
+def distinct_stops(
+    events: DataFrame, line: str = "line_id", start: str = "started_at", end: str = "ended_at",
+) -> DataFrame:
+    """(line, period, stop_minutes): the minutes of a month in which a line stood, overlapping stops counted once.
+
+    A stop over the end of a month counts in both. Months without a stop have no row.
+    """
+    alone = uncovered(events.select(line, start, end), [line], start, end)
+    # The part up to an instant on the first of a month adds nothing to that month.
+    last = F.col(end) - F.expr("INTERVAL 1 MICROSECOND")
+    months = F.explode(F.sequence(F.trunc(start, "month"), F.trunc(last, "month"), F.expr("INTERVAL 1 MONTH")))
+    each = alone.withColumn("period", months).withColumn("period", F.col("period").cast("timestamp_ntz"))
+    begins = F.greatest(F.col(start), F.col("period"))
+    ends = F.least(F.col(end), F.add_months(F.col("period"), 1).cast("timestamp_ntz"))
+    micros = F.timestamp_diff("MICROSECOND", begins, ends)
+    return each.groupBy(line, "period").agg((F.sum(micros) / 60_000_000).alias("stop_minutes"))
+
+
 def planned_minutes(shift_count: Column) -> Column:
     """Planned minutes of a number of shifts."""
     return shift_count * SHIFT_MINUTES

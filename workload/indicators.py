@@ -352,6 +352,37 @@ def _(spark, sf):
     return _rounded(found.select("period", "availability", "performance", "quality", "oee"))
 
 
+def _stops(spark, sf):
+    """Stops of up to three and a half days that begin at any minute: many run into each other."""
+    start = F.col("started_at") + F.make_dt_interval(mins=(F.col("event_id") % 1440).cast("int"))
+    return t.maintenance(spark, sf).join(
+        t.table(spark, sf, "orders").select(F.col("o_orderkey").alias("event_id"), "o_totalprice"), "event_id"
+    ).select("line_id", start.alias("started_at"), (
+        start + F.make_dt_interval(mins=F.floor(F.col("o_totalprice") / 100).cast("int"))).alias("ended_at"))
+
+
+@query(
+    "distinct_stops",
+    f"""WITH stops AS (
+      SELECT o_orderpriority AS line_id, o_orderdate + to_minutes(o_orderkey % 1440) AS s,
+        o_orderdate + to_minutes(o_orderkey % 1440) + to_minutes(CAST(floor(o_totalprice / 100) AS BIGINT)) AS e FROM orders),
+    begun AS (
+      SELECT *, coalesce(s > max(e) OVER (PARTITION BY line_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS opens FROM stops),
+    islands AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY line_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM begun),
+    merged AS (SELECT line_id, min(s) AS s, max(e) AS e FROM islands GROUP BY line_id, island),
+    months AS (SELECT unnest(generate_series(date_trunc('month', (SELECT min(s) FROM stops)), (SELECT max(e) FROM stops), INTERVAL 1 MONTH)) AS m),
+    parts AS (
+      SELECT line_id, m, date_diff('microsecond', greatest(s, m), least(e, m + INTERVAL 1 MONTH)) / 60000000 AS minutes
+      FROM merged JOIN months ON s < m + INTERVAL 1 MONTH AND e > m)
+    SELECT line_id, {_month('m')} AS period, round(sum(minutes), 6) AS stop_minutes,
+      round(greatest(44640 - sum(minutes), 0) / 44640, 6) AS availability FROM parts GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    found = maintenance.distinct_stops(_stops(spark, sf))
+    planned = maintenance.planned_minutes(F.lit(93))
+    return _rounded(found.withColumn("availability", indicators.availability(planned, F.col("stop_minutes"))))
+
+
 @query(
     "monthly_report",
     f"""SELECT section, key, metric, round(value, 6) AS value FROM (
