@@ -40,6 +40,14 @@ def required_fields(
     allowed: Mapping[str, Sequence[str]] | None = None, check: str = "required_fields",
 ) -> DataFrame:
     """Missing fields, blank bodies and values outside a fixed list, one row per problem."""
+    found = F.explode(field_problems(required, body, allowed))
+    return _rows(df.withColumn("_problem", found), check, F.col(subject), F.col("_problem"))
+
+
+def field_problems(
+    required: Sequence[str], body: str | None = None, allowed: Mapping[str, Sequence[str]] | None = None
+) -> Column:
+    """What ``required_fields`` finds in a row, as an array: all rules of a table in one expression."""
     problems = [
         F.when(F.col(field).isNull(), F.lit(f"missing field '{field}'")) for field in required
     ]
@@ -49,8 +57,19 @@ def required_fields(
         known = F.coalesce(F.col(field).isin(*values), F.lit(False))
         shown = F.coalesce(F.col(field).cast("string"), F.lit("NULL"))
         problems.append(F.when(~known, F.concat(F.lit(f"unknown {field} "), shown)))
-    found = F.explode(F.array_compact(F.array(*problems)))
-    return _rows(df.withColumn("_problem", found), check, F.col(subject), F.col("_problem"))
+    return F.array_compact(F.array(*problems))
+
+
+def listed_problems(
+    df: DataFrame, subject: str, problems: str, check: str = "required_fields"
+) -> DataFrame:
+    """One row per entry of a column of problems."""
+    return _rows(df.withColumn("_problem", F.explode(problems)), check, F.col(subject), F.col("_problem"))
+
+
+def stated_numbers(text: Column) -> Column:
+    """The whole numbers that stand as words of their own in a text, each once."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b(\d+)\b"), F.lit(1)))
 
 
 def foreign_key(
@@ -92,6 +111,15 @@ def states_value(
     return _rows(wrong, check, F.col(subject), F.concat(F.lit("does not state "), number))
 
 
+def lists_value(
+    df: DataFrame, subject: str, numbers: str, value: str, check: str = "text_states_value"
+) -> DataFrame:
+    """As ``states_value`` for whole numbers of 0 and more, from the ``stated_numbers`` of a text read before."""
+    number = F.col(value).cast("string")
+    wrong = df.filter(F.col(value).isNotNull() & ~F.coalesce(F.array_contains(numbers, number), F.lit(False)))
+    return _rows(wrong, check, F.col(subject), F.concat(F.lit("does not state "), number))
+
+
 def states_decimal(
     df: DataFrame, subject: str, text: str, value: str, unit: str, check: str = "text_states_decimal"
 ) -> DataFrame:

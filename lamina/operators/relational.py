@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lamina.constants import DEFAULT_ROW_LIMIT, PREVIEW_ROWS
+from lamina.session import durable
+
+# monotonically_increasing_id keeps the partition number above this many bits of position.
+PARTITION_BITS = 33
 
 
 def limit_default(df: DataFrame, limit: int = DEFAULT_ROW_LIMIT, bare_aggregate: bool = False) -> DataFrame:
@@ -17,10 +21,19 @@ def limit_default(df: DataFrame, limit: int = DEFAULT_ROW_LIMIT, bare_aggregate:
 
 
 def result_preview(df: DataFrame, shown: int = PREVIEW_ROWS) -> tuple[DataFrame, DataFrame]:
-    """The first rows of a result, and one row (row_count, truncated) about all of it."""
-    count = F.count("*")
-    summary = df.agg(count.alias("row_count"), (count > shown).alias("truncated"))
-    return df.limit(shown), summary
+    """The first rows of a result, and one row (row_count, truncated) about all of it.
+
+    The result is computed once: its rows are counted as they pass on their way to the first ones,
+    which are written.
+    """
+    seen = Observation()
+    placed = df.withColumn("_at", F.monotonically_increasing_id()).observe(seen, F.count(F.lit(1)).alias("row_count"))
+    # Each partition keeps its first rows; sorting these does not run the plan again.
+    inside = F.col("_at").bitwiseAND(F.lit((1 << PARTITION_BITS) - 1))
+    few = durable(placed.where(inside < shown))
+    count = seen.get["row_count"]
+    summary = df.sparkSession.createDataFrame([(count, count > shown)], "row_count bigint, truncated boolean")
+    return few.orderBy("_at").limit(shown).drop("_at"), summary
 
 
 def filter_metadata(df: DataFrame, filters: Mapping[str, object], metadata: str = "metadata") -> DataFrame:

@@ -103,5 +103,20 @@ def test_anti_references_and_flags(spark):
 def test_preview_and_default_limit(spark):
     shown, summary = relational.result_preview(spark.range(120))
     assert shown.count() == 50 and rows(summary) == [(120, True)]
+    # The order of a sorted result is kept, and its plan runs once.
+    passed = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            passed.add(batch.num_rows)
+            yield batch
+
+    watched = spark.range(900, numPartitions=5).mapInArrow(counted, "id long").repartition(4).orderBy(F.desc("id"))
+    shown, summary = relational.result_preview(watched, 3)
+    assert [r["id"] for r in shown.collect()] == [899, 898, 897] and rows(summary) == [(900, True)]
+    assert passed.value in (900, 1800)  # sorting samples its input first
+    shown, summary = relational.result_preview(spark.range(2), 3)
+    assert shown.count() == 2 and rows(summary) == [(2, False)]
+    assert rows(relational.result_preview(spark.range(0))[1]) == [(0, False)]
     assert relational.limit_default(spark.range(500)).count() == 200
     assert relational.limit_default(spark.range(500), bare_aggregate=True).count() == 500

@@ -148,3 +148,38 @@ def test_document_rules(spark):
     assert rows(both, "subject", "message") == [
         ("D2", "document has no event"), ("D3", "document has no event"), ("D9", "event has no document"),
     ]
+
+
+def test_corpus_report_reads_texts_once(spark):
+    from lamina.operators import quality as dq
+    from lamina.plans import corpus
+
+    docs = [
+        ("A", "t", "manual", "arrêt de 42 min, puis 7", "F1", 1, 10), ("A", None, "memo", " ", "F9", 9, 11), ("B", "t", "manual", "x42 42.5 -3", None, None, 12),
+        ("C", "t", "manual", None, "F1", 1, None), ("D", "t", "manual", "rien", "F1", 1, 13),
+    ]
+    documents = spark.createDataFrame(docs, "doc_id string, title string, doc_type string, body string, fault_code string, line_id int, event_id int")
+    passed = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            passed.add(batch.num_rows)
+            yield batch
+
+    faults = spark.createDataFrame([("F1", "Z")], "fault_code string, procedure_doc_id string")
+    lines = spark.createDataFrame([(1,)], "line_id int")
+    events = spark.createDataFrame([(10, "A", 42), (11, None, 5), (12, "Y", 42), (13, None, None)], "event_id int, report_doc_id string, downtime_minutes int")
+    watched = documents.mapInArrow(counted, documents.schema)
+    found = {tuple(r) for r in corpus.validate_corpus(watched, faults, lines, events, ["manual"]).collect()}
+    assert passed.value == len(docs)
+    assert found == {
+        ("unique_key", "A", False, "occurs 2 times"), ("required_fields", "A", False, "missing field 'title'"), ("required_fields", "A", False, "empty body"),
+        ("required_fields", "A", False, "unknown doc_type memo"), ("required_fields", "C", False, "empty body"),
+        ("document_fault", "A", False, "fault_code F9 has no target"), ("document_line", "A", False, "line_id 9 has no target"),
+        ("fault_procedure", "F1", False, "procedure_doc_id Z has no target"), ("event_report", "Y", False, "event has no report"),
+        ("event_report", "B", False, "report has no event"), ("event_report", "D", False, "report has no event"),
+        ("text_states_value", "A", False, "does not state 5"),
+    }
+    # The numbers of a text decide as the search for one number does.
+    told = documents.join(events, "event_id").withColumn("numbers", dq.stated_numbers(F.coalesce("body", F.lit(""))))
+    assert dq.lists_value(told, "doc_id", "numbers", "downtime_minutes").collect() == dq.states_value(told, "doc_id", "body", "downtime_minutes").collect()

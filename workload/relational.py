@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lamina.constants import PEAK_LOAD_ALERT_KWH
 from lamina.functions.calendar import in_month, month_start
 from lamina.operators import aggregates, ordered, relational
 from lamina.plans import energy as energy_plans
@@ -129,12 +130,15 @@ def _(spark, sf):
 
 @query(
     "result_preview",
-    "SELECT count(*) AS row_count, count(*) > 50 AS truncated FROM energy WHERE usage_kwh > 99.0",
+    """SELECT event_id, usage_kwh, n AS row_count, n > 50 AS truncated
+    FROM (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY usage_kwh DESC, event_id) AS place FROM energy WHERE usage_kwh > 99.0)
+    WHERE place <= 50""",
     "energy",
 )
 def _(spark, sf):
-    peaks = energy_plans.peak_intervals(t.energy(spark, sf))
-    return relational.result_preview(peaks)[1]
+    peaks = t.energy(spark, sf).where(F.col("usage_kwh") > PEAK_LOAD_ALERT_KWH).select("event_id", "usage_kwh")
+    shown, summary = relational.result_preview(peaks.orderBy(F.desc("usage_kwh"), "event_id"))
+    return shown.join(F.broadcast(summary))
 
 
 # ---- joins ----
