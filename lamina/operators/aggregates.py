@@ -8,9 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_BRACKET = 0.001
+# A sketch is off by up to one part in ``_ACCURACY``; a bracket reaches several times as far.
 _ACCURACY = 10_000
-_GRID = 1_000
+_BRACKET = 5 / _ACCURACY
+
+
+def between_ranks(position: Column, low: Column, high: Column) -> Column:
+    """Linear interpolation at a fractional rank."""
+    return low + (high - low) * (position - F.floor(position))
 
 
 def exact_percentiles(
@@ -19,10 +24,9 @@ def exact_percentiles(
 ) -> DataFrame:
     """Linear-interpolated percentiles as rows (keys, fraction, percentile).
 
-    A first sketch of every group brackets the wanted ranks. A second one, of the rows inside a
-    bracket, narrows it to a few grid steps, which is about a hundred thousandth of the group;
-    only the distinct values left in it are put in order. The rows below are counted, so the
-    result is exact as long as the wanted rank lies inside; if it ever does not, the job fails.
+    A sketch of every group brackets the wanted ranks, a thousandth of the group wide. A second pass counts the rows
+    below each bracket, map-side, and puts the different values inside in order. The result is exact as
+    long as the wanted rank lies inside; if it ever does not, the job fails.
     """
     data = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
     if not keys:
@@ -53,33 +57,12 @@ def exact_percentiles(
     wide = sketch.select(*groups, "_n", F.explode(brackets).alias("_b")).select(
         *groups, "_n", "_b.fraction", "_b._low", "_b._high"
     )
-
-    def meet(bracket: DataFrame) -> DataFrame:
-        on = [F.col(f"d.{k}").eqNullSafe(F.col(f"w.{k}")) for k in groups]
-        return data.alias("d").join(bracket.alias("w"), on).filter("d._v <= w._high").select(
-            *[F.col(f"w.{k}").alias(k) for k in groups], "fraction", "_n", "_low", "_high", "_v"
-        )
-
-    inside = F.col("_v") >= F.col("_low")
-    position = F.col("fraction") * (F.col("_n") - 1)
-    grid = [step / _GRID for step in range(_GRID + 1)]
-    narrowed = meet(wide).groupBy(*groups, "fraction", "_n").agg(
-        F.count_if(~inside).alias("_below"), F.count_if(inside).alias("_in"),
-        F.percentile_approx(F.when(inside, F.col("_v")), grid, _ACCURACY).alias("_grid"),
-    )
-    size = F.greatest(F.col("_in"), F.lit(1))
-    step = F.floor((position - F.col("_below")) / size * _GRID)
-    # Two steps for what the sketch may be off, and as many as two rows take.
-    spare = 2 + 2 * F.ceil(_GRID / size)
-
-    def mark(at: Column) -> Column:
-        return F.element_at("_grid", F.least(F.greatest(at, F.lit(0)), F.lit(_GRID)).cast("int") + 1)
-
-    narrow = narrowed.select(
-        *groups, "_n", "fraction", mark(step - spare).alias("_low"), mark(step + spare + 1).alias("_high")
+    on = [F.col(f"d.{k}").eqNullSafe(F.col(f"w.{k}")) for k in groups]
+    met = data.alias("d").join(wide.alias("w"), on).filter("d._v <= w._high").select(
+        *[F.col(f"w.{k}").alias(k) for k in groups], "fraction", "_n", "_low", "_v"
     )
     # Every row below the bracket falls into one NULL cell that is summed map-side.
-    cells = meet(narrow).groupBy(*groups, "fraction", "_n", F.when(inside, F.col("_v")).alias("_cell")).agg(
+    cells = met.groupBy(*groups, "fraction", "_n", F.when(F.col("_v") >= F.col("_low"), F.col("_v")).alias("_cell")).agg(
         F.count("*").alias("_c")
     )
     running = (
@@ -88,16 +71,16 @@ def exact_percentiles(
         .rowsBetween(W.unboundedPreceding, 0)
     )
     counted = cells.withColumn("_cum", F.sum("_c").over(running))
+    position = F.col("fraction") * (F.col("_n") - 1)
     low_rank = F.floor(position)
     high_rank = F.least(low_rank + 1, F.col("_n") - 1)
     ends = counted.groupBy(*groups, "fraction", "_n").agg(
         F.min(F.when(F.col("_cum") > low_rank, F.struct(F.col("_cell").alias("v"), "_cum"))).alias("_lo"),
         F.min(F.when(F.col("_cum") > high_rank, F.struct(F.col("_cell").alias("v"), "_cum"))).alias("_hi"),
     )
-    weight = position - low_rank
-    between = F.col("_lo.v") + (F.col("_hi.v") - F.col("_lo.v")) * weight
     outside = F.raise_error(F.lit("a percentile lies outside its bracket")).cast("double")
-    return ends.select(*keys, "fraction", F.coalesce(between, outside).alias(output))
+    found = between_ranks(position, F.col("_lo.v"), F.col("_hi.v"))
+    return ends.select(*keys, "fraction", F.coalesce(found, outside).alias(output))
 
 
 def pooled_ratio(part: Column, whole: Column) -> Column:
