@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lamina import schemas
 from lamina.constants import ENERGY_COLUMNS
 from lamina.session import shared_dir
-from lamina.sources import files, sinks
+from lamina.sources import files, sinks, versions
 from workload import tables as t
 from workload.registry import query
 from workload.tables import ts
@@ -221,6 +221,15 @@ def _(spark, sf):
     return _by_version(spark.read.parquet(path))
 
 
+@query("sink_upsert_versioned", _UPSERT)
+def _(spark, sf):
+    old, new = _versions(spark, sf)
+    path = _folder(spark, "versioned")
+    versions.create_versioned(old, path, buckets=8)
+    versions.upsert_versioned(spark, path, new)
+    return _by_version(versions.read_versioned(spark, path))
+
+
 @query(
     "sink_gold",
     "SELECT CAST(l_suppkey AS VARCHAR) AS id, count(*) AS rows_kept, CAST(sum(n) AS BIGINT) AS n FROM "
