@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lamina.functions.text import content_hash, embed_text
 from lamina.operators import chunking, embed, fulltext, index
+from lamina.plans import retrieval
+from lamina.session import shared_dir
+from lamina.sources import versions
 from workload import sqltext
 from workload import tables as t
 from workload.registry import query
@@ -148,6 +153,40 @@ def _(spark, sf):
     return refreshed.drop("source_hash")
 
 
+@query(
+    "index_refresh",
+    f"""WITH texts AS (SELECT *, CASE WHEN lang = 'de' THEN 'neu ' || text ELSE text END AS now FROM documents)
+    SELECT 'doc' AS source_type, 'doc-' || doc_id AS source_id, CAST(0 AS INTEGER) AS ordinal, source || ' > ' || lang AS section,
+      CAST(NULL AS INTEGER) AS start_line, CAST(NULL AS INTEGER) AS end_line, source || ' ' || source || ' > ' || lang AS heading, lang AS kind,
+      md5({sqltext.stripped('now')}) AS content, lang <> 'es' OR doc_id % 2 = 0 AS kept_old FROM texts WHERE {sqltext.stripped('now')} <> ''
+    UNION ALL
+    SELECT 'code', 'p' || p_partkey || '.sql', 0, 'top_' || p_partkey, 1, 2, 'p' || p_partkey || '.sql top_' || p_partkey, 'query',
+      md5('-- name: top_' || p_partkey || chr(10) || 'SELECT ' || p_size), true FROM part""",
+)
+def _(spark, sf):
+    """Documents as Markdown files and parts as SQL files, indexed in two runs: the second brings changed German files and
+    half of the Spanish ones, the rest of which it lacks and the index keeps."""
+    documents = t.spread_table(spark, sf, "documents")
+    head = F.concat(F.lit("---\ndoc_id: doc-"), "doc_id", F.lit("\ntitle: "), "source", F.lit("\nlang: "), "lang", F.lit("\n---\n# "), "source", F.lit("\n\n## "), "lang", F.lit("\n\n"))
+    path = F.concat(F.lit("d"), "doc_id", F.lit(".md"))
+    first = documents.select(path.alias("path"), F.concat(head, "text").alias("text"))
+    body = F.concat(F.when(F.col("lang") == "de", "neu ").otherwise(""), "text")
+    second = documents.where((F.col("lang") != "es") | (F.col("doc_id") % 2 == 0)).select(path.alias("path"), F.concat(head, body).alias("text"))
+    queries = t.table(spark, sf, "part").select(
+        F.concat(F.lit("p"), "p_partkey", F.lit(".sql")).alias("path"),
+        F.concat(F.lit("-- name: top_"), "p_partkey", F.lit("\nSELECT "), "p_size").alias("text"))
+    folder = f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    retrieval.refresh_index(spark, folder, first.unionByName(queries), buckets=8)
+    retrieval.refresh_index(spark, folder, second, buckets=8)
+    found = versions.read_versioned(spark, folder)
+    number = F.regexp_extract("source_id", r"^doc-(\d+)$", 1)
+    spanish = F.col("metadata")["lang"] == "es"
+    return found.select(
+        "source_type", "source_id", "ordinal", "section", "start_line", "end_line", "heading", F.coalesce(F.col("metadata")["lang"], F.col("metadata")["kind"]).alias("kind"),
+        F.md5(F.col("content").cast("binary")).alias("content"),
+        (~F.coalesce(spanish, F.lit(False)) | (number.try_cast("bigint") % 2 == 0)).alias("kept_old"))
+
+
 @query(
     "term_index", sqltext.postings("heading", "content", "chunk_id", "chunks"), "chunks",
 )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lamina.constants import PASSAGE_PREFIX, QUERY_PREFIX
 from lamina.operators import embed, fulltext, fusion, leakage, relational, search
+from lamina.plans import retrieval
 from workload import sqltext
 from workload import tables as t
 from workload.registry import query
@@ -274,6 +275,41 @@ def _(spark, sf):
     return ranked.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "fused_rank", "rank")
 
 
+_FRENCH = "lang = 'fr' AND source <> 'src1'"
+
+
+def _stored(spark, sf):
+    """The chunk table with vectors, as an index holds it."""
+    chunks = t.chunks(spark, sf).where(F.col("title") != "src1")
+    return embed.embed_batch(chunks, "content", prefix=PASSAGE_PREFIX)
+
+
+@query(
+    "retrieve_filtered",
+    sqltext.branches(20, _FRENCH) + "SELECT query_id, chunk_id, rank, round(score, 9) AS score, dense_rank, "
+    "keyword_rank, source_id FROM fused JOIN chunks USING (chunk_id) WHERE rank <= 5",
+)
+def _(spark, sf):
+    hits = retrieval.retrieve(t.search_queries(spark, sf), _stored(spark, sf), "doc", filters={"lang": "fr"})
+    return _ranks(hits, "rank", "dense_rank", "keyword_rank").select(
+        "query_id", "chunk_id", "rank", F.round("score", 9).alias("score"), "dense_rank", "keyword_rank", "source_id")
+
+
+@query(
+    "retrieve_reranked",
+    sqltext.branches(20, _FRENCH) + "SELECT query_id, chunk_id, round(score, 6) AS score, fused_rank, rank FROM "
+    "(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fused_rank) AS rank FROM "
+    "(SELECT query_id, chunk_id, dense_rank AS fused_rank, len(list_intersect(list_distinct("
+    f"{sqltext.words('b.text')}), list_distinct({sqltext.words('c.content')}))) / CAST(len(list_distinct({sqltext.words('b.text')})) AS DOUBLE) "
+    "AS score FROM (SELECT query_id, chunk_id, rank AS dense_rank FROM dense) JOIN chunks c USING (chunk_id) "
+    "JOIN benchmark b ON b.item_id = query_id)) WHERE rank <= 5",
+)
+def _(spark, sf):
+    hits = retrieval.retrieve(
+        t.search_queries(spark, sf), _stored(spark, sf), "doc", filters={"lang": "fr"}, mode="dense", rerank=True)
+    return _ranks(hits, "rank", "fused_rank").select("query_id", "chunk_id", F.round("score", 6).alias("score"), "fused_rank", "rank")
+
+
 @query(
     "filter_path",
     sqltext.branches() + "SELECT query_id, rank, chunk_id, title AS source_id FROM fused JOIN chunks "

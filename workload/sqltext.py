@@ -179,11 +179,11 @@ KEYWORD = (
 )
 
 
-def branches(k: int = 20) -> str:
-    """CTEs of both retrieval branches: benchmark passages against documents."""
+def branches(k: int = 20, where: str = "true") -> str:
+    """CTEs of both retrieval branches: benchmark passages against documents, those that ``where`` holds for."""
     return (
         f"WITH chunks AS (SELECT doc_id AS chunk_id, 'doc-' || doc_id AS source_id, source || ' > ' || "
-        f"lang AS section, text AS content, source AS title, source || ' ' || lang AS heading FROM documents), "
+        f"lang AS section, text AS content, source AS title, source || ' ' || lang AS heading FROM documents WHERE {where}), "
         f"postings AS ({postings('heading', 'content', 'chunk_id', 'chunks')}), "
         f"wanted AS ({query_terms('item_id', 'text', 'benchmark')}), "
         f"qcells AS ({cells('item_id', 'text', 'query: ', 'benchmark')}), "
