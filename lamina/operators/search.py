@@ -209,8 +209,8 @@ def knn_approx(
     """Approximate neighbours: spherical k-means lists, of which each query visits a share.
 
     The work per query shrinks by about ``probe_share`` against ``knn_exact``; inside the visited
-    lists the search is exact. There are as many lists as the root of the number of chunks. They
-    are fitted on a bounded sample, the ``sample_rows`` chunks with the smallest hashes; every chunk
+    lists the search is exact. There are as many lists as the root of the number of chunks, but no more
+    than a sixteenth of the sample. They are fitted on a bounded sample, the ``sample_rows`` chunks with the smallest hashes; every chunk
     is listed. Lists of any size are cut into bounded blocks. Vectors without clusters need a
     larger share for the same recall.
     """
@@ -220,17 +220,17 @@ def knn_approx(
     q = _side(queries, query_id, query_vector, "query_id")
     c = _side(corpus, chunk_id, chunk_vector, "chunk_id")
     features = c.withColumn("features", array_to_vector(F.col("vector").cast("array<double>")))
-    lists = lists or max(2, round(c.count() ** 0.5))
+    lists = lists or max(2, min(round(c.count() ** 0.5), sample_rows // 16))
     sample = features.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(sample_rows)
     model = KMeans(
         k=lists, seed=seed, distanceMeasure="cosine", maxIter=10, predictionCol="cell"
     ).fit(sample.select("features"))
-    centres = _unit(np.array(model.clusterCenters()))
-    visited = max(1, round(len(centres) * probe_share))
+    centres = queries.sparkSession.sparkContext.broadcast(_unit(np.array(model.clusterCenters())))  # bounded by the sample
+    visited = max(1, round(len(centres.value) * probe_share))
 
     @F.pandas_udf("array<int>")
     def nearest_lists(vectors: pd.Series) -> pd.Series:
-        scores = _unit(_matrix(vectors)) @ centres.T
+        scores = _unit(_matrix(vectors)) @ centres.value.T
         return pd.Series(list(np.argsort(-scores, axis=1, kind="stable")[:, :visited].astype(np.int32)))
 
     probed = q.withColumn("cell", F.explode(nearest_lists("vector")))
