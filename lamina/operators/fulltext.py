@@ -64,7 +64,7 @@ class _Terms(dict):
         return term
 
 
-def _analyser(analysis: Analysis) -> Callable[[str | None], list[str | None]]:
+def analyser(analysis: Analysis) -> Callable[[str | None], list[str | None]]:
     term = _Terms(analysis).__getitem__
     return lambda text: list(map(term, _WORD.findall(text.lower()))) if text else []
 
@@ -119,7 +119,7 @@ def positional_index(
     kind = chunks.schema[chunk_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        analysers = {name: _analyser(a) for name, a in named.items()}
+        analysers = {name: analyser(a) for name, a in named.items()}
         for whole in batches:
             for begin in range(0, whole.num_rows, BLOCK_CHUNKS):
                 batch = whole.slice(begin, BLOCK_CHUNKS)
@@ -173,7 +173,7 @@ def block_index(
                 *[pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), pa.array(a, pa.int32())) for a in (most, *whole)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        analysers = {name: _analyser(a) for name, a in named.items()}
+        analysers = {name: analyser(a) for name, a in named.items()}
         for whole in batches:
             configs = np.array(whole.column(1).to_pylist(), object)
             for name in dict.fromkeys(configs):
@@ -239,7 +239,7 @@ def parse_questions(
     kind = queries.schema[query_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        analysers = {name: _analyser(a) for name, a in named.items()}
+        analysers = {name: analyser(a) for name, a in named.items()}
         for batch in batches:
             found = [(at, name, n, c) for at, question in enumerate(batch.column(1).to_pylist()) for name, analyse in analysers.items()
                      for n, c in enumerate(parse_question(question, analyse, syntax))]

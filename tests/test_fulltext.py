@@ -41,7 +41,7 @@ def test_stems_equal_a_second_form():
 
 
 def clauses(text, analysis=ft.SIMPLE, syntax=True):
-    return [(c.negated, c.terms, c.offsets) for c in ft.parse_question(text, ft._analyser(analysis), syntax)]
+    return [(c.negated, c.terms, c.offsets) for c in ft.parse_question(text, ft.analyser(analysis), syntax)]
 
 
 def test_questions_are_parsed():
@@ -103,14 +103,14 @@ WORDS = "acier tôle ligne four mise en place défaut rayure de la z_scratch".sp
 def plain(chunks, questions, analysis, k):
     found = []
     for q, text in questions:
-        asked = ft.parse_question(text, ft._analyser(analysis))
+        asked = ft.parse_question(text, ft.analyser(analysis))
         if not asked:
             continue
         operands = {t for c in asked for t in c.terms}
         scored = []
         for key, head, body in chunks:
             entries = {}
-            for term, (inside, *places) in ft.chunk_entries(head, body, ft._analyser(analysis)).items():
+            for term, (inside, *places) in ft.chunk_entries(head, body, ft.analyser(analysis)).items():
                 entries |= {p: (term, n < inside) for n, p in enumerate(places) if term in operands}
             score = sweep(entries, [(c.terms, c.offsets, c.negated) for c in asked])
             if score > 0 or score == 0 and any(c.negated for c in asked):

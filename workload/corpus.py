@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from lamina.functions.text import content_hash, embed_text
-from lamina.operators import chunking, embed, fulltext, index
+from lamina.operators import chunking, embed, fulltext, index, semantic
 from lamina.plans import retrieval
 from lamina.session import shared_dir
 from lamina.sources import versions
@@ -217,6 +217,23 @@ def _(spark, sf):
     )
 
 
+@query(
+    "embed_semantic",
+    f"""SELECT doc_id AS chunk_id, has_vector, CASE WHEN has_vector THEN 32 END AS dims, CASE WHEN has_vector THEN true END AS is_unit
+    FROM (SELECT doc_id, len(list_filter({sqltext.words('text')}, lambda w: w NOT IN ({sqltext._STOP}))) > 0 AS has_vector FROM documents)""",
+)
+def _(spark, sf):
+    """What is certain of vectors learned from the corpus; tests compare their space with a plain decomposition."""
+    chunks = t.chunks(spark, sf).select("chunk_id", "content")
+    model = semantic.fit_semantic(chunks, "content", dim=32, cells=4096, rounds=2)
+    vectors = embed.embed_batch(chunks, "content", encoder=model.encoder(), expected_dim=model.dim)
+    squares = F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x), F.lit(0.0), lambda s, x: s + x)
+    held = F.col("embedding").isNotNull()
+    return vectors.select(
+        "chunk_id", held.alias("has_vector"), F.when(held, F.size("embedding")).alias("dims"),
+        F.when(held, F.abs(squares - 1) < 1e-5).alias("is_unit"))
+
+
 @query(
     "index_health",
     "SELECT 'doc' AS source_type, count(*) AS chunks, count(*) FILTER (WHERE chunk_id NOT IN (SELECT "
