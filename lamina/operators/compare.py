@@ -13,9 +13,9 @@ from pyspark.sql import types as T
 from lamina.constants import RESULT_TOLERANCE
 from lamina.operators.ordered import rank_within
 
-# Rows of one group that are paired by trying; a larger group with several floats is cut first, and what is
-# still larger is ranked.
-PAIR_ROWS = 500
+# Rows of one group that one task pairs by trying, a few megabytes; a larger group with several floats is cut first, and
+# what is still larger is ranked.
+PAIR_ROWS = 20_000
 
 _FLOATS = (T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -82,7 +82,7 @@ def result_diff(
     both sides hold the same rows, floats rounded to 6 digits, they match; elsewhere the rows with
     the same exact cells are paired within the tolerance. One float column is paired by rank,
     which succeeds whenever any pairing does. Several are paired by augmenting paths in groups of
-    up to ``pair_rows`` rows a side. A larger group is cut where a float column has a gap wider than
+    up to ``pair_rows`` rows a side, each in one task that holds its rows. A larger group is cut where a float column has a gap wider than
     the tolerance. Only a piece that is still larger and whose columns, each by itself, all pair can
     stay open: it is ranked, and ``matches`` is NULL unless something else decides. No group is compared pair by pair or
     inside one task but for those bounded ones.
@@ -293,17 +293,8 @@ def _pair_by_trying(rows: DataFrame, keys: list[str], tolerance: float) -> DataF
     kinds = [rows.schema[k].dataType.simpleString() for k in keys]
 
     def pair(part: pd.DataFrame) -> pd.DataFrame:
-        p, g = (np.array([[np.nan if x is None else x for x in f] for f in part.loc[part["_side"] == s, "_floats"]], float) for s in (1, -1))
-        nulls = [np.array([[x is None for x in f] for f in part.loc[part["_side"] == s, "_floats"]], bool) for s in (1, -1)]
-        if len(p) and len(g):
-            a, b = p[:, None, :], g[None, :, :]
-            with np.errstate(invalid="ignore"):
-                near = np.abs(a - b) / np.maximum(np.maximum(np.abs(a), np.abs(b)), 1e-9) <= tolerance
-            both_nan = np.isnan(a) & np.isnan(b) & (nulls[0][:, None, :] == nulls[1][None, :, :])
-            fits = (near | (a == b) | both_nan).all(axis=2)
-        else:
-            fits = np.zeros((len(p), len(g)), bool)
-        missed = max(len(p), len(g)) - _most_pairs(fits)
+        sides = [part.loc[part["_side"] == side, "_floats"] for side in (1, -1)]
+        missed = max(map(len, sides)) - largest_pairing(*sides, tolerance)
         return pd.DataFrame({**{n: [part[n].iloc[0]] for n in names}, "_missed": [missed], "_sure": [True]})
 
     schema = ", ".join([*(f"{n} {k}" for n, k in zip(names, kinds, strict=True)), "_missed long", "_sure boolean"])
@@ -313,24 +304,59 @@ def _pair_by_trying(rows: DataFrame, keys: list[str], tolerance: float) -> DataF
     return found.select(*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)], "_missed", "_sure")
 
 
-def _most_pairs(fits: np.ndarray) -> int:
-    """Size of the largest pairing of rows with columns, by augmenting paths."""
-    owner = np.full(fits.shape[1], -1)
-    for start in range(fits.shape[0]):
-        # Breadth first: which row reached a column, until a free column turns up.
-        reached = np.full(fits.shape[1], -1)
-        queue, end = [start], -1
-        while queue and end < 0:
-            row = queue.pop(0)
-            for column in np.flatnonzero(fits[row] & (reached < 0)):
-                reached[column] = row
-                if owner[column] < 0:
-                    end = column
-                    break
-                queue.append(owner[column])
+def _as_matrix(rows: Sequence[Sequence[float | None]]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of doubles, and where they are null."""
+    nulls = np.array([[x is None for x in row] for row in rows], bool).reshape(len(rows), -1)
+    values = np.array([[np.nan if x is None else x for x in row] for row in rows], float).reshape(nulls.shape)
+    return values, nulls
+
+
+def largest_pairing(left: Sequence, right: Sequence, tolerance: float) -> int:
+    """Size of the largest pairing of rows of doubles that agree in every column.
+
+    Rows are first paired in their order, which settles most, then along augmenting paths. Whether two rows agree is worked out when
+    it is asked for, one row against all not yet reached, so memory grows with the rows and not with their pairs.
+    """
+    if not len(left) or not len(right):
+        return 0
+    (p, p_null), (g, g_null) = _as_matrix(left), _as_matrix(right)
+
+    def fits(row: int, columns: np.ndarray) -> np.ndarray:
+        """Which of ``columns`` agree with ``row``."""
+        kept = columns
+        for at in range(p.shape[1]):
+            a, b = p[row, at], g[kept, at]
+            if np.isnan(a):
+                same = np.isnan(b) & (g_null[kept, at] == p_null[row, at])
+            else:
+                with np.errstate(invalid="ignore"):
+                    same = (a == b) | (np.abs(a - b) / np.maximum(np.maximum(abs(a), np.abs(b)), 1e-9) <= tolerance)
+            kept = kept[same]
+        return kept
+
+    owner, partner = np.full(len(g), -1), np.full(len(p), -1)
+    for row, column in zip(np.lexsort(p.T[::-1]), np.lexsort(g.T[::-1]), strict=False):
+        if len(fits(row, np.array([column]))):
+            owner[column], partner[row] = row, column
+    # A search that ends without a free column has seen a closed set, which no later one needs to enter.
+    open_columns = np.arange(len(g))
+    for start in np.flatnonzero(partner < 0):
+        reached_from = np.full(len(g), -1)
+        left_over, queue, end = open_columns, [start], -1
+        for row in queue:
+            found = fits(row, left_over)
+            if not len(found):
+                continue
+            reached_from[found] = row
+            free = found[owner[found] < 0]
+            if len(free):
+                end = free[0]
+                break
+            queue += owner[found].tolist()
+            left_over = left_over[reached_from[left_over] < 0]
+        if end < 0:
+            open_columns = left_over
         while end >= 0:
-            row = reached[end]
-            before = np.flatnonzero(owner == row)
-            owner[end] = row
-            end = before[0] if row != start else -1
+            row = reached_from[end]
+            owner[end], partner[row], end = row, end, partner[row]
     return int((owner >= 0).sum())

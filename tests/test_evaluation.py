@@ -155,11 +155,58 @@ def test_questions_of_different_shapes_in_one_job(spark):
     assert {r["id"]: r["matches"] for r in found.collect()} == wanted
 
 
-@pytest.mark.parametrize("seed", range(20))
+def most_pairs(fits):
+    """The largest pairing by a plain search over the matrix of what fits."""
+    owner = {}
+
+    def find(row, seen):
+        for column in np.flatnonzero(fits[row]):
+            if column not in seen:
+                seen.add(column)
+                if column not in owner or find(owner[column], seen):
+                    owner[column] = row
+                    return True
+        return False
+
+    return sum(find(row, set()) for row in range(len(fits)))
+
+
+def agree(a, b, tolerance):
+    if a is None or b is None:
+        return a is b
+    if a != a or b != b:
+        return a != a and b != b
+    return a == b or (abs(a) < float("inf") and abs(b) < float("inf") and abs(a - b) / max(abs(a), abs(b), 1e-9) <= tolerance)
+
+
+@pytest.mark.parametrize("seed", range(40))
 def test_largest_pairing(seed):
-    fits = np.random.default_rng(seed).random((5, 5)) < 0.35
-    best = max(sum(fits[i, c] for i, c in enumerate(order)) for order in itertools.permutations(range(5)))
-    assert compare._most_pairs(fits) == best
+    rng = np.random.default_rng(seed)
+    odd = [None, float("nan"), float("inf"), float("-inf"), 0.0, -1.0]
+
+    def rows(n):
+        return [[odd[rng.integers(6)] if rng.random() < 0.1 else float(rng.uniform(1, 1.4)) for _ in range(2 + seed % 2)] for _ in range(n)]
+
+    left, right = rows(rng.integers(0, 40)), rows(rng.integers(0, 40))
+    fits = np.array([[all(agree(a, b, 0.1) for a, b in zip(p, g)) for g in right] for p in left], bool).reshape(len(left), len(right))
+    assert compare.largest_pairing(left, right, 0.1) == most_pairs(fits)
+
+
+def test_thousands_of_rows_within_one_tolerance_are_decided(spark):
+    """5,000 rows with two floats, all but a few near all others, and no column by itself tells the sides apart."""
+    rng = np.random.default_rng(9)
+    gold = [(float(x), float(y)) for x, y in rng.uniform(100, 101.5, (5000, 2))]
+    pred = [(x * (1 + float(rng.uniform(-1, 1)) * 0.002), y * (1 + float(rng.uniform(-1, 1)) * 0.002)) for x, y in gold]
+    rng.shuffle(pred)
+    assert compare.largest_pairing(pred, gold, 0.01) == 5000
+    # Six rows in a corner of their own that only five rows reach; each column still pairs by itself.
+    corner = [(99.0, 102.6)] * 6
+    gold_six = gold[6:] + corner
+    pred_five = pred[6:] + corner[:5] + [(99.0, 100.5)]
+    schema = "x double, y double"
+    for given, wanted in ((pred, gold), (pred_five, gold_six)):
+        found = compare.result_diff(spark.createDataFrame([(float(a), float(b)) for a, b in given], schema), spark.createDataFrame(wanted, schema)).first()
+        assert found["matches"] is (wanted is gold) and found["unmatched"] == (0 if wanted is gold else 1)
 
 
 def test_shuffled_result_matches_itself(spark):
