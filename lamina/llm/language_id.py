@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from lamina.llm.batches import map_texts, training_span
 from lamina.llm.words import ngram_features, number_words
+from lamina.session import durable
 
 INNER, AFFIX = 3, 3
 #: A chain has at most this many words; a longer text is read as several.
@@ -186,12 +187,24 @@ def fit_languages(
     """
     rows = docs.where(learnable & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text"))
-    languages = rows.select("_lang").distinct().count()
+    counted = rows.groupBy("_lang").agg(F.count("*").alias("rows"))
+    languages = counted.count()
     each = -(-train_rows // max(languages, 2))
-    # Spark keeps so many rows of a language in each task before they are shuffled.
     by = Window.partitionBy("_lang").orderBy(F.xxhash64("_id", F.lit(seed)), "_id")
     rows = rows.where(F.col("_text").isNotNull())
-    drawn = rows.select("_lang", "_id").distinct().withColumn("_row", F.row_number().over(by)).where(F.col("_row") <= each).drop("_row")
+
+    def draw(candidates: DataFrame) -> DataFrame:
+        # Spark keeps so many rows of a language in each task before they are shuffled.
+        return candidates.select("_lang", "_id").distinct().withColumn("_row", F.row_number().over(by)).where(F.col("_row") <= each).drop("_row")
+
+    # The smallest hashes of a language lie, but for a chance of nearly none, in the share of all hashes that
+    # should hold eight times as many: a language of very many rows then sends no more than others.
+    place = (F.xxhash64("_id", F.lit(seed)).cast("double") + 2.0**63) / 2.0**64
+    near = rows.select("_lang", "_id").join(F.broadcast(counted) if languages <= 1000 else counted, "_lang").where(place <= 8.0 * each / F.col("rows"))
+    drawn = durable(draw(near))
+    short = drawn.groupBy("_lang").count().join(counted, "_lang", "right").where(F.coalesce("count", F.lit(0)) < F.least(F.lit(each), "rows"))
+    if short.limit(1).count():
+        drawn = durable(draw(rows))  # rows that repeat an id or have no text leave fewer
     spans = rows.select("_id", "_lang", training_span(F.col("_text"), F.col("_id"), train_chars, seed).alias("_text"))
     sample = spans.join(F.broadcast(drawn), ["_id", "_lang"]).groupBy("_id", "_lang").agg(F.min("_text").alias("_text"))
     sample = sample.toArrow().to_pandas().sort_values(["_id", "_lang"])

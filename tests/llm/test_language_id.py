@@ -2,6 +2,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lamina.llm import language_id as li
 
@@ -123,7 +124,6 @@ def test_texts_of_many_known_languages_are_kept(make):
 
 
 def test_every_language_is_learned_whatever_its_rows_and_lengths(make):
-    from pyspark.sql import functions as F
 
     rows = [(n, ENGLISH[n % 3], "en", "s", 1, "i", 1) for n in range(400)] + [(n, GERMAN[n % 3], "de", "s", 1, "i", 1) for n in range(400, 800)]
     rows += [(800, "la casa del rey junto al río viejo " * 500, "es", "s", 1, "i", 1), (801, "talo kuninkaan joen lähellä", "fi", "s", 1, "i", 1), (802, None, "fi", "s", 1, "i", 1)]
@@ -140,7 +140,6 @@ def test_nothing_learned_keeps_texts_with_letters(make):
 
 
 def test_spans_of_long_texts_are_trained_on(make):
-    from pyspark.sql import functions as F
 
     from lamina.llm.batches import training_span
 
@@ -149,3 +148,21 @@ def test_spans_of_long_texts_are_trained_on(make):
     found = {r["doc_id"]: r["t"] for r in docs.select("doc_id", training_span(F.col("text"), F.col("doc_id"), 100, 7).alias("t")).collect()}
     assert len(found[1]) == len(found[4]) == 100 and found[1] in long and found[1] != found[4]
     assert found[2] == "short" and found[3] is None and found[5] == long[:100]
+
+
+def test_the_sample_is_that_of_the_smallest_hashes(make, monkeypatch):
+    """A language of very many rows is cut by hash first, which draws the same rows; repeated ids need the plain way."""
+    taken = []
+    monkeypatch.setattr(li, "train", lambda texts, labels, **how: taken.append(sorted(zip(labels, texts))) or li.Field([]))
+    many = [(n, f"text {n}", "en" if n % 50 else "de", "s", 1, "i", 1) for n in range(3000)]
+    repeated = [(n % 40, f"text {n % 40}", "en", "s", 1, "i", 1) for n in range(2000)]
+    for rows, each in ((many, 30), (repeated, 30), ([], 30)):
+        docs = make(rows, DOCS)
+        li.fit_languages(docs, F.lit(True), train_rows=2 * each)
+        spark = docs.sparkSession
+        wanted = []
+        for lang in {r[2] for r in rows}:
+            ids = spark.createDataFrame(sorted({(r[0], r[1]) for r in rows if r[2] == lang}), "id long, t string")
+            first = ids.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(each).collect()
+            wanted += [(lang, r["t"]) for r in first]
+        assert taken.pop() == sorted(wanted)
