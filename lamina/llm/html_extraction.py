@@ -1,7 +1,8 @@
 """The main text of a web page, by scoring the tree of its elements.
 
 A page is read into a tree; what can be no article (navigation, headers and footers of the page, sidebars,
-forms, scripts, adverts, notices, reader comments) is left out with all that it holds. Each run of text between
+forms, scripts, adverts, notices, reader comments) is left out with all that it holds. What only a word of a class says so of
+stays where it holds the article itself, and where the word stands beside others and the text is prose. Each run of text between
 block boundaries is a paragraph. It passes points, one and one for each comma and up to three for its length,
 to its container in full, to the next in half, and then ever less. A container's points are discounted by the
 share of its text that lies in links. The best container is widened to the article that holds it. Of its
@@ -38,11 +39,18 @@ SIBLING_SHARE = 0.4
 #: Containers further out than this get nothing of a paragraph.
 REACH = 8
 ARTICLE = frozenset(("article", "main"))
-#: Words of a class or id that mark what is no article.
+#: Words of a class or id that mark what is no article; those of the second line do so alone or beside words for parts of a page.
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb "
-    "breadcrumbs sidebar aside widget footer masthead comment comments disqus respond reply replies cookie cookies consent gdpr notice "
-    "popup modal overlay newsletter subscribe share sharing social related recommended pagination pager toolbar login signup skip".split())
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead "
+    "comment comments disqus cookie cookies consent gdpr popup modal newsletter subscribe pagination pager login signup".split())
+DOUBTFUL = frozenset("promo promotion banner aside widget respond reply replies notice overlay share sharing social related recommended toolbar skip".split())
+#: Words run together, such as commentlist, sidenav or adbox.
+JOINED = re.compile(r"comment|^(?:side|top|main|sub)nav$|^nav(?:bar|menu|list)|^ad(?:box|slot|unit|block|banner|wrap|space|container)s?$|^cookie|^feedback$|^breadcrumb|^sidebar|^usermenu$")
+PARTS = frozenset(
+    "area article articles bar block blocks body bottom box button buttons card column container content entry footer form group head header icon icons inner "
+    "item items left link links list main media message module more page panel post posts region right row section site stories text title top wrap wrapper".split())
+#: A class such as category-social-science or tag-notice says what the text is about.
+DESCRIBING = frozenset("category tag topic type format status series".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: A class such as no-sidebar or has-comments says nothing of the element itself.
 NEGATIONS = frozenset("no not has with without".split())
@@ -70,14 +78,29 @@ def _is_left_out(tag: str, attributes: str) -> bool:
             return True
         if name == "role" and value.strip() in ROLES:
             return True
-        if name in ("class", "id") and tag not in ARTICLE:
-            for given in value.split():
-                words = WORD.findall(given)
-                if words and words[0] not in NEGATIONS and not MARKS.isdisjoint(words):
-                    return True
     return False
 
 
+def _mark(tag: str, attributes: str) -> int:
+    """What the class and id of an element say: 2 that it is no article, 1 perhaps, 0 nothing."""
+    if not attributes or tag in ("body", "html") or tag in ARTICLE:
+        return 0
+    most = 0
+    for name, a, b, c in ATTRIBUTE.findall(attributes):
+        if name.lower() not in ("class", "id"):
+            continue
+        for given in html.unescape(a or b or c).lower().split():
+            words = WORD.findall(given)
+            if not words or words[0] in NEGATIONS or (len(words) > 1 and words[0] in DESCRIBING):
+                continue
+            if not MARKS.isdisjoint(words) or any(map(JOINED.search, words)):
+                return 2
+            if not DOUBTFUL.isdisjoint(words):
+                others = [w for w in words if w not in DOUBTFUL and w not in PARTS and not w[0].isdigit()]
+                most = max(most, 1 if others else 2)
+    return most
+
+
 def _worth(text: str) -> float:
     """Points of a paragraph: one, one for each comma and up to three for its length."""
     return 1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)
@@ -87,12 +110,13 @@ class Page:
     """The tree of a page: per element its tag, parent and fate; per run of text its block, text and link text."""
 
     def __init__(self, source: str):
-        self.tags, self.parents, self.left_out = ["#page"], [-1], [False]
+        self.tags, self.parents, self.left_out, self.marks = ["#page"], [-1], [False], [0]
         self.runs: list[tuple[int, str, int]] = []
         self._stack, self._open, self._links = [0], {}, 0
         self._words: list[str] = []
         self._linked = 0
         self._read(source)
+        self._drop_marked()
 
     def _block(self) -> int:
         for element in reversed(self._stack):
@@ -119,7 +143,11 @@ class Page:
         parent = self._stack[-1]
         self.tags.append(tag)
         self.parents.append(parent)
-        self.left_out.append(self.left_out[parent] or _is_left_out(tag, attributes))
+        mark = _mark(tag, attributes)
+        # Inside a line there is nothing to judge by.
+        out = _is_left_out(tag, attributes) or (mark == 2 and tag not in BLOCKS)
+        self.left_out.append(self.left_out[parent] or out)
+        self.marks.append(mark if tag in BLOCKS else 0)
         self._stack.append(len(self.tags) - 1)
         self._open[tag] = self._open.get(tag, 0) + 1
 
@@ -177,6 +205,39 @@ class Page:
         self._break()
 
 
+    def _drop_marked(self) -> None:
+        """Leave out the runs of marked elements, but for those that hold the article or, where the mark is in doubt, prose."""
+        if not any(self.marks):
+            return
+        n = len(self.tags)
+        worth, count, length, linked, holds, heads = [0.0] * n, [0] * n, [0] * n, [0] * n, [False] * n, [False] * n
+        for block, text, in_links in self.runs:
+            worth[block] += _worth(text) * (1 - in_links / len(text))
+            count[block] += 1
+            length[block] += len(text)
+            linked[block] += in_links
+        for element in range(n - 1, 0, -1):  # a parent comes before its children
+            parent = self.parents[element]
+            holds[parent] |= holds[element] or self.tags[element] in ARTICLE
+            heads[parent] |= heads[element] or self.tags[element] == "h1"
+            for sums in (worth, count, length, linked):
+                sums[parent] += sums[element]
+        under = [False] * n  # in a marked element
+        for element in range(1, n):
+            under[element] = under[self.parents[element]] or self.marks[element] > 0
+        plain = [_worth(t) * (1 - k / len(t)) for b, t, k in self.runs if not under[b]]
+        least = SIBLING_SHARE * sum(plain) / len(plain) if plain else 0.0
+        dropped = [False] * n
+        for element in range(1, n):
+            own = False
+            if self.marks[element] == 2:
+                own = not holds[element] and not (heads[element] and worth[element] > worth[0] / 2)
+            elif self.marks[element] and count[element]:
+                own = not holds[element] and (linked[element] > 0.25 * length[element] or worth[element] / count[element] < least)
+            dropped[element] = dropped[self.parents[element]] or own
+        self.runs = [run for run in self.runs if not dropped[run[0]]]
+
+
 def _is_prose(links: float, worth: float) -> bool:
     """Whether a paragraph beside the best container is text: few links, or some in much text."""
     return links <= 0.25 or (links <= 0.5 and worth >= 2.0)

@@ -82,3 +82,25 @@ def test_names_of_given_columns_meet_no_others(make):
     pages = make([(1, "<p>one</p>", "a", "b")], "page_id long, html string, _html string, text string")
     found = extract_pages(pages)
     assert found.columns == ["text", "page_id", "_html"] and tuple(found.first()) == ("one", 1, "a")
+
+
+STORY = "".join(f"<p>Sentence {n} of the story, with a clause, another one, and some more words to fill the line.</p>" for n in range(15))
+COMMENTS = "".join(f"<div class=c><p>Reader {n} says that this is, all in all, a fine story, thank you very much.</p></div>" for n in range(10))
+
+
+@pytest.mark.parametrize("source, extra", [
+    (f"<div class='post category-social-science tag-notice'><h1>H</h1>{STORY}</div>", ["H"]),
+    (f"<article>{STORY}<section class=related-work><p>Earlier work, by others, treats the same question at some length.</p></section></article>",
+     ["Earlier work, by others, treats the same question at some length."]),
+    (f"<div class=c><div>{STORY}</div><div class=notice-period><p>The period of notice, as agreed before, is three months.</p></div></div>",
+     ["The period of notice, as agreed before, is three months."]),
+    (f"<div class=sidebar-layout><article>{STORY}</article><div class=sidebar><p>More, much more, of the same kind.</p></div></div>", []),
+    (f"<div class=widget-wrap><h1>H</h1>{STORY}</div><div><p>Elsewhere.</p></div>", ["H"]),
+    *[(f"<main>{STORY}<div class='{name}'>{COMMENTS}</div></main>", []) for name in (
+        "commentlist", "usercomments", "reader-feedback", "adbox", "sidenav", "cookiebar", "comments-area", "related-posts", "cookie-notice")],
+    (f"<div>{STORY}</div><div class=related-reading-tips><a href=1>One more story, to read</a><a href=2>And another one</a></div>", []),
+])
+def test_marks_give_way_to_the_article(source, extra):
+    found = extract_text(page(source)).split("\n")
+    assert sum(x.startswith("Sentence ") for x in found) == 15
+    assert sorted(x for x in found if not x.startswith("Sentence ")) == sorted(extra)
