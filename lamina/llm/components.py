@@ -13,11 +13,19 @@ from pyspark.sql import functions as F
 
 from lamina.session import durable
 
+#: Into how many parts the pairs of a node are dealt when they meet its smallest neighbour.
+SALTS = 16
+
 
 def _towards_smallest(pairs: DataFrame) -> DataFrame:
-    """``(u, v, m)``: every pair with the smallest of u and all v of u."""
+    """``(u, v, m)``: every pair with the smallest of u and all v of u.
+
+    The middle of a large star is a node with very many pairs: they meet its one row in ``SALTS`` tasks.
+    """
     smallest = pairs.groupBy("u").agg(F.min("v").alias("s"))
-    return pairs.join(smallest, "u").select("u", "v", F.least("u", "s").alias("m"))
+    copies = smallest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    return salted.join(copies, ["u", "salt"]).select("u", "v", F.least("u", "s").alias("m"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
