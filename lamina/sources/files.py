@@ -128,21 +128,43 @@ def with_front_matter(files: DataFrame) -> DataFrame:
     """Split documents (path, text) into ``doc_id``, ``metadata``, ``body`` and ``source_hash``.
 
     The block between two ``---`` lines at the top holds ``key: value`` lines. The last value of a
-    repeated key counts; indented lines, list items and comments are passed over.
+    repeated key counts. A list of plain items, ``[a, b]`` or in lines of their own that begin with a dash, is
+    written as ``['a', 'b']``, numbers and truth values in it bare. Other indented lines and comments are passed over.
     """
     block_pattern = r"(?s)\A---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)"
     block = F.regexp_extract("text", block_pattern, 1)
-    lines = F.filter(F.split(block, r"\r?\n"), lambda line: line.rlike(r"^[^\s#:-][^:]*:"))
     unquote = r"""^["'](.*)["']$"""
-    pairs = F.transform(
-        lines,
-        lambda line: F.struct(
-            F.trim(F.substring_index(line, ":", 1)).alias("key"),
-            F.regexp_replace(
-                F.trim(F.regexp_replace(line, "^[^:]*:", "")), unquote, "$1"
-            ).alias("value"),
-        ),
-    )
+
+    def scalar(text: Column) -> Column:
+        return F.regexp_replace(F.trim(text), unquote, "$1")
+
+    def item(text: Column) -> Column:
+        plain = scalar(text)
+        bare = F.trim(text).rlike(r"^-?\d+(?:\.\d+)?$")
+        truth = F.when(F.lower(F.trim(text)) == "true", "True").when(F.lower(F.trim(text)) == "false", "False")
+        quote = F.when(F.contains(plain, F.lit("'")), '"').otherwise("'")
+        return F.coalesce(truth, F.when(bare, F.trim(text)), F.concat(quote, plain, quote))
+
+    entry = "struct<key: string, value: string, items: array<string>>"
+    none = F.array().cast("array<string>")
+
+    def folded(found: Column, line: Column) -> Column:
+        """One entry a key; items go to the last key, if it has no value."""
+        raw = F.trim(F.regexp_replace(line, "^[^:]*:", ""))
+        inline = F.regexp_extract(raw, r"^\[(.*)\]$", 1)
+        listed = F.when(raw.rlike(r"^\[.*\S.*\]$"), F.transform(F.split(inline, ","), item)).otherwise(none)
+        key = F.array(F.struct(F.trim(F.substring_index(line, ":", 1)).alias("key"), scalar(raw).alias("value"), listed.alias("items")).cast(entry))
+        last = F.element_at(found, -1)
+        more = F.concat(last["items"], F.array(item(F.regexp_replace(line, r"^\s*-\s+", ""))))
+        longer = F.struct(last["key"].alias("key"), last["value"].alias("value"), more.alias("items")).cast(entry)
+        takes = (F.size(found) > 0) & line.rlike(r"^\s*-\s+\S") & ~line.rlike(r":(?:\s|$)")
+        return F.when(line.rlike(r"^[^\s#:-][^:]*:"), F.concat(found, key)).when(
+            takes & (F.try_element_at(found, F.lit(-1))["value"] == ""), F.concat(F.slice(found, 1, F.size(found) - 1), F.array(longer))).otherwise(found)
+
+    entries = F.aggregate(F.split(block, r"\r?\n"), F.array().cast(f"array<{entry}>"), folded)
+    pairs = F.transform(entries, lambda e: F.struct(
+        e["key"].alias("key"),
+        F.when(F.size(e["items"]) > 0, F.concat(F.lit("["), F.array_join(e["items"], ", "), F.lit("]"))).otherwise(e["value"]).alias("value")))
     stem = F.regexp_replace("path", r"\.[^.]*$", "")
     # Entries from the last to the first: the first of a key is then the one that counts.
     backwards = F.reverse(pairs)

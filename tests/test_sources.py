@@ -177,6 +177,18 @@ def test_front_matter_with_repeated_and_nested_keys(spark):
     assert parsed["metadata"] == {"tags": "", "doc_id": "second", "url": "http://h/p"}
 
 
+def test_lists_in_front_matter(spark):
+    text = (
+        "---\ntitle: T\ntags:\n  - rayure\n  - \"tôle, fine\"\n  # a note\n  - 42\nlines: [L1, 'L2', true, 1.5]\nempty: []\nowner:\n  name: x\n"
+        "- l'arrêt\nnext: v\n- stray\n---\nbody"
+    )
+    parsed = files.with_front_matter(spark.createDataFrame([("p.md", text), ("q.md", "no block")], "path string, text string"))
+    found = {r["path"]: r["metadata"] for r in parsed.collect()}
+    assert found["q.md"] == {} and found["p.md"] == {
+        "title": "T", "tags": "['rayure', 'tôle, fine', 42]", "lines": "['L1', 'L2', True, 1.5]", "empty": "[]", "owner": "[\"l'arrêt\"]", "next": "v",
+    }
+
+
 def test_empty_gold_is_an_error(spark, tmp_path):
     results = spark.createDataFrame([("Q1", 0, (1,))], "id string, position bigint, row struct<n:int>")
     questions = spark.createDataFrame([("Q1",), ("Q2",)], "id string")
