@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lamina.session import durable
 
 #: Into how many parts the pairs of a node are dealt when they meet its smallest neighbour.
-SALTS = 16
+SALTS = 8
 
 
 def _towards_smallest(pairs: DataFrame) -> DataFrame:

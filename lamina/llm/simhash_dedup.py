@@ -200,14 +200,18 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows are told by id and text: texts that share an id and are no near copies all stay, and so do those of
     rows without an id, which come last in their group. Equal rows are near copies. No rows: no rows.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"),
+    key = ["lacks", "id", "mark"]  # without nulls, so that the join and what follows it need one exchange of the texts
+
+    def keyed(id: Column) -> list[Column]:
+        return [id.isNull().alias("lacks"), F.coalesce(id, F.lit(0).cast("long")).alias("id")]
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *keyed(F.col(f"`{id_col}`").cast("long")),
                        text_mark(F.col(f"`{text_col}`")).alias("mark"))
     each = durable(simhash(docs, id_col, text_col, shingle, marked=True))
     known = _components(each, bucket).select("fp", "root")
-    first = F.min(F.struct(F.col("id").isNull().alias("lacks"), "id", "mark")).alias("first")
-    kept = each.join(known, "fp").groupBy("root").agg(first).select(F.col("first.id").alias("k_id"), F.col("first.mark").alias("k_mark"))
-    # Both need the rows by id and hash: the text is shuffled once.
-    chosen = rows.join(kept, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("mark") == F.col("k_mark")), "left_semi")
-    order = Window.partitionBy("id", "mark").orderBy(F.col(f"row.`{text_col}`").isNull())
+    first = F.min(F.struct(*keyed(F.col("id")), "mark")).alias("first")
+    kept = each.join(known, "fp").groupBy("root").agg(first).select("first.*")
+    chosen = rows.join(kept, key, "left_semi")
+    order = Window.partitionBy(*key).orderBy(F.col(f"row.`{text_col}`").isNull())
     one = chosen.withColumn("place", F.row_number().over(order)).where("place = 1")
     return one.select(*[F.col(f"row.`{c}`") for c in docs.columns])
