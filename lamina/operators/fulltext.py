@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Collection, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -70,9 +70,10 @@ def analyser(analysis: Analysis) -> Callable[[str | None], list[str | None]]:
 
 
 def chunk_entries(
-    heading: str | None, content: str | None, analyse: Callable[[str | None], list[str | None]]
+    heading: str | None, content: str | None, analyse: Callable[[str | None], list[str | None]],
+    only: Collection[str] | None = None,
 ) -> dict[str, list]:
-    """Positions of every term, after the number of them in the heading.
+    """Positions of every term, or of those in ``only``, after the number of them in the heading.
 
     Stop words have positions but no terms; the body goes on after the last term of the heading.
     """
@@ -80,12 +81,13 @@ def chunk_entries(
     last = 0
     for at, term in enumerate(analyse(heading), 1):
         if term is not None:
-            found.setdefault(term, [0]).append(at)
             last = at
+            if only is None or term in only:
+                found.setdefault(term, [0]).append(at)
     for entry in found.values():
         entry[0] = len(entry) - 1
     for at, term in enumerate(analyse(content), last + 1):
-        if term is not None:
+        if term is not None and (only is None or term in only):
             found.setdefault(term, [0]).append(at)
     return found
 
@@ -145,13 +147,16 @@ def positional_index(
 def block_index(
     chunks: DataFrame, chunk_id: str = "chunk_id", heading: str = "heading", content: str = "content",
     analysis: Analysis | Mapping[str, Analysis] = FRENCH, config: str | None = None, block_chunks: int = BLOCK_CHUNKS,
+    only: Collection[str] | None = None,
 ) -> DataFrame:
     """The same postings as rows of up to ``block_chunks`` chunks of one config, to be stored or searched.
 
     Term number t of a block has its postings from ``starts[t]`` to ``starts[t + 1]``: the chunk's number in the
     block, occurrences in its heading and body, and from ``place_starts`` on its positions. ``most`` is the term's
-    largest weight in a chunk, in tenths.
+    largest weight in a chunk, in tenths. With ``only``, a bounded set such as ``asked_terms`` gives, the blocks hold no other terms and
+    serve the questions that ask for these.
     """
+    wanted = None if only is None else chunks.sparkSession.sparkContext.broadcast(frozenset(only))
     named = _analyses(analysis, config)
     kind = chunks.schema[chunk_id].dataType.simpleString()
 
@@ -181,7 +186,7 @@ def block_index(
                 for begin in range(0, len(mine), block_chunks):
                     some = whole.take(pa.array(mine[begin:begin + block_chunks]))
                     texts = zip(some.column(2).to_pylist(), some.column(3).to_pylist(), strict=True)
-                    entries = [chunk_entries(head, body, analysers[name]) for head, body in texts]
+                    entries = [chunk_entries(head, body, analysers[name], wanted and wanted.value) for head, body in texts]
                     yield pa.RecordBatch.from_arrays(block(name, some.column(0), entries), _BLOCK_NAMES)
 
     arrays = ", ".join(f"{n} array<int>" for n in _BLOCK_NAMES[3:])
@@ -253,6 +258,12 @@ def parse_questions(
     return asked.mapInArrow(run, f"query_id {kind}, config string, clause int, negated boolean, terms array<string>, offsets array<int>")
 
 
+def asked_terms(clauses: DataFrame, most: int = SENT_TERMS) -> set[str] | None:
+    """All terms that questions ask for, if they are at most ``most``; else None, and a whole index is needed."""
+    rows = clauses.select(F.explode("terms").alias("term")).distinct().limit(most + 1).collect()
+    return {r["term"] for r in rows} if len(rows) <= most else None
+
+
 @dataclass
 class _Asked:
     """The questions put to chunks of one config, by numbers of questions and terms."""

@@ -92,8 +92,9 @@ def retrieve(
     keyword = None
     if mode == "hybrid":
         analysis = fulltext.BY_SOURCE_TYPE[source_type]
-        blocks = fulltext.block_index(chunks, analysis=analysis)
-        keyword = fulltext.search_blocks(blocks, fulltext.parse_questions(queries, analysis=analysis), candidates)
+        clauses = fulltext.parse_questions(queries, analysis=analysis)
+        blocks = fulltext.block_index(chunks, analysis=analysis, only=fulltext.asked_terms(clauses))
+        keyword = fulltext.search_blocks(blocks, clauses, candidates)
     pool = search.hybrid_search(dense, keyword, chunks.drop("embedding"), candidates if rerank else k)
     if not rerank:
         return pool

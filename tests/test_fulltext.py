@@ -136,6 +136,10 @@ def test_search_equals_the_plain_form(spark, block, sent):
     found = ft.search_blocks(ft.block_index(table, block_chunks=block), asked, 5, sent_terms=sent)
     got = [(r["query_id"], r["chunk_id"], r["score"], r["rank"]) for r in found.collect()]
     assert sorted(got, key=str) == plain(chunks, questions, ft.FRENCH, 5)
+    # Blocks of the asked terms alone give the same.
+    few = ft.search_blocks(ft.block_index(table, block_chunks=block, only=ft.asked_terms(asked)), asked, 5, sent_terms=sent)
+    assert sorted(((r["query_id"], r["chunk_id"], r["score"], r["rank"]) for r in few.collect()), key=str) == sorted(got, key=str)
+    assert ft.asked_terms(asked, 2) is None
 
 
 def test_blocks_that_cannot_help_are_passed_over():

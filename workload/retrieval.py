@@ -31,7 +31,8 @@ def _dense(spark, sf, k: int = 20, chunks=None):
 def _keyword(spark, sf, k: int = 20, chunks=None):
     chunks = t.chunks(spark, sf) if chunks is None else chunks
     clauses = fulltext.parse_questions(t.search_queries(spark, sf), syntax=False)
-    return fulltext.search_blocks(fulltext.block_index(chunks), clauses, k)
+    blocks = fulltext.block_index(chunks, only=fulltext.asked_terms(clauses))
+    return fulltext.search_blocks(blocks, clauses, k)
 
 
 def _hits(spark, sf, k: int = 5):
