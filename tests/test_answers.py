@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lamina.functions.numbers import NUMBER_PATTERN
 from lamina.operators import grounding, leakage
@@ -92,3 +93,17 @@ def test_leakage(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8])], "query_id int, vector array<float>")
     e = spark.createDataFrame([(7, [1.0, 0.1]), (8, [0.0, 1.0])], "chunk_id int, embedding array<float>")
     assert rows(leakage.leakage_embedding(q, e), "question_id", "example_id") == [(1, 7)]
+
+
+def test_a_number_is_filed_once_where_whole_numbers_decide_nothing(spark):
+    sizes = spark.createDataFrame([(5000.0,), (-150.5,), (102.0,), (101.0,), (0.0,)], "value double").select(
+        "value", F.size(grounding._keys(F.col("value"), 0.01, 0)).alias("n"))
+    assert dict(rows(sizes)) == {5000.0: 1, -150.5: 1, 102.0: 1, 101.0: 2, 0.0: 1}
+
+
+def test_grounding_around_the_last_whole_number_that_decides(spark):
+    pairs = [(n, v, e) for n, (v, e) in enumerate((v / 4, (v + d) / 4) for v in range(384, 424) for d in range(-6, 7))]
+    answers = spark.createDataFrame([(n, f"{v:.2f}") for n, v, _ in pairs], "id int, answer string")
+    evidence = spark.createDataFrame([(n, f"{e:.2f}") for n, _, e in pairs], "id int, evidence string")
+    found = {r["id"]: (r["value"], r["grounded"]) for r in grounding.ground_numbers(answers, evidence, skip_trivial=False).collect()}
+    assert found == {n: (v, abs(v - e) / max(v, e) <= 0.01 or round(v) == round(e) and abs(v - e) < 1) for n, v, e in pairs}
