@@ -6,12 +6,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lamina.constants import RESULT_TOLERANCE
 from lamina.operators.ordered import rank_within
+from lamina.session import durable
 
 # Rows of one group that one task pairs by trying, a few megabytes; a larger group with several floats is cut first, and
 # what is still larger is ranked.
@@ -157,40 +158,48 @@ def _verdicts(rows: DataFrame, keys: list[str], tolerance: float, pair_rows: int
 
     A row meets rows with its tag at its place. Missed rows are counted, never listed.
     """
-    counts = rows.groupBy(*keys).agg(
-        F.count_if(F.col("_side") == 1).alias("n_pred"), F.count_if(F.col("_side") == -1).alias("n_gold")
-    )
     placed = F.col("_place").isNotNull()
     # In order: one row a side and place.
     sides = rows.filter(placed).groupBy(*keys, "_place").agg(
         *[F.max(F.when(F.col("_side") == side, F.struct("_tag", "_floats"))).alias(name) for side, name in ((1, "_p"), (-1, "_g"))]
     )
     in_order = sides.select(*keys, F.when(~_rows_match(F.col("_p"), F.col("_g"), tolerance), 1).otherwise(0).cast("bigint").alias("_missed"), F.lit(True).alias("_sure"))
-    # As multisets: tags whose rows differ somewhere.
+    # As multisets: tags whose rows differ somewhere. All that is asked of a tag is counted in one pass and stored.
     group = [*keys, "_tag"]
     loose = rows.filter(~placed)
     rounded = F.transform("_floats", lambda f: F.round(f, 6))
-    net = loose.groupBy(*group, rounded.alias("_r")).agg(F.sum("_side").alias("_net")).filter("_net <> 0")
-    width = F.size("_r")
-    surplus = net.filter(width == 0)
-    without = surplus.select(*keys, F.abs("_net").cast("bigint").alias("_missed"), F.lit(True).alias("_sure"))
-    differing = net.filter(width > 0).select(*group, width.alias("_width")).distinct()
-    on = [F.col(f"x.{c}").eqNullSafe(F.col(f"d.{c}")) for c in group]
-    open_rows = loose.alias("x").join(differing.alias("d"), on).select("x.*", "d._width")
-    sized = _with_sizes(open_rows, group)
+    by_side = [F.count_if(F.col("_side") == side).alias(name) for side, name in ((1, "_p"), (-1, "_g"))]
+    kinds = loose.groupBy(*group, rounded.alias("_r")).agg(*by_side)
+    off = F.abs(F.col("_p") - F.col("_g"))
+    widths = kinds.groupBy(*group, F.size("_r").alias("_width")).agg(
+        F.sum("_p").alias("_p"), F.sum("_g").alias("_g"), F.sum(off).alias("_off"))
+    # Rows of a group mostly have one width; they meet the rows of a tag once for each width that differs.
+    differs = (F.col("_off") > 0) & (F.col("_width") > 0)
+    whole = Window.partitionBy(*group)
+    most = F.greatest(F.sum("_p").over(whole), F.sum("_g").over(whole)) * F.count_if(differs).over(whole)
+    groups = durable(widths.withColumn("_most", most))
+    none = F.lit(0).cast("bigint")
+    counts = groups.select(*keys, "_p", "_g").unionByName(rows.filter(placed).groupBy(*keys).agg(*by_side)).groupBy(*keys).agg(
+        F.coalesce(F.sum("_p"), none).alias("n_pred"), F.coalesce(F.sum("_g"), none).alias("n_gold"))
+    without = groups.filter("_width = 0 AND _off > 0").select(*keys, F.col("_off").alias("_missed"), F.lit(True).alias("_sure"))
+    found = in_order.unionByName(without)
+    differing = groups.filter(differs).select(*group, "_width", "_most")
     # With one row a side, or one float, ranks pair as well as anything.
     several = (F.col("_width") > 1) & (F.col("_most") > 1)
     large = several & (F.col("_most") > pair_rows)
-    found = in_order.unionByName(without)
-    if not sized.filter(large).isEmpty():
+    on = [F.col(f"x.{c}").eqNullSafe(F.col(f"d.{c}")) for c in group]
+    sized = loose.alias("x").join(differing.alias("d"), on).select("x.*", "d._width", "d._most")
+    some_large, some_tried, some_hot = differing.agg(
+        F.bool_or(large), F.bool_or(several & ~large), F.bool_or(F.col("_most") > pair_rows)).first()
+    if some_large:
         pieces = _with_sizes(_cut_at_gaps(sized.filter(large), group, tolerance).drop("_most"), group)
         sized = sized.filter(~large).unionByName(pieces)
-        found = found.unionByName(_missed_by_column(sized.filter(large), keys, tolerance))
-    paired = _pair_by_trying(sized.filter(several & ~large), keys, tolerance)
-    ranked = _pair_by_rank(sized.filter(~several | large), group, tolerance)
-    by_rank = ranked.select(*keys, "_missed", "_sure")
+        found = found.unionByName(_missed_by_column(sized.filter(large), keys, tolerance, pair_rows))
+    if some_large or some_tried:
+        found = found.unionByName(_pair_by_trying(sized.filter(several & ~large), keys, tolerance))
+    ranked = _pair_by_rank(sized.filter(~several | large), group, tolerance, pair_rows if some_hot else None)
     # A miss that is sure but counted elsewhere is NULL.
-    missed = found.unionByName(paired).unionByName(by_rank).groupBy(*keys).agg(
+    missed = found.unionByName(ranked.select(*keys, "_missed", "_sure")).groupBy(*keys).agg(
         F.sum(F.coalesce("_missed", F.lit(0))).alias("_unmatched"), F.sum(F.when(F.col("_sure"), F.coalesce("_missed", F.lit(1))).otherwise(0)).alias("_certain")
     )
     met = [F.col(f"c.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys]
@@ -199,7 +208,6 @@ def _verdicts(rows: DataFrame, keys: list[str], tolerance: float, pair_rows: int
         joined = counts.alias("c").join(F.broadcast(missed).alias("m"))
     else:
         joined = counts.alias("c").join(missed.alias("m"), met, "left")
-    none = F.lit(0).cast("bigint")
     unmatched, certain = F.coalesce("_unmatched", none), F.coalesce("_certain", none)
     same_size = F.col("n_pred") == F.col("n_gold")
     verdict = F.when(~same_size | (certain > 0), False).when(unmatched > 0, F.lit(None).cast("boolean")).otherwise(True)
@@ -253,11 +261,11 @@ def _cut_at_gaps(rows: DataFrame, group: list[str], tolerance: float) -> DataFra
     return cut.drop("_cells", "_tag").withColumnRenamed("_piece", "_tag").select(*rows.columns)
 
 
-def _missed_by_column(rows: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
+def _missed_by_column(rows: DataFrame, keys: list[str], tolerance: float, window_rows: int) -> DataFrame:
     """Rows of a NULL count for each miss of a float column paired by itself: then no pairing of all fits."""
     each = rows.select(*keys, "_tag", "_side", "_width", "_most", F.posexplode("_floats").alias("_col", "_float"))
     alone = each.withColumn("_floats", F.array("_float")).withColumn("_width", F.lit(1))
-    ranked = _pair_by_rank(alone, [*keys, "_tag", "_col"], tolerance).filter("_missed > 0")
+    ranked = _pair_by_rank(alone, [*keys, "_tag", "_col"], tolerance, window_rows).filter("_missed > 0")
     return ranked.select(*keys, F.lit(None).cast("bigint").alias("_missed"), F.lit(True).alias("_sure"))
 
 
@@ -271,12 +279,20 @@ def _rows_match(left: Column, right: Column, tolerance: float) -> Column:
     return F.coalesce(left.isNotNull() & right.isNotNull() & alike, F.lit(False))
 
 
-def _pair_by_rank(rows: DataFrame, group: list[str], tolerance: float) -> DataFrame:
-    """Both sides numbered in one sort; rows of the same number in a group meet."""
+def _pair_by_rank(rows: DataFrame, group: list[str], tolerance: float, window_rows: int | None) -> DataFrame:
+    """Both sides numbered by value; rows of the same number in a group meet.
+
+    A group of up to ``window_rows`` rows a side is sorted by one task; the others are ranked by many. Without it all groups are that small.
+    """
     # NULL sorts first and NaN last, alike on both sides.
     simple = (F.col("_width") <= 1) | (F.col("_most") <= 1)
-    flat = rows.select(*group, "_side", simple.alias("_simple"), "_floats", F.get("_floats", F.lit(0)).alias("_first"))
-    numbered = rank_within(flat, [*group, "_side"], ["_first", "_floats"], "_slot", ties=True)
+    flat = rows.select(*group, "_side", simple.alias("_simple"), "_floats", F.get("_floats", F.lit(0)).alias("_first"), "_most")
+    hot = F.lit(False) if window_rows is None else F.col("_most") > window_rows
+    place = F.row_number().over(Window.partitionBy(*group, "_side").orderBy("_first", "_floats"))
+    # Rows of a group stay together for the pairing that follows.
+    numbered = flat.filter(~hot).drop("_most").repartition(*group).withColumn("_slot", (place - 1).cast("bigint"))
+    if window_rows is not None:
+        numbered = numbered.unionByName(rank_within(flat.filter(hot).drop("_most"), [*group, "_side"], ["_first", "_floats"], "_slot", ties=True))
     met = numbered.groupBy(*group, "_slot").agg(
         F.bool_and("_simple").alias("_simple"),
         *[F.max(F.when(F.col("_side") == side, F.struct("_floats"))).alias(name) for side, name in ((1, "_p"), (-1, "_g"))],

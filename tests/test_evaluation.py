@@ -361,3 +361,20 @@ def test_large_groups_of_several_floats_are_decided(spark, case, matches):
         pred[0], pred[-1] = ("a", 200.0, 50.0, 7.0), ("a", 100.0, 5.0, 7.0)
     schema = "t string, x double, y double, z double"
     assert compare.result_diff(spark.createDataFrame(pred, schema), spark.createDataFrame(gold, schema)).first()["matches"] is matches
+
+
+def test_groups_of_bounded_size_are_ranked_where_they_lie(spark, monkeypatch):
+    """Only a group too large for one task is laid out in ranges of the whole order."""
+    schema = "q int, v double"
+    gold = [(q, float(n) if n else None) for q in range(3) for n in range(50)]
+    pred = [(q, v and v * (1.02 if q == 1 else 1.001)) for q, v in gold if q != 2 or v != 7.0]
+    sides = spark.createDataFrame(pred, schema), spark.createDataFrame(gold, schema)
+
+    def verdicts(**more):
+        rows = compare.result_diff(*sides, by=["q"], **more).collect()
+        return sorted((r["q"], r["n_pred"], r["n_gold"], r["unmatched"], r["matches"]) for r in rows)
+
+    by_ranges = verdicts(pair_rows=10)
+    monkeypatch.setattr(compare, "rank_within", None)
+    assert verdicts() == by_ranges
+    assert [r[:3] + r[4:] for r in by_ranges] == [(0, 50, 50, True), (1, 50, 50, False), (2, 49, 50, False)]
