@@ -388,13 +388,31 @@ def _search_block(batch: pa.RecordBatch, row: int, asked: _Asked, pairs: tuple[n
             continue
         lacking = any(negated for _, _, negated in clauses)
         scores = np.full(len(ids), 0.0 if lacking else -1.0)
+
+        def posts(t: int) -> slice:
+            return slice(starts[here[t]], starts[here[t] + 1]) if here[t] >= 0 else slice(0, 0)
+
+        def spread(t: int, head: int, body: int) -> np.ndarray:
+            out, mine = np.zeros(len(ids), np.int64), posts(t)
+            out[members[mine]] = headings[mine] * head + bodies[mine] * body
+            return out
+
+        # Covers begin at places of their own. Without negation these are entries of a lone word, which count their weight, and
+        # begins of a phrase, of which there are no more than of its rarest word; with negation any entry may be one.
+        if lacking:
+            reach = sum(spread(t, *_TENTHS) for t in operands)
+        else:
+            reach = sum(spread(terms[0], *_TENTHS) if len(terms) == 1 else np.minimum.reduce([spread(t, _TENTHS[0], _TENTHS[0]) for t in terms])
+                        for terms, _, _ in dict.fromkeys(clauses))
+        wanted = (reach > 0) & (reach / 10 >= best.floor[q] - 1e-6)
+        scores[(reach > 0) & ~wanted] = -1.0  # below the k-th score met so far
         entries: dict[int, dict[int, tuple[int, bool]]] = {}
         for t in operands:
-            if here[t] >= 0:
-                for post in range(starts[here[t]], starts[here[t] + 1]):
-                    found = entries.setdefault(int(members[post]), {})
-                    for n, at in enumerate(places[place_starts[post]:place_starts[post + 1]].tolist()):
-                        found[at] = (t, n < headings[post])
+            mine = posts(t)
+            for post in (np.flatnonzero(wanted[members[mine]]) + mine.start).tolist():
+                found = entries.setdefault(int(members[post]), {})
+                for n, at in enumerate(places[place_starts[post]:place_starts[post + 1]].tolist()):
+                    found[at] = (t, n < headings[post])
         for member, found in entries.items():
             scores[member] = cover_density(found, clauses)
         best.offer(q, scores, ids)

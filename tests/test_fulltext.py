@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,3 +176,26 @@ def test_empty_index_and_no_questions(spark):
     assert ft.search_blocks(ft.block_index(none), asked).collect() == []
     one = spark.createDataFrame([(1, "x", "x")], "chunk_id long, heading string, content string")
     assert ft.search_blocks(ft.block_index(one), asked.limit(0)).collect() == []
+
+
+def test_only_chunks_that_can_be_among_the_best_have_their_covers_listed(spark, monkeypatch):
+    texts = ["red fox " * 9, "red fox " * 8, "red fox", "fox", "red fox " * 7 + "red fox red fox red fox", "red fox", "fox red", "red"]
+    chunks = spark.createDataFrame([(n, "", x) for n, x in enumerate(texts)], "chunk_id long, heading string, content string").coalesce(1)
+    batches = ft.block_index(chunks, block_chunks=4).toArrow().combine_chunks().to_batches()
+    for question in ('"red fox"', 'red or "red fox"', '"red fox" -blue'):
+        asked, listed, density = ft._Asked(), [], ft.cover_density
+
+        def counted(entries, clauses):
+            listed.append(entries)
+            return density(entries, clauses)
+
+        asked.add(0, ft.parse_question(question, ft.analyser(ft.FRENCH)))
+        best, none = ft._Best(1, 2), np.zeros(0, np.int64)
+        monkeypatch.setattr(ft, "cover_density", counted)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ft._search_block(batch, row, asked, (none, none), best)
+        monkeypatch.setattr(ft, "cover_density", density)
+        # All of the first block, and of the second the one that reaches the second best score.
+        assert len(listed) == 5
+        assert sorted(h[2] for h in best.held[0]) == [0, 4]
