@@ -200,3 +200,12 @@ def test_empty_gold_is_an_error(spark, tmp_path):
 def test_reference_tables(spark):
     dims = files.seed_dims(spark)
     assert {k: v.count() for k, v in dims.items()} == {"production_lines": 3, "shifts": 3, "fault_types": 7}
+
+
+def test_front_matter_is_read_once_per_document(spark):
+    """The block and its entries are named many times in what follows, but worked out once."""
+    given = spark.createDataFrame([("a.md", "---\ndoc_id: x\nlang: fr\nlang: en\n---\nbody")], "path string, text string")
+    parsed = files.with_front_matter(given)
+    plan = parsed.select("doc_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(text") == 1
+    assert parsed.first()["metadata"] == {"doc_id": "x", "lang": "en"}
