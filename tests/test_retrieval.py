@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamina.operators import embed, fusion, search
+from lamina.session import ARROW_BATCH_LIMIT, bound_batches
 from tests.conftest import rows
 
 
@@ -208,3 +209,41 @@ def test_an_encoder_sees_bounded_slices(spark):
     df = spark.range(5000).coalesce(1).withColumn("text", F.lit("word"))
     found = embed.embed_batch(df, "text", "v", encoder=most, expected_dim=1)
     assert rows(found.groupBy("v").count()) == [([1.0], 5000)]
+
+
+@pytest.fixture
+def no_limit_named(spark):
+    before = spark.conf.get(ARROW_BATCH_LIMIT)
+    spark.conf.unset(ARROW_BATCH_LIMIT)
+    yield
+    spark.conf.set(ARROW_BATCH_LIMIT, before)
+
+
+def small_batches_only(df):
+    """The same rows; a batch well above 8 MB fails the job."""
+    def check(batches):
+        for batch in batches:
+            if batch.nbytes > 12 << 20:
+                raise ValueError(f"a batch of {batch.nbytes} bytes")
+            yield batch
+
+    return df.mapInArrow(check, df.schema)
+
+
+def test_pairs_of_blocks_reach_a_worker_in_small_batches(spark, no_limit_named, monkeypatch):
+    component = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: (F.hash("chunk_id", i) % 1000).cast("float"))
+    corpus = spark.range(80_000, numPartitions=2).select(F.col("id").alias("chunk_id")).withColumn("embedding", component)
+    asked = corpus.where("chunk_id < 20").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+    plain = search.paired
+    monkeypatch.setattr(search, "paired", lambda left, right: small_batches_only(plain(left, right)))
+    found = search.knn_exact(asked, corpus, 1, broadcast_rows=0)
+    assert rows(found, "query_id", "chunk_id") == sorted(((n, n) for n in range(20)), key=repr)
+
+
+def test_a_named_limit_of_batches_is_kept(spark, no_limit_named):
+    spark.conf.set(ARROW_BATCH_LIMIT, "33m")
+    bound_batches(spark)
+    assert spark.conf.get(ARROW_BATCH_LIMIT) == "33m"
+    spark.conf.unset(ARROW_BATCH_LIMIT)
+    bound_batches(spark)
+    assert spark.conf.get(ARROW_BATCH_LIMIT) == "8m"
