@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from lamina.constants import BODY_WEIGHT, CANDIDATES_PER_BRANCH, FRENCH_STOP_WORDS, HEADING_WEIGHT
 from lamina.functions.stemming import french_stem
 from lamina.operators.relational import top_per_group
-from lamina.session import durable
+from lamina.session import bound_batches, durable
 
 BLOCK_CHUNKS = 256
 # Words whose term a worker remembers.
@@ -93,6 +93,7 @@ def chunk_entries(
 
 
 def _source(chunks: DataFrame, chunk_id: str, heading: str, content: str, config: str | None) -> DataFrame:
+    bound_batches(chunks.sparkSession)
     kind = F.lit("") if config is None else F.coalesce(F.col(config).cast("string"), F.lit(""))
     return chunks.select(F.col(chunk_id).alias("chunk_id"), kind.alias("config"), F.col(heading).cast("string").alias("heading"),
                          F.col(content).cast("string").alias("content"))

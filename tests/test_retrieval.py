@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lamina.operators import embed, fusion, search
+from lamina.operators import embed, fulltext, fusion, search
 from lamina.session import ARROW_BATCH_LIMIT, bound_batches
 from tests.conftest import rows
 
@@ -247,3 +247,11 @@ def test_a_named_limit_of_batches_is_kept(spark, no_limit_named):
     spark.conf.unset(ARROW_BATCH_LIMIT)
     bound_batches(spark)
     assert spark.conf.get(ARROW_BATCH_LIMIT) == "8m"
+
+
+def test_texts_reach_the_index_in_small_batches(spark, no_limit_named):
+    text = F.concat(F.lit("laminoir "), F.repeat(F.lit("x"), 20_000))
+    chunks = spark.range(2_000, numPartitions=1).select(F.col("id").alias("chunk_id"), F.lit("titre").alias("heading"), text.alias("content"))
+    asked = fulltext.parse_questions(spark.createDataFrame([(0, "laminoir")], "query_id int, text string"), analysis=fulltext.SIMPLE)
+    blocks = fulltext.block_index(small_batches_only(chunks), analysis=fulltext.SIMPLE)
+    assert rows(fulltext.search_blocks(blocks, asked, 2), "chunk_id", "rank") == [(0, 1), (1, 2)]
